@@ -66,3 +66,18 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Batches that go to Python stay small where texts are long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def chunked(df: DataFrame, text: str, *key: str, target_bytes: int = 8 << 20) -> DataFrame:
+    """Add ``_chunk``: rows dealt by hash over chunks of about ``target_bytes`` of text, at least four to a partition.
+
+    A chunk is what one Python call holds, so its size does not grow with the input; the number of chunks does.
+    """
+    spark = df.sparkSession
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(4 * partitions(spark), -(-total // target_bytes))
+    return df.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in key], F.col(text)), F.lit(n)).cast("int"))

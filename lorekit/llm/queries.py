@@ -5,8 +5,9 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .mixing import OP2_SQL, op2_mixing
 from .quality import OP8_SQL, op8_quality
+from .scoring import op9_scoring
 from .secrets import op10_secrets
 from .sharding import op5_sharding
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_bpe": op4_bpe, "op5_sharding": op5_sharding, "op8_quality": op8_quality, "op10_secrets": op10_secrets}
+QUERIES = {"op2_mixing": op2_mixing, "op4_bpe": op4_bpe, "op5_sharding": op5_sharding, "op8_quality": op8_quality, "op9_scoring": op9_scoring, "op10_secrets": op10_secrets}
 ORACLE = {"op2_mixing": OP2_SQL, "op8_quality": OP8_SQL}
