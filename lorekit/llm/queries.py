@@ -8,6 +8,7 @@ from .quality import OP8_SQL, op8_quality
 from .scoring import op9_scoring
 from .secrets import op10_secrets
 from .sharding import op5_sharding
+from .substrings import op6_substrings
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_bpe": op4_bpe, "op5_sharding": op5_sharding, "op8_quality": op8_quality, "op9_scoring": op9_scoring, "op10_secrets": op10_secrets}
+QUERIES = {"op2_mixing": op2_mixing, "op4_bpe": op4_bpe, "op5_sharding": op5_sharding, "op6_substrings": op6_substrings, "op8_quality": op8_quality, "op9_scoring": op9_scoring, "op10_secrets": op10_secrets}
 ORACLE = {"op2_mixing": OP2_SQL, "op8_quality": OP8_SQL}
