@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Entries that a worker remembers: pieces with their ids, and pairs with their verdict. Then it starts anew.
-MAX_PIECES, MAX_PAIRS = 300_000, 1_000_000
+#: Entries that a worker remembers: pieces with their ids, and pairs with their verdict. The pieces in either of two generations.
+MAX_PIECES, MAX_PAIRS = 250_000, 500_000
 
 
 @dataclass
@@ -77,16 +77,18 @@ class Coder:
 
         self.tokens, self.left, self.right = vocabulary.tokens, vocabulary.left, vocabulary.right
         # A token without two parts is one that merges never make; it is no candidate.
-        usable = {t: i for i, t in enumerate(self.tokens) if t and self.left[i] >= 0}
+        usable = self.usable = {t: i for i, t in enumerate(self.tokens) if t and self.left[i] >= 0}
+        self.sizes = [len(t) for t in self.tokens]
         self.ids = {t: i for i, t in enumerate(self.tokens) if t}
         self.automaton = ahocorasick.Automaton()
         self.shorter = [-1] * len(self.tokens)
         for token, i in usable.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), i)
             self.shorter[i] = next((usable[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in usable), -1)
         self.automaton.make_automaton()
         self.find = regex.compile(vocabulary.pattern).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def compatible(self, a: int, b: int) -> bool:
@@ -115,39 +117,53 @@ class Coder:
                 return True
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
-        if piece in self.ids and self.left[self.ids[piece]] >= 0:
-            return (self.ids[piece],)
-        n = len(piece)
-        longest = [-1] * (n + 1)
-        for end, (i, size) in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - size
-            if longest[start] < 0 or size > len(self.tokens[longest[start]]):
-                longest[start] = i
-        open_ = bytearray(b"\x01") * (n + 1)
+        whole = self.usable.get(piece)
+        if whole is not None:
+            return (whole,)
+        n, sizes, shorter, pairs = len(piece), self.sizes, self.shorter, self.pairs
+        longest = [-1] * n
+        # Matches of one end come from the longest on, those of one start by rising end: the last one written is the longest.
+        for end, i in self.automaton.iter(piece.decode("latin-1")):
+            longest[end + 1 - sizes[i]] = i
+        shut: set[int] = set()
         out: list[int] = []
-        at, token = 0, longest[0]
-        while at < n:
-            end = at + len(self.tokens[token])
-            if open_[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at, token = end, longest[end]
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
-            else:
-                open_[at] = 0
-                token = out.pop()
-                at -= len(self.tokens[token])
-        return tuple(out)
+        at, token, before = 0, longest[0], -1
+        while True:
+            end = at + sizes[token]
+            if end not in shut:
+                if before < 0:
+                    fits = True
+                else:
+                    fits = pairs.get((before, token))
+                    if fits is None:
+                        fits = self.compatible(before, token)
+                if fits:
+                    out.append(token)
+                    if end == n:
+                        return tuple(out)
+                    at, before, token = end, token, longest[end]
+                    continue
+            token = shorter[token]
+            while token < 0:
+                shut.add(at)
+                last = out.pop()
+                at -= sizes[last]
+                before = out[-1] if out else -1
+                token = shorter[last]
 
     def encode(self, text: str) -> list[int]:
+        """Ids of a text. Pieces are remembered in two generations, so that frequent ones outlive a full memory."""
         pieces, out = self.pieces, []
         for p in self.find(text):
             ids = pieces.get(p)
             if ids is None:
-                if len(pieces) >= MAX_PIECES:
-                    pieces.clear()
-                ids = self.piece(p.encode("utf-8", "replace"))
+                ids = self.older.get(p)
+                if ids is None:
+                    ids = self.piece(p.encode("utf-8", "replace"))
                 if len(p) <= 64:
+                    if len(pieces) >= MAX_PIECES:
+                        self.older, self.pieces = pieces, {}
+                        pieces = self.pieces
                     pieces[p] = ids
             out += ids
         return out
