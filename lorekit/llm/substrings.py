@@ -14,9 +14,9 @@ passage that a third of all documents share is one row a chunk. Words are compar
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,47 +24,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
+from .wordhash import runs, word_hashes
 
 WINDOW, SEED = 20, 8
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Phrases in one automaton; their words need less than 32^4 numbers.
+PHRASES = 50_000
 
 
 class Chunk:
-    """Words of the documents of a chunk as numbers, with the hashes of their windows and seeds."""
-
-    def __init__(self, texts: list[str | None], window: int, seed: int):
-        words: dict[bytes, int] = {}
-        self.texts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        ids = np.fromiter((words.setdefault(w, len(words)) for t in self.texts for w in t), np.int64)
-        self.words = list(words)
-        hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in self.words), np.uint64)
-        self.ids, self.window, self.seed = ids, window, seed
-        self.starts = np.cumsum([0, *map(len, self.texts)])
-        self.doc = np.repeat(np.arange(len(self.texts)), np.diff(self.starts))
-        self.at = np.arange(len(ids)) - self.starts[self.doc] if len(ids) else np.zeros(0, np.int64)
-        h = hashes[ids] if len(ids) else np.zeros(0, np.uint64)
-        # Places where a whole window starts, and the hashes of windows and of seeds from each place on.
-        self.places = np.flatnonzero(self.at + window <= np.diff(self.starts)[self.doc]) if len(ids) else np.zeros(0, np.int64)
-        self.windows = self._runs(h, window)
-        self.seeds = self._runs(h, seed)
-
-    @staticmethod
-    def _runs(h: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-        for k in range(n):
-            out = out * _ODD + h[k : len(h) - n + 1 + k]
-        return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-    def marked(self) -> np.ndarray:
+    """Words of the documents of a chunk as numbers, with the hashes of their windows and seeds.
+
+    Documents are held in the order of starts, so an earlier place is a smaller number; rows that are one document are neighbours.
+    """
+
+    def __init__(self, t: pa.Table, window: int, seed: int):
+        self.window, self.seed = window, seed
+        order, tie = t["_order"].to_numpy(), t["_tie"].to_numpy()
+        self.rows = np.lexsort((tie, order))
+        self.order, self.tie = order[self.rows], tie[self.rows]
+        texts = t["_text"].to_pylist()
+        self.texts = [(texts[i] or "").encode("utf-8", "replace") for i in self.rows]
+        self.hashes, self.sizes = word_hashes(self.texts)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        #: Places where a whole window starts.
+        self.places = np.concatenate([np.arange(i, i + max(0, n - window + 1)) for i, n in zip(self.starts[:-1], self.sizes, strict=True)] or [np.zeros(0, np.int64)])
+
+    def runs(self, n: int) -> np.ndarray:
+        """Hash of the n words from each place on."""
+        return runs(self.hashes, n)
+
+    def marked(self, seeds: np.ndarray) -> np.ndarray:
         """For each window place, the place of its seed: the first of the least hash among those inside the window."""
-        if not len(self.places):
-            return np.zeros(0, np.int64)
-        best, where = self.seeds[self.places], self.places.copy()
+        best, where = seeds[self.places], self.places.copy()
         for k in range(1, self.window - self.seed + 1):
-            other = self.seeds[self.places + k]
+            other = seeds[self.places + k]
             less = other < best
-            best = np.where(less, other, best)
-            where[less] = self.places[less] + k
+            np.copyto(best, other, where=less)
+            np.copyto(where, self.places + k, where=less)
         return where
 
 
@@ -73,25 +69,30 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _locate(chunk: Chunk, recurring: np.ndarray) -> np.ndarray:
-    """Window places whose marked seed is one of the recurring ones, found by an automaton over word numbers."""
-    import ahocorasick
-
-    marked = chunk.marked()
-    hit = np.isin(chunk.seeds[marked], recurring) if len(marked) else np.zeros(0, bool)
-    phrases = np.unique(marked[hit])
-    if not len(phrases):
-        return np.zeros(0, np.int64)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    ids = chunk.ids + 1
-    for seed in {tuple(ids[p : p + chunk.seed].tolist()) for p in phrases}:
-        automaton.add_word(seed)
-    automaton.make_automaton()
-    found = np.zeros(len(ids), bool)
-    touched = np.unique(chunk.doc[phrases])  # no other document of the chunk holds one of its phrases
-    for d in touched:
-        a, b = chunk.starts[d], chunk.starts[d + 1]
-        for end, _ in automaton.iter(tuple(ids[a:b].tolist())):
-            found[a + end + 1 - chunk.seed] = True
+    """Window places whose marked seed is one of the recurring ones, found by automata over word numbers.
+
+    An automaton takes PHRASES phrases. Their words are numbered from 1, all others are 0, and a number is four digits
+    of base 32 with an alphabet for each digit: nodes have few children, and a match can only begin at a word.
+    """
+    seeds = chunk.runs(chunk.seed)
+    marked = chunk.marked(seeds)
+    known = np.zeros(len(seeds), bool)
+    known[marked[np.isin(seeds[marked], recurring)]] = True
+    _, one = np.unique(seeds[known], return_index=True)
+    phrases = np.flatnonzero(known)[one]
+    found = np.zeros(len(chunk.hashes), bool)
+    for i in range(0, len(phrases), PHRASES):
+        used = np.unique(chunk.hashes[phrases[i : i + PHRASES, None] + np.arange(chunk.seed)])
+        at = np.minimum(np.searchsorted(used, chunk.hashes), len(used) - 1)
+        number = np.where(used[at] == chunk.hashes, at + 1, 0)
+        digits = np.stack([(number >> 5 * k) % 32 + 32 * k for k in range(4)], 1).astype(np.uint8)
+        text = digits.tobytes().decode("latin-1")
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases[i : i + PHRASES].tolist():
+            automaton.add_word(text[4 * p : 4 * (p + chunk.seed)])
+        automaton.make_automaton()
+        ends = np.array([end for end, _ in automaton.iter(text)], np.int64)
+        found[(ends + 1) // 4 - chunk.seed] = True
     return chunk.places[found[marked]]
 
 
@@ -104,62 +105,59 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = W
     """
     spark = df.sparkSession
     common.small_batches(spark)
-    # A null key sorts last; the tie among equal keys is broken by a hash of the text, the same on every run.
-    place = F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key), F.lit(0)).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("tie"))
-    docs = common.chunked(df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), place["none"].alias("_none"), place["key"].alias("_order"), place["tie"].alias("_tie")), "_text", "_key")
+    # A null key counts as the largest; the tie among equal keys is broken by a hash of the text, the same on every run.
+    order = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
+    docs = common.chunked(df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), order.alias("_order"), F.xxhash64(text).alias("_tie")), "_text", "_key")
+
+    def of(t: pa.Table, n: int) -> pa.Array:
+        return pa.array(np.full(n, t["_chunk"][0].as_py()), pa.int32())
 
     def seeds(t: pa.Table) -> pa.Table:
-        c = Chunk(t["_text"].to_pylist(), window, seed)
-        hashes, n = np.unique(c.seeds[np.unique(c.marked())], return_counts=True) if len(c.places) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return pa.table({"_chunk": pa.array([t["_chunk"][0].as_py()] * len(hashes), pa.int32()), "seed": _signed(hashes), "n": pa.array(np.minimum(n, 2), pa.int32())})
+        c = Chunk(t, window, seed)
+        h = c.runs(seed)
+        hashes, n = np.unique(h[np.unique(c.marked(h))], return_counts=True) if len(c.places) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return pa.table({"_chunk": of(t, len(hashes)), "seed": _signed(hashes), "n": pa.array(np.minimum(n, 2), pa.int32())})
 
     marked = docs.groupBy("_chunk").applyInArrow(seeds, "_chunk int, seed long, n int")
     recurring = marked.withColumn("all", F.sum("n").over(W.partitionBy("seed"))).where(F.col("all") > 1).select("_chunk", "seed")
 
     def windows(t: pa.Table, r: pa.Table) -> pa.Table:
-        c = Chunk(t["_text"].to_pylist(), window, seed)
-        where = _locate(c, r["seed"].to_numpy().view(np.uint64)) if len(r) else np.zeros(0, np.int64)
-        none, order, tie = (np.asarray(t[x].to_pylist()) for x in ("_none", "_order", "_tie"))
-        d = c.doc[where]
-        by = np.lexsort((c.at[where], tie[d], order[d], none[d])) if len(where) else np.zeros(0, np.int64)
-        where = where[by]
-        hashes, first = np.unique(c.windows[where], return_index=True)  # the first of each is its earliest place
-        where = where[first]
-        d = c.doc[where]
-        return pa.table({"_chunk": pa.array([t["_chunk"][0].as_py()] * len(where), pa.int32()), "hash": _signed(hashes), "none": pa.array(none[d].tolist(), pa.bool_()), "order": pa.array(order[d].tolist(), pa.int64()), "tie": pa.array(tie[d].tolist(), pa.int64()), "at": pa.array(c.at[where], pa.int32())})
-
-    located = docs.groupBy("_chunk").cogroup(recurring.groupBy("_chunk")).applyInArrow(windows, "_chunk int, hash long, none boolean, order long, tie long, at int")
-    first = F.struct("none", "order", "tie", "at")
-    earlier = located.withColumn("first", F.min(first).over(W.partitionBy("hash"))).withColumn("away", F.col("first") != first)
+        c = Chunk(t, window, seed)
+        where = _locate(c, r["seed"].to_numpy().view(np.uint64)) if len(r) and len(c.places) else np.zeros(0, np.int64)
+        hashes = c.runs(window)[where]
+        first = np.sort(np.unique(hashes, return_index=True)[1])  # earliest places, in the order of documents
+        d = np.searchsorted(c.starts, where[first], side="right") - 1
+        return pa.table({"_chunk": of(t, len(first)), "hash": _signed(hashes[first]), "order": pa.array(c.order[d], pa.int64()), "tie": pa.array(c.tie[d], pa.int64()), "at": pa.array(where[first] - c.starts[d], pa.int32())})
+
+    located = docs.groupBy("_chunk").cogroup(recurring.groupBy("_chunk")).applyInArrow(windows, "_chunk int, hash long, order long, tie long, at int")
+    first = F.struct("order", "tie", "at")
     # A chunk is told the windows whose earliest place lies elsewhere; it knows its own places.
-    told = earlier.where("away").select("_chunk", "hash")
+    told = located.withColumn("first", F.min(first).over(W.partitionBy("hash"))).where(F.col("first") != first).select("_chunk", "hash")
 
     def remove(t: pa.Table, r: pa.Table) -> pa.Table:
-        c = Chunk(t["_text"].to_pylist(), window, seed)
-        gone = np.zeros(len(c.ids) + 1, np.int64)
+        c = Chunk(t, window, seed)
+        gone = np.zeros(len(c.hashes) + 1, np.int64)
         if len(c.places):
-            none, order, tie = (np.asarray(t[x].to_pylist()) for x in ("_none", "_order", "_tie"))
-            hashes = c.windows[c.places]
-            away = np.isin(hashes, r["hash"].to_numpy().view(np.uint64)) if len(r) else np.zeros(len(hashes), bool)
-            # Rows with the same key and text stand at one place: they are one document.
-            d = c.doc[c.places]
-            by = np.lexsort((c.at[c.places], tie[d], order[d], none[d], hashes))
-            h, dd, pp = hashes[by], d[by], c.at[c.places][by]
+            hashes = c.runs(window)[c.places]
+            by = np.argsort(hashes, kind="stable")
             new = np.ones(len(by), bool)
-            new[1:] = h[1:] != h[:-1]
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            same = (none[dd] == none[dd[lead]]) & (order[dd] == order[dd[lead]]) & (tie[dd] == tie[dd[lead]]) & (pp == pp[lead])
-            drop = away.copy()
-            drop[by] |= ~same
-            starts = c.places[drop]
-            np.add.at(gone, starts, 1)
-            np.add.at(gone, starts + window, -1)
+            new[1:] = hashes[by][1:] != hashes[by][:-1]
+            lead = by[new][np.cumsum(new) - 1]
+            later = np.zeros(len(by), bool)
+            later[by] = by != lead
+            # Rows with the same key and text are one document: a window at the place of the first one is no repeat.
+            d = np.searchsorted(c.starts, c.places[by], side="right") - 1
+            e = np.searchsorted(c.starts, c.places[lead], side="right") - 1
+            later[by] &= ~((c.order[d] == c.order[e]) & (c.tie[d] == c.tie[e]) & (c.places[by] - c.starts[d] == c.places[lead] - c.starts[e]))
+            if len(r):
+                later |= np.isin(hashes, r["hash"].to_numpy().view(np.uint64))
+            np.add.at(gone, c.places[later], 1)
+            np.add.at(gone, c.places[later] + window, -1)
         out = np.cumsum(gone)[:-1] > 0
-        removed = np.add.reduceat(np.append(out, False).astype(np.int64), c.starts[:-1]) if len(c.texts) else np.zeros(0, np.int64)
-        n = np.diff(c.starts)
+        total = np.concatenate(([0], np.cumsum(out)))
         stays = (~out).tolist()
-        kept = [b" ".join(compress(x, stays[c.starts[i] : c.starts[i + 1]])).decode() for i, x in enumerate(c.texts)]
-        return pa.table({"_key": t["_key"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(np.where(n > 0, removed, 0), pa.int64()), "kept": pa.array(kept, pa.string())})
+        kept = [b" ".join(compress(x.split(), stays[i:j])).decode() for x, i, j in zip(c.texts, c.starts[:-1].tolist(), c.starts[1:].tolist(), strict=True)]
+        return pa.table({"_key": t["_key"].take(pa.array(c.rows)), "n_words": pa.array(c.sizes, pa.int64()), "n_removed": pa.array(total[c.starts[1:]] - total[c.starts[:-1]], pa.int64()), "kept": pa.array(kept, pa.string())})
 
     kind = df.schema[key].dataType.simpleString()
     out = docs.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(remove, f"_key {kind}, n_words long, n_removed long, kept string")
