@@ -54,12 +54,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The write's own shuffle files go as soon as it is done; nothing reads them again. With ``bucket`` the table is
+    bucketed by that column, so that joins on it move only their other side.
+    """
+    spark = df.sparkSession
+    unique = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lorekit/{unique}"
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        if bucket is None:
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        table_name = unique.replace("-", "_")
+        df.write.bucketBy(partitions(spark), bucket).option("path", path).saveAsTable(table_name, format="parquet")
+        return spark.table(table_name)
+    finally:
+        spark.conf.set(cleanup, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that no later plan reads."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorekit/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -72,12 +95,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunked(df: DataFrame, text: str, *key: str, target_bytes: int = 8 << 20) -> DataFrame:
-    """Add ``_chunk``: rows dealt by hash over chunks of about ``target_bytes`` of text, at least four to a partition.
+def chunked(df: DataFrame, text: str, *key: str, target_bytes: int = 8 << 20, each: int = 4) -> DataFrame:
+    """Add ``_chunk``: rows dealt by hash over chunks of about ``target_bytes`` of text, at least ``each`` to a partition.
 
     A chunk is what one Python call holds, so its size does not grow with the input; the number of chunks does.
     """
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(4 * partitions(spark), -(-total // target_bytes))
+    n = max(each * partitions(spark), -(-total // target_bytes))
     return df.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in key], F.col(text)), F.lit(n)).cast("int"))

@@ -7,7 +7,7 @@ tokens. At a context with n observations of q symbols a symbol seen c times has
 remaining symbols are equally likely. The end of a text is one more symbol at the start of a word.
 
 How it is spread: documents lie in chunks of bounded size. A chunk names its distinct words; the words' counts meet in
-one table; the table's parts name their distinct (context, symbol) pairs; pairs meet, and each group of contexts that
+one table; the table's parts name their distinct steps (context and symbol, one number); steps meet, and each group of contexts that
 end in the same two bytes is a subtrie that is coded by itself. The answers travel back the same way: costs to the
 parts of the word table, word scores to the chunks. Nothing is broadcast but counts of the orders 0 and 1, which have
 at most 257 and 257 x 257 entries.
@@ -16,32 +16,48 @@ at most 257 and 257 x 257 entries.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .wordhash import word_hashes
 
-#: Longest context in bytes, and words in a part of the word table.
-ORDER, PART_WORDS = 6, 60_000
+#: Longest context in bytes, at most 6, and words in a part of the word table.
+ORDER, PART_WORDS = 6, 100_000
 #: All bytes and the end of a text; the end is coded as a byte that no word holds.
 SYMBOLS, END, GAP = 257, b"\n", b" "
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words of a text as bytes; bytes.split() knows ASCII white space only."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def coded_steps(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of coding the words, as numbers, and the first step of each word; the end of a text is one step.
 
-
-def transitions(word: bytes, order: int = ORDER) -> list[tuple[bytes, int]]:
-    """(context, symbol) of each step of coding a word; the end of a text is a word of one step."""
-    if word == END:
-        return [(GAP, END[0])]
-    s = GAP + word + GAP
-    return [(s[max(0, i - order) : i], s[i]) for i in range(1, len(s))]
+    A number holds the length of the context, six bytes of context (the nearest lowest) and the symbol.
+    """
+    plain = np.frombuffer(GAP.join([b"", *words, b""]), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(1, len(plain))
+    length = np.minimum(at - np.repeat(starts, sizes), order)
+    out = plain[1:].astype(np.int64) | (length << 56)
+    for k in range(1, order + 1):
+        out |= np.where(length >= k, plain[np.maximum(at - k, 0)].astype(np.int64) << (8 * k), 0)
+    if END in words:  # it has no closing space
+        i = words.index(END)
+        drop = int(starts[i]) + 1
+        out = np.delete(out, drop)
+        starts = starts - (np.arange(len(words)) > i)
+    return out, starts
+
+
+def context(step: int) -> tuple[bytes, int]:
+    """Context and symbol of a coded step."""
+    raw = step.to_bytes(8, "big")
+    return raw[7 - raw[0] : 7], raw[7]
 
 
 def subtrie_costs(rows: list[tuple[bytes, int, int]], low: dict[bytes, dict[int, int]], base: int) -> list[float]:
@@ -90,77 +106,99 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
     """
     spark = df.sparkSession
     common.small_batches(spark)
-    docs = common.chunked(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "_key").withColumn("_held", held_out(F.col("_key")))
+    docs = common.chunked(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "_key", target_bytes=16 << 20, each=2).withColumn("_held", held_out(F.col("_key")))
+
+    if not 1 <= order <= 6:
+        raise ValueError("the order lies between 1 and 6")
 
     def count(t: pa.Table) -> pa.Table:
-        seen: Counter[bytes] = Counter()
-        others: set[bytes] = set()
-        for x, held in zip(t["_text"].to_pylist(), t["_held"].to_pylist(), strict=True):
-            if held:
-                others.update(tokens(x))
-            else:
-                seen.update(tokens(x))
-                seen[END] += 1
-        more = others - seen.keys()
-        names = [*seen, *more]
-        return pa.table({"_chunk": pa.array([t["_chunk"][0].as_py()] * len(names), pa.int32()), "word": pa.array(names, pa.binary()), "n": pa.array([*seen.values(), *[0] * len(more)], pa.int64())})
+        texts = [(x or "").encode("utf-8", "replace").lower() for x in t["_text"].to_pylist()]
+        learns = ~np.asarray(t["_held"].to_pylist(), bool)
+        hashes, sizes = word_hashes(texts)
+        _, one, place = np.unique(hashes, return_index=True, return_inverse=True)
+        n = np.bincount(place, np.repeat(learns, sizes), len(one)).astype(np.int64)
+        # A word is cut out of the text where it is first met; first meetings are taken text by text.
+        by = np.argsort(one)
+        ends = np.cumsum(sizes)
+        cuts = np.searchsorted(one[by], ends)
+        names: list[bytes] = [b""] * len(one)
+        since = 0
+        for d, upto in enumerate(cuts.tolist()):
+            if upto > since:
+                own, start = texts[d].split(), int(ends[d] - sizes[d])
+                for i in by[since:upto].tolist():
+                    names[i] = own[one[i] - start]
+                since = upto
+        names.append(END)
+        return pa.table({"_chunk": pa.array(np.full(len(names), t["_chunk"][0].as_py()), pa.int32()), "word": pa.array(names, pa.binary()), "n": pa.array([*n.tolist(), int(learns.sum())], pa.int64())})
 
     asked = common.materialise(docs.groupBy("_chunk").applyInArrow(count, "_chunk int, word binary, n long"), "ppm-words")
     counted = asked.groupBy("word").agg(F.sum("n").alias("n"))
     counted = common.materialise(counted, "ppm-vocabulary")
     stats = counted.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count(F.lit(1))).first()
-    total, known, size = stats[0] or 0, stats[1] or 0, stats[2]
-    parts = max(2 * common.partitions(spark), -(-size // PART_WORDS))
+    total_tokens, distinct, size = stats[0] or 0, stats[1] or 0, stats[2]
+    parts = max(common.partitions(spark), -(-size // PART_WORDS))
     vocabulary = counted.withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
 
     def pairs(t: pa.Table) -> pa.Table:
-        seen: dict[tuple[bytes, int], int] = {}
-        for w, n in zip(t["word"].to_pylist(), t["n"].to_pylist(), strict=True):
-            for x in transitions(w, order):
-                seen[x] = seen.get(x, 0) + n
-        return pa.table({"_part": pa.array([t["_part"][0].as_py()] * len(seen), pa.int32()), "ctx": pa.array([x[0] for x in seen], pa.binary()), "sym": pa.array([x[1] for x in seen], pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    steps = common.materialise(vocabulary.groupBy("_part").applyInArrow(pairs, "_part int, ctx binary, sym int, n long"), "ppm-steps")
-    met = steps.groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
-    last = lambda n: F.substring("ctx", -n, n) if n else F.lit(b"")
-    low: dict[bytes, dict[int, int]] = defaultdict(dict)
-    for k in (0, 1):  # at most 257 and 257 x 257 rows, whatever the input
-        for r in met.where(F.col("n") > 0).groupBy(last(k).alias("c"), "sym").agg(F.sum("n").alias("n")).collect():
-            low[bytes(r["c"])][r["sym"]] = r["n"]
-    shared = spark.sparkContext.broadcast(dict(low))
+        words = t["word"].to_pylist()
+        steps, starts = coded_steps(words, order)
+        kinds, place = np.unique(steps, return_inverse=True)
+        weights = np.repeat(t["n"].to_numpy(), np.diff([*starts, len(steps)]))
+        n = np.zeros(len(kinds), np.int64)
+        np.add.at(n, place, weights)
+        return pa.table({"_part": pa.array(np.full(len(kinds), t["_part"][0].as_py()), pa.int32()), "step": pa.array(kinds), "n": pa.array(n)})
+
+    steps = common.materialise(vocabulary.groupBy("_part").applyInArrow(pairs, "_part int, step long, n long"), "ppm-steps")
+    met = steps.groupBy("step").agg(F.sum("n").alias("n"))
+    tail = F.shiftright("step", 8).bitwiseAND(F.lit(0xFFFF))  # the last two bytes of the context
+    low: dict[bytes, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    last = F.col("step").bitwiseAND(F.lit(0xFFFF)).alias("s")  # the last byte and the symbol: at most 257 x 257 rows
+    for r in steps.where(F.col("n") > 0).groupBy(last).agg(F.sum("n").alias("n")).collect():
+        for c in (bytes([r["s"] >> 8]), b""):
+            low[c][r["s"] & 255] += r["n"]
+    shared = spark.sparkContext.broadcast({c: dict(node) for c, node in low.items()})
 
     def cost(t: pa.Table) -> pa.Table:
-        rows = list(zip(t["ctx"].to_pylist(), t["sym"].to_pylist(), t["n"].to_pylist(), strict=True))
-        return pa.table({"ctx": t["ctx"], "sym": t["sym"], "cost": pa.array(subtrie_costs(rows, shared.value, 1), pa.float64())})
+        rows = [(*context(x), n) for x, n in zip(t["step"].to_pylist(), t["n"].to_pylist(), strict=True)]
+        return pa.table({"step": t["step"], "cost": pa.array(subtrie_costs(rows, shared.value, 1), pa.float64())})
 
-    costs = met.withColumn("_tail", last(2)).groupBy("_tail").applyInArrow(lambda t: cost(t.drop_columns(["_tail"])), "ctx binary, sym int, cost double")
-    answers = steps.select("_part", "ctx", "sym").join(costs, ["ctx", "sym"])
+    costs = met.withColumn("_tail", tail).groupBy("_tail").applyInArrow(cost, "step long, cost double")
+    answers = steps.select("_part", "step").join(costs, "step")
 
     def spell(words: pa.Table, steps: pa.Table) -> pa.Table:
-        table = dict(zip(zip(steps["ctx"].to_pylist(), steps["sym"].to_pylist(), strict=True), steps["cost"].to_pylist(), strict=True))
-        names = words["word"].to_pylist()
-        return pa.table({"word": words["word"], "n": words["n"], "score": pa.array([sum(table[x] for x in transitions(w, order)) for w in names], pa.float64())})
+        asked, starts = coded_steps(words["word"].to_pylist(), order)
+        by = np.argsort(steps["step"].to_numpy())
+        known, cost = steps["step"].to_numpy()[by], steps["cost"].to_numpy()[by]
+        each = cost[np.searchsorted(known, asked)]
+        return pa.table({"word": words["word"], "n": words["n"], "score": pa.array(np.add.reduceat(each, starts), pa.float64())})
 
     spelt = vocabulary.groupBy("_part").cogroup(answers.groupBy("_part")).applyInArrow(spell, "word binary, n long, score double")
     ends = common.materialise(spelt, "ppm-scores")
+    common.discard(steps)
+    common.discard(counted)
     found = ends.where(F.col("word") == F.lit(END)).first()
     end = (found["n"], found["score"]) if found else (0, -math.log10(SYMBOLS))
     told = asked.select("_chunk", "word").join(ends, "word").select("_chunk", "word", "n", "score")
-    step = math.log10(total + known + 1)
+    step = math.log10(total_tokens + distinct + 1)
 
     def add(t: pa.Table, words: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(words["word"].to_pylist())}
-        place[END] = len(place) if END not in place else place[END]
-        n, s = np.zeros(len(place)), np.zeros(len(place))
-        n[: len(words)], s[: len(words)] = words["n"].to_numpy(), words["score"].to_numpy()
-        n[place[END]], s[place[END]] = end
-        base = np.log10(n + 1) - step
-        rows = []
-        for x in t["_text"].to_pylist():
-            at = np.fromiter(map(place.__getitem__, [*tokens(x), END]), np.int64)
-            rows.append((len(at), int((n[at] > 0).sum()), float(base[at].sum()), float(s[at].sum())))
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.table({"_key": t["_key"], "held_out": t["_held"], "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([total] * len(t), pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
+        known = word_hashes(words["word"].to_pylist())[0]
+        seen = words.filter(pc.not_equal(words["word"], pa.scalar(END, pa.binary())))
+        by = np.argsort(known)
+        n, s = seen["n"].to_numpy()[by], seen["score"].to_numpy()[by]
+        hashes, sizes = word_hashes([(x or "").encode("utf-8", "replace").lower() for x in t["_text"].to_pylist()])
+        at = np.searchsorted(known[by], hashes)
+        ends = np.cumsum(sizes)
+
+        def total(values: np.ndarray, last: float) -> np.ndarray:
+            sums = [values[j - k : j].sum() for j, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            return np.array(sums, np.float64) + last
+
+        hit, base, mine = (n > 0)[at], (np.log10(n + 1.0) - step)[at], s[at]
+        cols = (sizes + 1, total(hit, float(end[0] > 0)).astype(np.int64), np.full(len(t), total_tokens), total(base, math.log10(end[0] + 1) - step), total(mine, end[1]))
+        names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+        return pa.table({"_key": t["_key"], "held_out": t["_held"]} | {k: pa.array(v) for k, v in zip(names, cols, strict=True)})
 
     kind = df.schema[key].dataType.simpleString()
     out = docs.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(add, f"_key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
