@@ -5,13 +5,31 @@ from collections import Counter
 from lorekit.llm import scoring
 
 
+def tokens(text):
+    return (text or "").encode().lower().split()
+
+
+def transitions(word, order):
+    if word == scoring.END:
+        return [(b" ", 10)]
+    s = b" " + word + b" "
+    return [(s[max(0, i - order) : i], s[i]) for i in range(1, len(s))]
+
+
+def test_coded_steps():
+    words = [b"a", b"", b"\x00\xff", scoring.END, b"abcdefghij", b"zz"]
+    steps, starts = scoring.coded_steps(words)
+    got = [[scoring.context(int(x)) for x in p] for p in __import__("numpy").split(steps, starts[1:])]
+    assert got == [transitions(w, scoring.ORDER) for w in words]
+
+
 def plain(rows, order=scoring.ORDER):
     """PPM by hand: one trie of all training transitions, walked for every token."""
     kept = [t for d, t in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
-    c = Counter(w for t in kept for w in [*scoring.tokens(t), scoring.END])
+    c = Counter(w for t in kept for w in [*tokens(t), scoring.END])
     trie = {}
     for w, n in c.items():
-        for ctx, s in scoring.transitions(w, order):
+        for ctx, s in transitions(w, order):
             for k in range(len(ctx) + 1):
                 node = trie.setdefault(ctx[len(ctx) - k :], Counter())
                 node[s] += n
@@ -30,8 +48,8 @@ def plain(rows, order=scoring.ORDER):
 
     out = []
     for d, t in rows:
-        w = [*scoring.tokens(t), scoring.END]
-        out.append((d, len(w), sum(c[x] > 0 for x in w), total, sum(math.log10((c[x] + 1) / (total + size + 1)) for x in w), sum(math.log10(prob(*y)) for x in w for y in scoring.transitions(x, order))))
+        w = [*tokens(t), scoring.END]
+        out.append((d, len(w), sum(c[x] > 0 for x in w), total, sum(math.log10((c[x] + 1) / (total + size + 1)) for x in w), sum(math.log10(prob(*y)) for x in w for y in transitions(x, order))))
     return out
 
 
@@ -56,7 +74,7 @@ def test_documents_and_held_out_fit(spark):
     close(got, plain(rows))
     # Held-out code length: below three bits a byte, and below that of shorter contexts.
     held = {x.doc_id: x.score for x in got if x.held_out}
-    size = sum(len(w) + 1 for d, t in rows if d in held for w in scoring.tokens(t))
+    size = sum(len(w) + 1 for d, t in rows if d in held for w in tokens(t))
     assert held and -sum(held.values()) / math.log10(2) < 3 * size
     for order in (0, 2):
         assert sum(held.values()) > sum(x[5] for x in plain(rows, order) if x[0] in held)
