@@ -31,36 +31,26 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .wordhash import mix, runs, word_hashes
 
 #: Minima by which classes are grouped, and classes or members in a cell.
 KEYS, CELL = 3, 256
 #: One class in SAMPLE is looked at for frequent shingles; those seen FREQUENT times or more, at most MAX_FREQUENT, come last in the order.
 SAMPLE, FREQUENT, MAX_FREQUENT = 32, 4, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    return x ^ (x >> np.uint64(29))
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted hashes of the distinct k-word shingles of each text, A-Z lower-cased; fewer words are one shingle, none are none."""
-    words: dict[bytes, int] = {}
-    split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-    ids = [np.fromiter((words.setdefault(w, len(words)) for w in x), np.int64, len(x)) for x in split]
-    hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), np.uint64)
+    h, sizes = word_hashes([(t or "").encode("utf-8", "replace").lower() for t in texts])
+    full = runs(h, k)
+    ends = np.cumsum(sizes)
     out = []
-    for x in ids:
-        if not len(x):
-            out.append(np.zeros(0, np.uint64))
-            continue
-        h, n = hashes[x], min(k, len(x))
-        run = np.full(len(x) - n + 1, n, np.uint64)  # the length tells a short text from a shingle
-        for i in range(n):
-            run = run * _ODD + h[i : len(x) - n + 1 + i]
-        out.append(np.unique(_mix(run)))
+    for i, n in zip((ends - sizes).tolist(), sizes.tolist(), strict=True):
+        if n >= k:
+            out.append(np.unique(full[i : i + n - k + 1]))
+        else:  # the length tells a short text from a shingle
+            out.append(mix(runs(h[i : i + n], n) + np.uint64(n)) if n else np.zeros(0, np.uint64))
     return out
 
 
@@ -121,7 +111,7 @@ def _sets_frame(df: DataFrame, k: int) -> DataFrame:
         for b in batches:
             sets = shingle_sets(b.column(b.schema.get_field_index("_text")).to_pylist(), k)
             marks = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-            minima = [[int(_signed(_mix(s * _ODD + np.uint64(2 * i + 1)).min(keepdims=True))[0]) for i in range(KEYS)] if len(s) else [] for s in sets]
+            minima = [[int(_signed(mix(s * _ODD + np.uint64(2 * i + 1)).min(keepdims=True))[0]) for i in range(KEYS)] if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("_key")), b.column(b.schema.get_field_index("_text")), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.int64()), pa.array(minima, pa.list_(pa.int64()))],
                 names=["_key", "_text", "_n", "_class", "_keys"],
@@ -144,12 +134,12 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
     marked = common.materialise(rows.select("_key", "_n", "_class"), "jaccard-rows")
     worded = rows.where(F.col("_n") > 0)
     one = worded.groupBy("_class").agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_text").alias("text"))
-    classes = common.materialise(one.withColumnRenamed("_class", "id"), "jaccard-classes")
+    classes = common.materialise(one.withColumnRenamed("_class", "id"), "jaccard-classes", bucket="id")
 
     first = common.materialise(_grouped(classes, k, percent), "jaccard-links")
     groups = components(first)
     opened = common.materialise(_opened(classes, groups, k, percent), "jaccard-opened")
-    more = _across(classes, groups, opened, k, percent)
+    more = common.materialise(_across(classes, groups, opened, k, percent), "jaccard-across")
     label = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
     named = more
     for c in ("a", "b"):
@@ -213,7 +203,7 @@ def _opened(classes: DataFrame, groups: DataFrame, k: int, percent: int) -> Data
                 prefixes.append(_signed(s[:m]).tolist())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), b.column(b.schema.get_field_index("n")), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "prefix"])
 
-    prefixes = classes.select("id", "n", "text").mapInArrow(run, "id long, n long, prefix array<long>")
+    prefixes = common.materialise(classes.select("id", "n", "text").mapInArrow(run, "id long, n long, prefix array<long>"), "jaccard-prefixes")
     known = prefixes.join(groups.select(F.col("v").alias("id"), "comp"), "id", "left").select(F.coalesce("comp", "id").alias("g"), "n", F.explode("prefix").alias("token"))
     matrix = known.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     several = matrix.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where(F.col("x") != F.col("y")).select("token")
@@ -235,15 +225,15 @@ def _across(classes: DataFrame, groups: DataFrame, opened: DataFrame, k: int, pe
         pairs = pairs.join(sizes.select(F.col("comp").alias(c), F.col("m").alias(f"m{c}")), c, "left").withColumn(f"m{c}", F.coalesce(f"m{c}", F.lit(1)))
     small = F.col("mg") <= F.col("mh")
     pairs = pairs.select(F.when(small, F.col("g")).otherwise(F.col("h")).alias("q"), F.when(small, F.col("h")).otherwise(F.col("g")).alias("s"), F.ceil(F.greatest("mg", "mh") / CELL).alias("blocks"))
-    members = classes.select("id", "text").join(groups.select(F.col("v").alias("id"), "comp"), "id", "left").select("id", "text", F.coalesce("comp", "id").alias("comp"))
-    per = pairs.groupBy("s").agg(F.max("blocks").alias("blocks"))
-    rows = members.join(per.withColumnRenamed("s", "comp"), "comp")
-    sets = rows.select(F.col("comp").alias("s"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "text", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("part"))
-    askers = members.join(pairs.withColumnRenamed("q", "comp"), "comp").select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "text", F.lit(True).alias("asks"))
+    # Only ids are dealt out; a group that is no component is its one member.
+    of = lambda df, c: df.join(groups.select(F.col("v").alias("id"), F.col("comp").alias(c)), c, "left").withColumn("id", F.coalesce("id", c))
+    sets = of(pairs.select("s", "blocks").distinct(), "s").select("s", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id")
+    askers = of(pairs, "q").select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id")
     # A block meets its askers in parts of about CELL, with a copy of the block for each.
     parts = askers.groupBy("s", "block").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
-    askers = askers.join(parts, ["s", "block"]).select("s", "block", "id", "text", "asks", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-    sets = sets.join(parts, ["s", "block"]).select("s", "block", "id", "text", "asks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    askers = askers.join(parts, ["s", "block"]).select("s", "block", "id", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    sets = sets.join(parts, ["s", "block"]).select("s", "block", "id", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    full = askers.unionByName(sets).join(classes.select("id", "text"), "id")
 
     def search(t: pa.Table) -> pa.Table:
         ids, asks = t["id"].to_numpy(), np.asarray(t["asks"].to_pylist(), bool)
@@ -252,7 +242,7 @@ def _across(classes: DataFrame, groups: DataFrame, opened: DataFrame, k: int, pe
         found = links([all_sets[i] for i in s], [all_sets[i] for i in q], percent) if len(q) and len(s) else []
         return pa.table({"a": pa.array([ids[q[i]] for i, _ in found], pa.int64()), "b": pa.array([ids[s[j]] for _, j in found], pa.int64())})
 
-    return askers.unionByName(sets).groupBy("s", "block", "part").applyInArrow(search, "a long, b long")
+    return full.groupBy("s", "block", "part").applyInArrow(search, "a long, b long")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
