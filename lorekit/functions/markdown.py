@@ -38,11 +38,11 @@ class Block:
     content: str
 
 
-def rust_lines(text: str) -> list[str]:
-    out = text.split("\n")
-    if out[-1] == "":
-        out.pop()
-    return [x[:-1] if x.endswith("\r") and i < len(out) else x for i, x in enumerate(out)]
+def line_list(text: str) -> list[str]:
+    """Lines without their ends (\\n or \\r\\n); a final line end opens no further line."""
+    *ended, last = text.split("\n")
+    out = [x.removesuffix("\r") for x in ended]
+    return [*out, last] if last else out
 
 
 def inline(text: str) -> str:
@@ -87,7 +87,7 @@ def _markdown(text: str) -> Iterator[tuple[str, str]]:
             yield PROSE, inline("\n".join(x.strip(" \t") if i == len(para) - 1 else x.lstrip(" \t") for i, x in enumerate(para)))
             para.clear()
 
-    lines, i = rust_lines(text), 0
+    lines, i = line_list(text), 0
     while i < len(lines):
         line = lines[i]
         # Quotes and list markers only open containers; their text is prose like any other.
@@ -158,7 +158,7 @@ def split_blocks(body: str) -> list[Block]:
             add(PROSE, run.strip())
         prose.clear()
 
-    for line in rust_lines(body):
+    for line in line_list(body):
         t = line.strip()
         if t.startswith("<") and not t.startswith(("<!--", "<http")):
             flush()

@@ -103,7 +103,7 @@ def populate_vectors(elements: DataFrame, embedder: Embedder, batch: int = BATCH
                 part = pdf.iloc[i : i + batch]
                 vectors = embedder.embed(part["snippet"].tolist())
                 kept = [(x, v) for x, v in zip(part["id"], vectors, strict=True) if v]
-                yield pd.DataFrame({"id": [x for x, _ in kept], "embedding": [v for _, v in kept]})
+                yield pd.DataFrame({"id": pd.Series([x for x, _ in kept], dtype=object), "embedding": pd.Series([v for _, v in kept], dtype=object)})
 
     return rows.mapInPandas(run, "id string, embedding array<float>")
 
