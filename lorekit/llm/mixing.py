@@ -36,11 +36,12 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share:
             "_total": F.sum("source_size").over(everyone) * F.lit(share),
             "_full": F.coalesce(F.sum("_cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
             "_rest": F.sum("_w").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+            "_k": F.row_number().over(by_level),
         }
     )
     level = (F.col("_total") - F.col("_full")) / F.col("_rest")
     fits = filled.withColumn("_level", F.when(level * F.col("_w") <= F.col("_cap"), level))
-    water = fits.withColumn("_water", F.min_by("_level", F.when(F.col("_level").isNotNull(), F.col("_cap") / F.col("_w"))).over(everyone))
+    water = fits.withColumn("_water", F.min_by("_level", F.when(F.col("_level").isNotNull(), F.col("_k"))).over(everyone))
     out = F.when(F.col("_level").isNotNull() | F.col("_water").isNull(), F.least(F.col("_cap"), F.coalesce(F.col("_water") * F.col("_w"), F.col("_cap")))).otherwise(F.col("_cap"))
     return water.select("source", "source_size", out.alias("target"))
 
@@ -89,9 +90,9 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 f AS (SELECT *, (sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE AS total,
   coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS full_,
-  sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+  sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k FROM w),
 l AS (SELECT *, CASE WHEN (total - full_) / rest * w <= cap THEN (total - full_) / rest END AS lvl FROM f),
-m AS (SELECT min_by(lvl, cap / w) FILTER (lvl IS NOT NULL) AS water FROM l),
+m AS (SELECT min_by(lvl, k) FILTER (lvl IS NOT NULL) AS water FROM l),
 t AS (SELECT source, source_size, CASE WHEN lvl IS NOT NULL OR water IS NULL THEN least(cap, coalesce(water * w, cap)) ELSE cap END AS target FROM l, m),
 r AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1.0::DOUBLE) * 4),
   floor(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * 64.0::DOUBLE), size, doc_id NULLS LAST) AS rk,
