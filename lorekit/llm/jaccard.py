@@ -121,12 +121,11 @@ def _sets_frame(df: DataFrame, k: int) -> DataFrame:
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """(key, n_shingles, class_id, component_id), one row for each row of the input.
+    """(key, n_shingles, class_id, component_id), one row for each row of the input; class_id is the smallest key of the rows with an equal set.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. component_id is the smallest key
     that is reachable by links, the row's own included; null keys do not count, and it is null where no row has a key.
-    Rows without words (null, empty, white space) link with nothing and get their own key. class_id is equal for equal
-    sets. Repeated rows and equal keys with other texts are rows of their own.
+    Rows without words (null, empty, white space) link with nothing and get their own key. Repeated rows and equal keys with other texts are rows of their own.
     """
     spark = df.sparkSession
     common.small_batches(spark)
@@ -152,10 +151,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
     of_class = marked.where(F.col("_n") > 0).groupBy("_class").agg(F.min("_key").alias("_min")).join(labels.select(F.col("v").alias("_class"), "comp"), "_class", "left")
     of_class = of_class.select("_class", "_min", F.coalesce("comp", "_class").alias("_comp"))
     least = of_class.groupBy("_comp").agg(F.min("_min").alias("component_id"))
-    final = of_class.join(least, "_comp").select("_class", "component_id")
+    final = of_class.join(least, "_comp").select("_class", F.col("_min").alias("class_id"), "component_id")
     out = marked.where(F.col("_n") > 0).join(final, "_class", "left")
-    out = out.unionByName(marked.where(F.col("_n") == 0).withColumn("component_id", F.col("_key")))
-    return out.select(F.col("_key").alias(key), F.col("_n").alias("n_shingles"), F.col("_class").alias("class_id"), "component_id")
+    out = out.unionByName(marked.where(F.col("_n") == 0).withColumns({"class_id": F.col("_key"), "component_id": F.col("_key")}))
+    return out.select(F.col("_key").alias(key), F.col("_n").alias("n_shingles"), "class_id", "component_id")
 
 
 def _grouped(classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -248,3 +247,16 @@ def _across(classes: DataFrame, groups: DataFrame, opened: DataFrame, k: int, pe
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at 85 of 100 on shingles of four words."""
     return join(common.table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN 'short ' || array_to_string(w, ' ') ELSE array_to_string(w[i:i+3], ' ') END AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM x JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+k AS (SELECT doc_id, md5(string_agg(sh, ' | ' ORDER BY sh)) AS k FROM s GROUP BY doc_id), m AS (SELECT k, min(doc_id) AS class_id FROM k GROUP BY k),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(class_id, doc_id) AS class_id, min(b) AS component_id FROM d JOIN r ON doc_id = a LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN m USING (k) GROUP BY ALL
+"""

@@ -30,18 +30,18 @@ def rendezvous(key: Column, shards: Sequence[tuple[int, float]]) -> Column:
     return (F.least(*scores) if len(scores) > 1 else scores[0])["shard"]
 
 
-def with_slots(df: DataFrame, shard: str = "shard", key: str = "doc_id", slot: str = "slot", pieces: int = PIECES) -> DataFrame:
+def with_slots(df: DataFrame, shard: str = "shard", key: str = "doc_id", slot: str = "slot", apart: Sequence[str] = (), pieces: int = PIECES) -> DataFrame:
     """Number the rows of each shard without gaps from 0.
 
-    Rows are ranked within (shard, piece of the key's hash); the pieces' offsets are a running sum over at most
-    shards x pieces rows, which is a bound that does not depend on the data, so they are broadcast. Rows that share a
-    key are told apart by the remaining columns that the frame has.
+    Rows are ranked within (shard, piece), a piece being a hash of the key and of the columns ``apart``, which spread
+    the rows of a frequent key; the pieces' offsets are a running sum over at most shards x pieces rows, which is a
+    bound that does not depend on the data, so they are broadcast.
     """
-    df = df.withColumn("_piece", F.pmod(F.xxhash64(F.col(key).cast("string"), *[F.col(c) for c in df.columns if c not in (key, shard) and not c.startswith("_")]), F.lit(pieces)).cast("int"))
+    df = df.withColumn("_piece", common.bucket(pieces, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *apart)]))
     counts = df.groupBy(shard, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(shard).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(shard).alias("_s"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(shard, "_piece").orderBy(F.col(key).asc_nulls_last()))
+    rank = F.row_number().over(Window.partitionBy(shard, "_piece").orderBy(F.col(key).asc_nulls_last(), *apart))
     ranked = df.withColumn("_rank", rank)
     return (
         ranked.join(F.broadcast(offsets), (F.col(shard) == F.col("_s")) & (F.col("_piece") == F.col("_p")))
@@ -71,5 +71,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
     eight = [(i, 1.0) for i in range(8)]
-    out = with_slots(assign(rows, "doc_id", eight, [*eight, (8, 1.0)]))
+    out = with_slots(assign(rows, "doc_id", eight, [*eight, (8, 1.0)]), apart=("size", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+OP5_SQL = """
+WITH poly AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n::BIGINT], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, size, list_transform(range(9), lambda i: -ln(('0x' || substr(md5(k || ':' || i), 1, 12))::BIGINT / 281474976710656.0::DOUBLE + pow(2.0, -49))) AS s,
+  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, size - 1), lambda i: ('0x' || substr(h, 2 * i::INT + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, poly),
+a AS (SELECT doc_id, k, size, text_crc32, list_position(s[1:8], list_min(s[1:8])) - 1 AS shard, list_position(s, list_min(s)) - 1 AS grown_shard FROM c)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY floor(('0x' || substr(md5(k || ':' || size || ':' || text_crc32), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * 1024.0::DOUBLE), doc_id NULLS LAST, size, text_crc32) - 1 AS slot FROM a
+"""
