@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Entries that a worker remembers: pieces with their ids, and pairs with their verdict. The pieces in either of two generations.
-MAX_PIECES, MAX_PAIRS = 250_000, 500_000
+MAX_PIECES, MAX_PAIRS = 150_000, 250_000
 
 
 @dataclass
@@ -207,9 +207,9 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared)
+        tokens = shared.value.tokens  # no automaton and no memory of pieces is needed here
         for b in batches:
-            found = [coder.decode(x or []) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            found = [b"".join(map(tokens.__getitem__, x or [])) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
