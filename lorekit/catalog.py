@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekit.functions import markdown
+from lorekit.functions import code, diff, markdown, providers
 from lorekit.functions import text as X
 from lorekit.operators import drift, graph, locale, search, stats
 from lorekit.sources import pages as P
@@ -484,6 +484,83 @@ def title_segments(spark, d):
     return own.select(F.regexp_extract("relative_path", r"(\d+)", 1).cast("long").alias("doc_id"), "n_segments_least", "title_hash")
 
 
+@query("""SELECT 'd/' || doc_id || '.mdx' AS relative_path, '---' || chr(10) || 'lang: ' || lang || chr(10) || 'title: [TODO] Doc ' || doc_id || chr(10) || '---' || chr(10) || chr(10) || '{/* TODO: translate from EN */}' || chr(10) || chr(10) || source || chr(10) || chr(10) || 'Text' || chr(10) || chr(10)
+|| CASE WHEN regexp_matches(regexp_replace(text, '[^\\p{L}\\p{N} \\n]', ' ', 'g'), '[^ \\n]') THEN '<!-- TODO: translate -->' || chr(10) || chr(10) ELSE '' END AS stub FROM documents""")
+def scaffold_stub(spark, d):
+    return markdown.with_stub(markdown.with_blocks(P.pages(_markdown(spark, d))))
+
+
+@query("SELECT conv_id::VARCHAR AS relative_path, 'fr' AS target, turn::VARCHAR AS seg_key, '[FR] ' || text AS translated FROM conversations WHERE role <> 'system'")
+def translate_mock(spark, d):
+    segments = _segments(spark, d)
+    todo = locale.pending(segments, _lock(spark, d), ["fr"], force=True)
+    return providers.translate_segments(todo, providers.Mock()).select("relative_path", "target", "seg_key", "translated")
+
+
+@query("""SELECT doc_id::VARCHAR AS path, '--- a/' || doc_id || chr(10) || '+++ b/' || doc_id || chr(10) || '+An inserted line.' || chr(10)
+|| array_to_string(list_transform(CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END, lambda x: ' ' || x || chr(10)), '') AS patch, true AS changed FROM documents""")
+def diff_text(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("a"), F.concat(F.lit("An inserted line.\n"), "text").alias("b"))
+    return diff.with_diff(docs, "path", "a", "b")
+
+
+# Code over generated sources: a Python file for each part, that imports the file of its brand.
+
+
+def _parsed(spark, d):
+    part = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), F.regexp_replace("p_brand", r"\W", "_").alias("brand"))
+    of_part = F.concat(F.lit("from ."), "brand", F.lit(" import Base\n\n\nclass C"), "k", F.lit("(Base):\n    def run(self, a, b=1):\n        return f"), "k", F.lit("(a)\n\n\ndef f"), "k", F.lit("(x):\n    return x\n"))
+    parts = part.select(F.concat(F.lit("p"), "k").alias("name"), of_part.alias("content"))
+    brands = part.select("brand").distinct().select(F.col("brand").alias("name"), F.lit("class Base:\n    pass\n").alias("content"))
+    path = F.concat(F.lit("app/"), "name", F.lit(".py"))
+    return code.parse_files(parts.unionByName(brands).select(path.alias("path"), path.alias("relative_path"), F.lit("python").alias("language"), "content"))
+
+
+_CODE_SQL = r"b AS (SELECT DISTINCT regexp_replace(p_brand, '\W', '_', 'g') AS brand FROM part), p AS (SELECT p_partkey::VARCHAR AS k, regexp_replace(p_brand, '\W', '_', 'g') AS brand, 'app/p' || p_partkey || '.py' AS path FROM part)"
+
+
+@query(f"""WITH {_CODE_SQL} SELECT 'file' AS element_type, 'p' || k || '.py' AS name, path AS relative_path, 1 AS start_line, 10 AS end_line, NULL AS signature, 'python file, 1 class: C' || k || ', 1 function: f' || k || ', 10 lines' AS summary, 'file_' || substr(md5(path), 1, 12) AS id FROM p
+UNION ALL SELECT 'class', 'C' || k, path, 4, 6, 'class C' || k || '(Base)', NULL, 'class_' || substr(md5(path || '::C' || k), 1, 12) FROM p
+UNION ALL SELECT 'function', 'C' || k || '.run', path, 5, 6, 'def run(self, a, b)', NULL, 'function_' || substr(md5(path || '::C' || k || '::run'), 1, 12) FROM p
+UNION ALL SELECT 'function', 'f' || k, path, 9, 10, 'def f' || k || '(x)', NULL, 'function_' || substr(md5(path || '::f' || k), 1, 12) FROM p
+UNION ALL SELECT 'file', brand || '.py', 'app/' || brand || '.py', 1, 2, NULL, 'python file, 1 class: Base, 2 lines', 'file_' || substr(md5('app/' || brand || '.py'), 1, 12) FROM b
+UNION ALL SELECT 'class', 'Base', 'app/' || brand || '.py', 1, 2, 'class Base', NULL, 'class_' || substr(md5('app/' || brand || '.py::Base'), 1, 12) FROM b""")
+def code_elements(spark, d):
+    return code.elements(_parsed(spark, d)).select("element_type", "name", "relative_path", "start_line", "end_line", "signature", "summary", "id")
+
+
+@query(f"WITH {_CODE_SQL} SELECT path AS relative_path, brand AS module, ['Base'] AS names, 1 AS line, true AS is_from, 1 AS level FROM p")
+def code_imports(spark, d):
+    return code.imports(_parsed(spark, d)).drop("alias")
+
+
+@query(f"WITH {_CODE_SQL} SELECT path AS relative_path, 'f' || k AS callee_name, 6 AS line FROM p")
+def code_calls(spark, d):
+    return code.calls(_parsed(spark, d)).drop("qualifier")
+
+
+@query(f"""WITH {_CODE_SQL} SELECT 'dependency' AS graph, 'file_' || substr(md5(path), 1, 12) AS src, 'file_' || substr(md5('app/' || brand || '.py'), 1, 12) AS dst, 'imports' AS label FROM p
+UNION ALL SELECT 'call', 'function_' || substr(md5(path || '::C' || k || '::run'), 1, 12), 'function_' || substr(md5(path || '::f' || k), 1, 12), 'calls' FROM p
+UNION ALL SELECT 'inheritance', 'class_' || substr(md5(path || '::C' || k), 1, 12), (SELECT 'class_' || substr(md5('app/' || max(brand) || '.py::Base'), 1, 12) FROM b), 'extends' FROM p""")
+def code_edges(spark, d):
+    parsed = _parsed(spark, d)
+    elements, imports, calls = code.elements(parsed), code.imports(parsed), code.calls(parsed)
+    return graph.dependency_edges(imports, elements).unionByName(graph.call_edges(calls, imports, elements)).unionByName(graph.inheritance_edges(elements))
+
+
+@query(f"WITH {_CODE_SQL} SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM b) AS total_files, 10 * (SELECT count(*) FROM p) + 2 * (SELECT count(*) FROM b) AS total_lines, 6 * (SELECT count(*) FROM p) + 2 * (SELECT count(*) FROM b) AS code_lines, (SELECT count(*) FROM p) + (SELECT count(*) FROM b) AS total_classes, 2 * (SELECT count(*) FROM p) AS total_functions, (SELECT count(*) FROM p) AS total_imports, 4 * (SELECT count(*) FROM p) + 2 * (SELECT count(*) FROM b) AS total_elements")
+def scan_totals(spark, d):
+    parsed = _parsed(spark, d)
+    return stats.scan_totals(parsed.select("path"), parsed, code.elements(parsed))
+
+
+@query("""SELECT vec_id, CASE WHEN label = 0 THEN 1.0 ELSE embedding[1] END::FLOAT AS first FROM embeddings""")
+def vector_upsert(spark, d):
+    store = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    new = _t(spark, d, "embeddings").where("label = 0").select(F.col("vec_id").alias("id"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    return search.upsert_vectors(store, new).select(F.col("id").alias("vec_id"), F.get("embedding", F.lit(0)).alias("first"))
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) SELECT lang, rank::INT AS rank, doc_id FROM r WHERE rank <= 15""")
 def top_per_group(spark, d):
     docs = _t(spark, d, "documents").select("lang", "doc_id", F.col("n_chars").alias("score"))

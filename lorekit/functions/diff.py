@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import bisect
 import difflib
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A line with its end.
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
+
+
 def unified(path: str, original: str, proposed: str) -> str:
     """Every line of both texts with its sign under two header lines; '' for two empty texts."""
-    a, b = original.splitlines(keepends=True), proposed.splitlines(keepends=True)
+    a, b = _LINE.findall(original), _LINE.findall(proposed)
     out: list[str] = []
     for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if kind == "equal":

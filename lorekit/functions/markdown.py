@@ -257,6 +257,17 @@ def stub(meta: dict[str, str], blocks: Iterable[Block]) -> str:
     return out
 
 
+def with_stub(df: DataFrame, out: str = "stub") -> DataFrame:
+    """(relative_path, stub) of pages with ``frontmatter`` and ``blocks``."""
+
+    def run(batches):
+        for pdf in batches:
+            own = [stub(dict(m), [Block(b["index"], b["kind"], b["content"]) for b in bs]) for m, bs in zip(pdf["frontmatter"], pdf["blocks"], strict=True)]
+            yield pdf[["relative_path"]].assign(**{out: own})
+
+    return df.select("relative_path", "frontmatter", "blocks").mapInPandas(run, f"relative_path string, {out} string")
+
+
 def apply_updates(meta: dict[str, str], blocks: list[Block], updates: dict[str, str], source: list[Block] | None = None) -> tuple[dict[str, str], list[Block]]:
     """A target page with new segment values; blocks that are not translated are those of the source, where it is given."""
     meta = {k: updates.get(f"frontmatter:{k}", v) for k, v in meta.items()}

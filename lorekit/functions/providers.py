@@ -64,6 +64,29 @@ class Chat:
         return json.loads(self._ask(prompt, True))
 
 
+@dataclass
+class HttpEmbedder:
+    """A server with the embeddings interface; a text that fails gets no vector."""
+
+    base_url: str
+    model: str
+    key_variable: str = "LOREKIT_EMBEDDING_API_KEY"
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if not os.environ.get(self.key_variable):
+            raise KeyError(f"{self.key_variable} is not set")
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ[self.key_variable]}"}
+        out = []
+        for t in texts:
+            request = urllib.request.Request(f"{self.base_url}/embeddings", json.dumps({"model": self.model, "input": t}).encode(), headers)
+            try:
+                with urllib.request.urlopen(request, timeout=60) as reply:
+                    out.append(json.load(reply)["data"][0]["embedding"])
+            except OSError:
+                out.append([])
+        return out
+
+
 def provider(config: dict | None = None) -> Provider:
     """The mock where the configuration or LOREKIT_LLM_MOCK=1 asks for it or no key is set, else a chat client."""
     config = config or {}
@@ -119,4 +142,4 @@ def token_budget(texts: DataFrame, text: str = "value", prompt_bytes: int = 0) -
     return out.select("n", tokens.alias("tokens"), X.chunk_size(tokens, F.col("n")).alias("chunk_size"))
 
 
-__all__ = ["Chat", "Mock", "Provider", "improve_prompt", "plan_prompt", "provider", "token_budget", "translate_prompt", "translate_segments"]
+__all__ = ["Chat", "HttpEmbedder", "Mock", "Provider", "improve_prompt", "plan_prompt", "provider", "token_budget", "translate_prompt", "translate_segments"]

@@ -75,6 +75,11 @@ def enclosing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, star
     return points.join(best, [*by, at]).select(*points.columns, "_best.*")
 
 
+def lookup(ids: DataFrame, elements: DataFrame, id_: str = "id") -> DataFrame:
+    """Elements by id with path and module, for a frame of ids; unknown ids are left out."""
+    return ids.select(F.col(id_).alias("id")).join(elements, "id").withColumn("module", X.module_path(F.col("relative_path")))
+
+
 def simple_name(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
