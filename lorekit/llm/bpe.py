@@ -14,7 +14,9 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -184,6 +186,12 @@ def _coder(shared) -> Coder:
     return _coders[key]
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """Values of all lists in a row, and where each list begins and ends; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes))).tolist()
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of a text as array<int>. A null text is empty. Rows are independent; the vocabulary has a fixed size."""
     spark = df.sparkSession
@@ -209,7 +217,9 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value.tokens  # no automaton and no memory of pieces is needed here
         for b in batches:
-            found = [b"".join(map(tokens.__getitem__, x or [])) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            flat, ends = _flat(b.column(b.schema.get_field_index(ids)))
+            each = flat.tolist()
+            found = [b"".join(map(tokens.__getitem__, each[i:j])) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
@@ -219,11 +229,9 @@ def digests(df: DataFrame, ids: str = "ids", decoded: str = "bytes") -> DataFram
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
-            lists = b.column(b.schema.get_field_index(ids))
-            flat, ends = np.asarray(lists.flatten()).astype("<u4"), np.cumsum([0, *(len(x) for x in lists)])
+            flat, ends = _flat(b.column(b.schema.get_field_index(ids)))
+            flat = flat.astype("<u4")
             packed = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(ends[:-1], ends[1:], strict=True)]
             whole = [hashlib.sha256(x or b"").hexdigest() for x in b.column(b.schema.get_field_index(decoded)).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(np.diff(ends), pa.int64()), pa.array(packed), pa.array(whole)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
