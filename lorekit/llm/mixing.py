@@ -78,9 +78,9 @@ def mix(df: DataFrame, key: str, size: Column, **options) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of every document under weights 5, 2, 1, repeating. The text itself is never shuffled."""
+    """Copies of every document under weights 5, 2, 1, repeating. The texts are read once, for their sizes, and never shuffled."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", common.word_count(F.col("text")).alias("size"))
-    taken = copies(docs, "doc_id", F.col("size"))
+    taken = copies(common.materialise(docs, "mix-sizes"), "doc_id", F.col("size"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
