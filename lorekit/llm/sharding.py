@@ -34,8 +34,8 @@ def with_slots(df: DataFrame, shard: str = "shard", key: str = "doc_id", slot: s
     """Number the rows of each shard without gaps from 0.
 
     Rows are ranked within (shard, piece), a piece being a hash of the key and of the columns ``apart``, which spread
-    the rows of a frequent key; the pieces' offsets are a running sum over at most shards x pieces rows, which is a
-    bound that does not depend on the data, so they are broadcast.
+    the rows of a frequent key; the pieces' offsets are a running sum over at most shards x pieces rows. They are joined
+    on what the rows are dealt by already; Spark broadcasts them where they are below its threshold.
     """
     df = df.withColumn("_piece", common.bucket(pieces, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *apart)]))
     counts = df.groupBy(shard, "_piece").agg(F.count(F.lit(1)).alias("_n"))
@@ -44,7 +44,7 @@ def with_slots(df: DataFrame, shard: str = "shard", key: str = "doc_id", slot: s
     rank = F.row_number().over(Window.partitionBy(shard, "_piece").orderBy(F.col(key).asc_nulls_last(), *apart))
     ranked = df.withColumn("_rank", rank)
     return (
-        ranked.join(F.broadcast(offsets), (F.col(shard) == F.col("_s")) & (F.col("_piece") == F.col("_p")))
+        ranked.join(offsets, (F.col(shard) == F.col("_s")) & (F.col("_piece") == F.col("_p")))
         .withColumn(slot, (F.col("_before") + F.col("_rank") - 1).cast("long"))
         .drop("_s", "_p", "_before", "_rank", "_piece")
     )
