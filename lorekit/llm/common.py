@@ -77,12 +77,14 @@ def materialise(df: DataFrame, name: str, bucket: str | None = None) -> DataFram
         spark.conf.set(cleanup, before)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            spark.sql(f"DROP TABLE IF EXISTS `{path.getName().replace('-', '_')}`")
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -98,9 +100,13 @@ def partitions(spark: SparkSession) -> int:
 def chunked(df: DataFrame, text: str, *key: str, target_bytes: int = 8 << 20, each: int = 4) -> DataFrame:
     """Add ``_chunk``: rows dealt by hash over chunks of about ``target_bytes`` of text, at least ``each`` to a partition.
 
-    A chunk is what one Python call holds, so its size does not grow with the input; the number of chunks does.
+    A chunk is what one Python call holds, so its size does not grow with the input; the number of chunks does. The
+    size of the input is the planner's estimate, three bytes of text to a byte of file; only where the planner has none
+    are the texts read for it.
     """
     spark = df.sparkSession
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    total = 3 * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if total > 1 << 58:
+        total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(each * partitions(spark), -(-total // target_bytes))
     return df.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in key], F.col(text)), F.lit(n)).cast("int"))

@@ -139,6 +139,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
     groups = components(first)
     opened = common.materialise(_opened(classes, groups, k, percent), "jaccard-opened")
     more = common.materialise(_across(classes, groups, opened, k, percent), "jaccard-across")
+    common.discard(classes, opened, first)
     label = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
     named = more
     for c in ("a", "b"):
@@ -207,6 +208,7 @@ def _opened(classes: DataFrame, groups: DataFrame, k: int, percent: int) -> Data
     matrix = known.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     several = matrix.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where(F.col("x") != F.col("y")).select("token")
     cells = common.materialise(matrix.join(several, "token"), "jaccard-matrix")
+    common.discard(prefixes)
     other = cells.select("token", F.col("g").alias("h"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = cells.join(other, "token").where((F.col("g") < F.col("h")) & (100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low")))
     met = pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("low2").alias("low2"), F.max("high2").alias("high2"))

@@ -70,41 +70,56 @@ def repeated_words(words: Column, window: int = 5) -> Column:
     return common.let(words, lambda w: F.when(F.size(w) <= window, F.lit(0)).otherwise(common.let(hashes(w), of_hashes))).cast("long")
 
 
-def judge(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost, kept and ``cleaned``.
+def verdict(text: Column) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost, kept and ``cleaned`` of a text.
 
-    Null and empty texts have no words, fail the base rule and are not kept; ``cleaned`` is then null or empty. Every
-    row is judged alone, so ties, repeated rows and other columns do not matter; columns of these names are replaced.
+    Null and empty texts have no words, fail the base rule and are not kept; ``cleaned`` is then null or empty.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(text, F.lit(""))
     has_word = lambda line: line.rlike(common.WORD)
     lines = F.split(t, "\n", -1)
     worded = F.filter(lines, has_word)
     # Each array is bound once per row; plain references would be inlined and computed again inside the lambdas.
-    marked = common.let(
-        lines,
-        lambda ls: F.transform(ls, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x)).alias("fails"))),
-    )
-    verdict = common.let(
+    marked = common.let(lines, lambda ls: F.transform(ls, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x)).alias("fails"))))
+    parts = common.let(
         marked,
         lambda m: F.struct(
+            common.word_count(t).alias("n_words"),
+            F.length(F.regexp_replace(t, common.SPACE, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            common.let(worded, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("n_dup_lines"),
+            repeated_words(common.words(t)).alias("n_repeat_words"),
             F.aggregate(F.filter(m, lambda x: x["fails"]), F.lit(0), lambda a, x: a + F.regexp_count(x["line"], F.lit(common.WORD))).cast("long").alias("n_lost"),
-            F.array_join(F.transform(F.filter(m, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("cleaned"),
+            F.when(text.isNotNull(), F.array_join(F.transform(F.filter(m, lambda x: ~x["fails"]), lambda x: x["line"]), "\n")).alias("cleaned"),
         ),
     )
-    base = df.withColumns(
-        {
-            "n_words": common.word_count(t),
-            "word_chars": F.length(F.regexp_replace(t, common.SPACE, "")).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": common.let(worded, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long"),
-            "n_repeat_words": repeated_words(common.words(t)),
-            "_verdict": verdict,
-        }
-    )
-    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    out = base.withColumns({"base_failed": failed, "n_lost": F.col("_verdict.n_lost"), "cleaned": F.when(F.col(text).isNotNull(), F.col("_verdict.cleaned"))})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost") * 100 <= F.col("n_words") * MAX_LOST_SHARE)).drop("_verdict")
+
+    def judged(p: Column) -> Column:
+        failed = (p["n_words"] < 10) | (p["n_repeat_words"] * 100 > p["n_words"] * 20)
+        own = [p[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost", "cleaned")]
+        return F.struct(*own, failed.alias("base_failed"), (~failed & (p["n_lost"] * 100 <= p["n_words"] * MAX_LOST_SHARE)).alias("kept"))
+
+    return common.let(parts, judged)
+
+
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost", "kept", "cleaned")
+
+
+def judge(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add the fields of ``verdict`` to every row.
+
+    Every row is judged alone, so ties, repeated rows and other columns do not matter; columns of these names are replaced.
+    """
+    return df.withColumn("_v", verdict(F.col(text))).withColumns({c: F.col(f"_v.{c}") for c in FIELDS}).drop("_v")
+
+
+def keep(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that are kept, with their cleaned text.
+
+    The verdict is generated where it is positive: a filter on it would be pushed down and have it computed twice.
+    """
+    kept = df.withColumn("_v", F.explode(F.filter(F.array(verdict(F.col(text))), lambda v: v["kept"])))
+    return kept.withColumn(text, F.col("_v.cleaned")).drop("_v")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

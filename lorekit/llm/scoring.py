@@ -175,8 +175,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
 
     spelt = vocabulary.groupBy("_part").cogroup(answers.groupBy("_part")).applyInArrow(spell, "word binary, n long, score double")
     ends = common.materialise(spelt, "ppm-scores")
-    common.discard(steps)
-    common.discard(counted)
+    common.discard(steps, counted)
     found = ends.where(F.col("word") == F.lit(END)).first()
     end = (found["n"], found["score"]) if found else (0, -math.log10(SYMBOLS))
     told = asked.select("_chunk", "word").join(ends, "word").select("_chunk", "word", "n", "score")
