@@ -26,8 +26,7 @@ def _recounted(df: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; kept ones lose their failing lines."""
-    judged = quality.judge(docs).where("kept").drop("text").withColumnRenamed("cleaned", "text")
-    return _recounted(judged)
+    return _recounted(quality.keep(docs.select(*COLUMNS)))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +35,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are no duplicates of each other and stay.
     """
     found = jaccard.join(docs, k=SHINGLE, percent=PERCENT)
-    groups = found.where(F.col("n_shingles") > 0).select(F.col("doc_id").alias("_id"), "component_id").distinct()
-    # Most documents are their own component; only keys travel until it is known which stay.
-    heads = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id")
-    wordless = found.where(F.col("n_shingles") == 0).select(F.col("doc_id").alias("_id"))
-    kept = docs.join(heads.unionByName(wordless).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), "source", "lang")
+    stays = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Only keys travel until it is known which stay; then each text moves once, for the join and the order alike.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = docs.withColumn("_name", name).join(stays.select(name.alias("_name")).distinct(), "_name", "left_semi")
+    order = Window.partitionBy("_name").orderBy(F.col("text").asc_nulls_last(), "source", "lang")
     return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*COLUMNS)
 
 
