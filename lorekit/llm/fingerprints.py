@@ -1,14 +1,16 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
 
 Sections end at blank lines or before headings (and after at most MAX_PARAGRAPHS paragraphs), paragraphs at line ends,
-leaves at sentence ends or after LEAF code points. The hash of a node is that of its children's hashes, so equal roots
-mean equal texts, and two trees are compared from the root down: a branch that both have is counted as a whole, and
-only differing branches are opened, down to the leaves that differ.
+leaves at full stops, after one word in ENDS (by its hash) and before LEAF code points are passed: one rule for all
+lengths. The hash of a node is that of its children's hashes, so equal roots mean equal texts, and two trees are
+compared from the root down: a branch that both have is counted as a whole, and only differing branches are opened,
+down to the leaves that differ.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,25 +21,35 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Code points in a leaf, and paragraphs in a section, at most. Texts up to SHORT code points have leaves of one word.
-LEAF, MAX_PARAGRAPHS, SHORT = 48, 16, 400
+#: Code points in a leaf, and paragraphs in a section, at most; one word in ENDS ends a leaf.
+LEAF, MAX_PARAGRAPHS, ENDS = 48, 16, 3
 
 
 def _hash(data: bytes) -> str:
     return hashlib.blake2b(data, digest_size=6).hexdigest()
 
 
-def leaves(paragraph: str, fine: bool = False) -> list[str]:
-    """Pieces of a paragraph that join to it again."""
-    out = []
-    for s in paragraph.split(" ") if fine else paragraph.split(". "):
-        # Long sentences are cut at the last space before LEAF code points, or there if they have none.
-        while len(s) > LEAF:
-            cut = s.rfind(" ", 1, LEAF + 1)
-            cut = LEAF if cut < 1 else cut
-            out.append(s[:cut])
-            s = s[cut:]
-        out.append(s)
+def leaves(paragraph: str) -> list[str]:
+    """Pieces of a paragraph that join to it again by spaces (without, where a long word is cut).
+
+    The words themselves tell where leaves end, whatever the length of the text, so an edit moves the cuts near it only.
+    """
+    out, since, size = [], 0, 0
+    words = paragraph.split(" ")
+    for i, w in enumerate(words):
+        if i > since and size + len(w) > LEAF:
+            out.append(" ".join(words[since:i]))
+            since, size = i, 0
+        if len(w) > LEAF:
+            out += [w[j : j + LEAF] for j in range(0, len(w), LEAF)]
+            since = i + 1
+            continue
+        size += len(w) + 1
+        if w.endswith(".") or not zlib.crc32(w.encode("utf-8", "replace")) % ENDS:
+            out.append(" ".join(words[since : i + 1]))
+            since, size = i + 1, 0
+    if since < len(words):
+        out.append(" ".join(words[since:]))
     return out
 
 
@@ -49,7 +61,7 @@ def tree(text: str | None) -> list[list[list[str]]]:
         heading = line.startswith("#")
         if sections[-1] and (heading or len(sections[-1]) >= MAX_PARAGRAPHS):
             sections.append([])
-        sections[-1].append([_hash(x.encode("utf-8", "replace")) for x in leaves(line, len(text) <= SHORT)])
+        sections[-1].append([_hash(x.encode("utf-8", "replace")) for x in leaves(line)])
         if not line.strip():
             sections.append([])
     return [s for s in sections if s]

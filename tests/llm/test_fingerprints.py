@@ -52,6 +52,17 @@ def test_root_and_edits():
     assert fp.likeness(fp.parse(fp.fingerprint("abc\n")), fp.parse(fp.fingerprint("abc "))) < 1
 
 
+def test_one_rule_for_all_lengths():
+    """Near copies and edits on both sides of 400 code points, where leaves once changed their grain."""
+    like = lambda a, b: fp.likeness(fp.parse(fp.fingerprint(a)), fp.parse(fp.fingerprint(b)))
+    text = " ".join(f"w{i * i % 97}" for i in range(200))
+    for n in (390, 397, 399, 400, 410):
+        assert like(text[:n], text[:n] + " two words") > 0.9 and like(text[:n], "two words " + text[:n]) > 0.9
+    long = " ".join(f"word{i}" for i in range(80))
+    assert len(long) > 400 and 0.35 < like(long, long[: len(long) // 2] + " end") < 0.6
+    assert fp.leaves("") == [""] and " ".join(fp.leaves("a b. c  d " + "x" * 48)) == "a b. c  d " + "x" * 48 and "".join(fp.leaves("x" * 100)) == "x" * 100
+
+
 def test_frame(spark):
     df = spark.createDataFrame([("a. b",), (None,)], "text string")
     assert {x.fingerprint for x in fp.add_fingerprint(df).collect()} == {fp.fingerprint("a. b"), fp.fingerprint("")}
