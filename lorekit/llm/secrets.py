@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 A candidate run of characters is scored by the log-likelihood ratio of its character transitions under two bigram
-models, both trained from labelled samples; runs above a threshold are reported as kind ``markov`` unless a pattern
-already covers part of them. All of it is one projection over the text. The trained table has one number for each
+models, both trained from labelled samples; runs above a threshold are reported as kind ``markov``. Where a pattern
+covers part of a run, the pieces that it leaves are scored instead. All of it is one projection over the text. The trained table has one number for each
 pair of symbols of a fixed alphabet, whatever the input, so it goes into the plan as a constant.
 """
 
@@ -24,7 +24,9 @@ PATTERNS = (
 )
 KINDS = (*[p[0] for p in PATTERNS], "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-"
-CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+#: Characters in a candidate, or in what patterns leave of one, at least.
+LEAST = 20
+CANDIDATE = r"[A-Za-z0-9+/=_-]{%d,}" % LEAST
 #: Mean log-likelihood ratio a transition, in nats, from which a candidate counts as random.
 THRESHOLD = 0.5
 PLACEHOLDER = "[SECRET]"
@@ -112,6 +114,21 @@ def ratio(value: Column, model: list[float]) -> Column:
     return common.let(ids, mean)
 
 
+def _outside(run: Column, base: Column) -> Column:
+    """The pieces of a candidate of at least LEAST characters that lie outside all base spans, as spans of its rank."""
+    met = F.array_sort(F.filter(base, lambda x: (x["start"] < run["end"]) & (run["start"] < x["end"])))
+    none = F.array().cast("array<struct<start:int,end:int,rank:int,value:string>>")
+
+    def upto(a: Column, end: Column) -> Column:
+        value = F.substring(run["value"], a["pos"] - run["start"] + 1, end - a["pos"])
+        piece = F.struct(a["pos"].alias("start"), end.alias("end"), run["rank"].alias("rank"), value.alias("value"))
+        return F.when(end - a["pos"] >= LEAST, F.concat(a["out"], F.array(piece))).otherwise(a["out"])
+
+    step = lambda a, x: F.struct(F.greatest(a["pos"], x["end"]).alias("pos"), upto(a, x["start"]).alias("out"))
+    cut = F.aggregate(met, F.struct(run["start"].alias("pos"), none.alias("out")), step, lambda a: upto(a, run["end"]))
+    return F.when(F.size(met) > 0, cut).otherwise(F.array(run))
+
+
 def scan(df: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``spans``: array of (start, end, rank, value) by start, then kind; offsets in code points, end exclusive.
 
@@ -121,10 +138,9 @@ def scan(df: DataFrame, model: list[float], text: str = "text", threshold: float
     base = F.concat(*[_spans(t, *p) for p in PATTERNS])
 
     def with_markov(b: Column) -> Column:
-        added = F.filter(
-            _spans(t, "markov", CANDIDATE, 0, 20),
-            lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])) & (ratio(s["value"], model) >= threshold),
-        )
+        runs = F.filter(_spans(t, "markov", CANDIDATE, 0, LEAST), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+        pieces = F.flatten(F.transform(runs, lambda s: _outside(s, b)))
+        added = F.filter(pieces, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (ratio(s["value"], model) >= threshold))
         key = F.transform(F.concat(b, added), lambda s: F.struct(s["start"], s["rank"], s["end"], s["value"]))
         return F.transform(F.array_sort(key), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["value"].alias("value")))
 
