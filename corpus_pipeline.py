@@ -1,13 +1,13 @@
 """Corpus pipeline: clean, deduplicate, redact, mix and encode the documents, one written stage after the other.
 
-Edge cases: null and empty texts fail the quality rules; a null source is a source of its own; repeated rows and equal
-keys fall to one document in the second stage; an empty table passes through all stages. Columns beyond those of
+Edge cases: null and empty texts fail the quality rules; a null source is a source of its own; rows of equal
+doc_id and text fall to one document in the second stage, other rows of equal or null doc_id do not; an empty table passes through all stages. Columns beyond those of
 documents are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekit.llm import bpe, common, jaccard, mixing, quality, secrets
@@ -29,17 +29,26 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _recounted(quality.keep(docs.select(*COLUMNS)))
 
 
+def _identity() -> Column:
+    """17 bytes that tell rows apart and sort by doc_id, null last: whether it is null, doc_id, hash of the text."""
+    part = lambda c: F.lpad(F.hex(c), 16, "0")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.unhex(F.concat(F.when(F.col("doc_id").isNull(), "01").otherwise("00"), part(number), part(F.xxhash64("text"))))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays: that of the least doc_id, and of equal ids the least text.
+    """One document of each component of near duplicates stays: that of the least doc_id, null ids last, and of equal
+    ids that of the least hash of the text.
 
-    Documents without words are no duplicates of each other and stay.
+    Rows are told apart by doc_id and text, so only rows that agree in both are one document. Documents without words
+    are no duplicates of each other and stay.
     """
-    found = jaccard.join(docs, k=SHINGLE, percent=PERCENT)
-    stays = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = docs.withColumn("_row", _identity())
+    found = jaccard.join(named.select("_row", "text"), key="_row", k=SHINGLE, percent=PERCENT)
+    stays = found.where((F.col("n_shingles") == 0) | (F.col("_row") == F.col("component_id")))
     # Only keys travel until it is known which stay; then each text moves once, for the join and the order alike.
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = docs.withColumn("_name", name).join(stays.select(name.alias("_name")).distinct(), "_name", "left_semi")
-    order = Window.partitionBy("_name").orderBy(F.col("text").asc_nulls_last(), "source", "lang")
+    kept = named.join(stays.select("_row").distinct(), "_row", "left_semi")
+    order = Window.partitionBy("_row").orderBy("source", "lang")
     return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*COLUMNS)
 
 

@@ -51,6 +51,15 @@ def test_odd_documents(spark):
     assert empty.count() == 0
 
 
+def test_null_and_repeated_ids_with_unrelated_texts(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    ids = [(None, 1), (None, 2), (None, 3), (None, 3), (5, 4), (5, 5), (-7, 6), (0, 7), (1, 8), (1, 7), (None, 7), (9, 3), (9, 9), (9, 9)]
+    rows = [(d, text(n), "en", "a", 0) for d, n in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((repr(x.doc_id), x.text) for x in cp.deduplicate(spark, df, "").collect())
+    assert got == sorted((repr(d), text(n)) for d, n in [(None, 1), (None, 2), (9, 3), (5, 4), (5, 5), (-7, 6), (0, 7), (1, 8), (9, 9)])
+
+
 def test_run_matches_stages(spark):
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and out.columns == ["doc_id", "source", "lang", "n_tokens", "ids", "decoded_sha256"]
