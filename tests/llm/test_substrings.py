@@ -53,3 +53,28 @@ def test_empty_table_and_one_common_passage(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(i, f"start{i} {passage} end{i}") for i in range(400)]
     assert run(spark, rows) == plain(rows)
+
+
+def test_automaton_alone_decides_and_windows_of_one_hash_stay_apart(spark, monkeypatch):
+    import pyarrow as pa
+    import numpy as np
+
+    word = [f"w{i}" for i in range(60)]
+    rows = pa.table({"_chunk": pa.array([0, 0], pa.int32()), "_key": [1, 2], "_text": [" ".join(word), " ".join(word[30:] + word[:30])], "_order": pa.array([1, 2]), "_tie": pa.array([5, 6])})
+    chunk = substrings.Chunk(rows)
+    chunk.read(20)
+    phrase = " ".join(word[3:11]).encode()
+    found = substrings.automata(chunk, [phrase, b"a b c d e f g h"], 8)
+    assert np.flatnonzero(found).tolist() == [3, 93] and not substrings.automata(chunk, [], 8).any()
+    assert not len(substrings.around(chunk, np.zeros(len(chunk.hashes), bool), 20, 8))
+    # All windows agree in their first 64 bits here: the other 32 tell them apart.
+    plain_windows = substrings.Chunk.windows
+    monkeypatch.setattr(substrings.Chunk, "windows", lambda self, places, n: (np.zeros(len(places), np.uint64), plain_windows(self, places, n)[1]))
+    first, more = chunk.windows(np.array([0, 1, 60]), 20)
+    assert len(set(first.tolist())) == 1 and len(set(more.tolist())) == 3
+
+
+def test_many_rows_of_one_key_and_text_and_a_long_text(spark):
+    same = " ".join(f"s{i % 37}" for i in range(90))
+    rows = [(1, same)] * 40 + [(None, same)] * 40 + [(2, " ".join(f"l{i * i % 1009}" for i in range(60_000)))] + [(None, None)] * 5
+    assert run(spark, rows) == plain(rows)
