@@ -1,95 +1,152 @@
-"""LM scoring by prediction by partial matching (PPM) over the bytes of words.
-
-The model is a trie of byte contexts. A word is coded byte by byte and closed by a space; its context starts at the
-space before it, so a word has one code length wherever it stands, and a text's code length is the sum over its
-tokens. At a context with n observations of q symbols a symbol seen c times has probability (2c-1)/2n, an escape q/2n
-(method D); after an escape the symbols of the longer context are excluded from the shorter ones; below order 0 the
-remaining symbols are equally likely. The end of a text is one more symbol at the start of a word.
-
-How it is spread: documents lie in chunks of bounded size. A chunk names its distinct words; the words' counts meet in
-one table; the table's parts name their distinct steps (context and symbol, one number); steps meet, and each group of contexts that
-end in the same two bytes is a subtrie that is coded by itself. The answers travel back the same way: costs to the
-parts of the word table, word scores to the chunks. Nothing is broadcast but counts of the orders 0 and 1, which have
-at most 257 and 257 x 257 entries.
+"""LM scoring by prediction by partial matching (PPM) over the bytes of texts.
+
+A text is coded as its lower-cased words, a space after each, and one end; it starts after ORDER ends, so every byte has
+a context of ORDER bytes, which runs across words. The model is the trie of these contexts with the counts of the bytes
+that follow. At a context with n observations of q symbols a symbol seen c times has probability (2c-1)/2n, an escape
+q/2n (method D); after an escape the symbols of the longer context are excluded from the shorter ones; below order 0 the
+remaining symbols are equally likely. The score of a text is the log10 probability of all its steps.
+
+How it is spread: documents lie in chunks of bounded size. A chunk names its distinct words (64-bit hashes, for the base
+score) and steps (context and symbol in one number) with their counts in training documents. Counts meet by step; the
+trie is dealt by the last TAIL bytes of the context, so that a bucket holds whole subtries and codes their steps; the
+costs travel back to the chunks that named the steps. What is gathered grows with the corpus: no step is left out.
+Broadcast are only the counts of contexts shorter than TAIL, at most SYMBOLS ** TAIL entries of 16 bytes.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 from .wordhash import word_hashes
 
-#: Longest context in bytes, at most 6, and words in a part of the word table.
-ORDER, PART_WORDS = 6, 100_000
-#: All bytes and the end of a text; the end is coded as a byte that no word holds.
-SYMBOLS, END, GAP = 257, b"\n", b" "
+#: Longest context in bytes, from TAIL to 6, and the last bytes of it by which subtries are dealt.
+ORDER, TAIL = 5, 3
+#: Bytes that lower-cased UTF-8 words can hold (256 without 6 white spaces, 26 capitals and 13 that UTF-8 never uses), the gap and the end.
+SYMBOLS, END, GAP = 213, b"\n", b" "
+#: Bytes coded at a time, and steps in a bucket of the trie.
+SLICE, BUCKET = 4 << 20, 500_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def coded_steps(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of coding the words, as numbers, and the first step of each word; the end of a text is one step.
+def _mask(k: int) -> int:
+    """Bits of a step that its symbol and the last k bytes of its context take."""
+    return (1 << 8 * (k + 1)) - 1
 
-    A number holds the length of the context, six bytes of context (the nearest lowest) and the symbol.
-    """
-    plain = np.frombuffer(GAP.join([b"", *words, b""]), np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(sizes) - sizes
-    at = np.arange(1, len(plain))
-    length = np.minimum(at - np.repeat(starts, sizes), order)
-    out = plain[1:].astype(np.int64) | (length << 56)
-    for k in range(1, order + 1):
-        out |= np.where(length >= k, plain[np.maximum(at - k, 0)].astype(np.int64) << (8 * k), 0)
-    if END in words:  # it has no closing space
-        i = words.index(END)
-        drop = int(starts[i]) + 1
-        out = np.delete(out, drop)
-        starts = starts - (np.arange(len(words)) > i)
-    return out, starts
-
-
-def context(step: int) -> tuple[bytes, int]:
-    """Context and symbol of a coded step."""
-    raw = step.to_bytes(8, "big")
-    return raw[7 - raw[0] : 7], raw[7]
 
+def spelt(text: str | None) -> bytes:
+    """The bytes that are coded for a text."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return GAP.join([*words, END])
 
-def subtrie_costs(rows: list[tuple[bytes, int, int]], low: dict[bytes, dict[int, int]], base: int) -> list[float]:
-    """log10 probability of each (context, symbol, count) of a group of contexts that agree in their last ``base`` bytes.
 
-    ``low`` has the counts of all contexts of at most ``base`` bytes; counts of longer ones are summed from the rows.
+def steps(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of coding spelt texts, as numbers, and the number of steps of each; the symbol is lowest, then the context backwards."""
+    plain = np.frombuffer(b"".join(END * order + x for x in texts), np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = plain.copy()
+    for k in range(1, order + 1):
+        out[k:] |= plain[:-k] << 8 * k
+    starts = np.cumsum(sizes + order) - sizes - order
+    coded = np.ones(len(plain), bool)
+    coded[(starts[:, None] + np.arange(order)).ravel()] = False
+    return out[coded], sizes
+
+
+def sliced(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE bytes."""
+    since = size = 0
+    for i, x in enumerate(texts):
+        size += len(x)
+        if size >= SLICE or i == len(texts) - 1:
+            yield since, i + 1
+            since, size = i + 1, 0
+
+
+def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of all parts, sorted, with their counts; a part is distinct values with counts."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    values, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(values, kind="stable")
+    values, n = values[by], n[by]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class Table:
+    """Places of numbers in a sorted list of distinct ones, by one probe of a hash table in most cases."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.at = np.zeros(1 << int(np.uint64(64) - self.shift), np.int32)
+        self.at[self._slot(keys)] = np.arange(len(keys))
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint64) * _ODD) >> self.shift
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Places of x, all of which are in the list."""
+        at = self.at[self._slot(x)]
+        other = np.flatnonzero(self.keys[at] != x)
+        at[other] = np.searchsorted(self.keys, x[other])
+        return at
+
+
+def _lookup(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def edges_of(asked: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of length k with a symbol, as numbers, and how often they were seen."""
+    values, place = np.unique(asked[n > 0] & _mask(k), return_inverse=True)
+    out = np.zeros(len(values), np.int64)
+    np.add.at(out, place, n[n > 0])
+    return values, out
+
+
+def costs(asked: np.ndarray, n: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> np.ndarray:
+    """log10 probability of each of some distinct steps, seen ``n`` times in training.
+
+    ``low[k]`` are the counts of all steps with contexts cut to k bytes, for k below TAIL; those of longer contexts are
+    summed from the steps, which must hold whole subtries: all steps that agree in the last TAIL bytes of context.
     """
-    nodes: dict[bytes, dict[int, int]] = {}
-    for ctx, sym, n in rows:
-        if n:
-            for k in range(base + 1, len(ctx) + 1):
-                node = nodes.setdefault(ctx[-k:], {})
-                node[sym] = node.get(sym, 0) + n
-    by_context: dict[bytes, list[int]] = defaultdict(list)
-    for i, (ctx, _, _) in enumerate(rows):
-        by_context[ctx].append(i)
-    out = [0.0] * len(rows)
-    for ctx, members in by_context.items():
-        costs: dict[int, float] = {}
-        escaped = 0.0
-        for k in range(len(ctx), -1, -1):
-            node = (nodes if k > base else low).get(ctx[len(ctx) - k :])
-            fresh = {s: n for s, n in node.items() if s not in costs} if node else None
-            if not fresh:
-                continue
-            total, kinds = sum(fresh.values()), len(fresh)
-            for s, n in fresh.items():
-                costs[s] = escaped + math.log10((2 * n - 1) / (2 * total))
-            escaped += math.log10(kinds / (2 * total))
-        rest = escaped - math.log10(max(1, SYMBOLS - len(costs)))
-        for i in members:
-            out[i] = costs.get(rows[i][1], rest)
+    edges = [low[k] if k < len(low) else edges_of(asked, n, k) for k in range(order + 1)]
+    nodes = []
+    for values, counts in edges:
+        context, first = np.unique(values >> 8, return_index=True)
+        nodes.append((context, np.add.reduceat(counts, first) if len(first) else counts, np.diff(np.append(first, len(values))), first))
+    out, escaped = np.zeros(len(asked)), np.zeros(len(asked))
+    alive = np.ones(len(asked), bool)
+    gone_n, gone_q = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)  # what the longer context excludes
+    for k in range(order, -1, -1):
+        step = asked & _mask(k)
+        at, known = _lookup(nodes[k][0], step >> 8)
+        if not len(nodes[k][0]):
+            continue
+        total, kinds = nodes[k][1][at] - gone_n, nodes[k][2][at] - gone_q
+        use = alive & known & (kinds > 0)
+        place, seen = _lookup(edges[k][0], step)
+        hit, miss = use & seen, use & ~seen
+        out[hit] = escaped[hit] + np.log10((2 * edges[k][1][place[hit]] - 1) / (2 * total[hit]))
+        escaped[miss] += np.log10(kinds[miss] / (2 * total[miss]))
+        alive &= ~hit
+        if k:
+            # Every symbol of this context has been seen in the shorter one as well: these counts leave it.
+            shorter = edges[k - 1][1][np.searchsorted(edges[k - 1][0], edges[k][0] & _mask(k - 1))]
+            excluded = np.add.reduceat(shorter, nodes[k][3])
+            gone_n, gone_q = np.where(known, excluded[at], 0), np.where(known, nodes[k][2][at], 0)
+    out[alive] = escaped[alive] - np.log10(max(1, SYMBOLS - len(edges[0][0])))
     return out
 
 
@@ -102,108 +159,92 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of the input.
 
     Trains on the rows that are not held out and scores all. Null and empty texts are the end token alone. Repeated
-    rows count as often as they occur; no training rows give a base of V = N = 0 and a uniform model.
+    rows count as often as they occur; no training rows give a base of V = N = 0 and a uniform model. Other columns are
+    not read.
     """
+    if not TAIL <= order <= 6:
+        raise ValueError(f"the order lies between {TAIL} and 6")
     spark = df.sparkSession
-    common.small_batches(spark)
-    docs = common.chunked(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "_key", target_bytes=16 << 20, each=2).withColumn("_held", held_out(F.col("_key")))
-
-    if not 1 <= order <= 6:
-        raise ValueError("the order lies between 1 and 6")
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), held_out(F.col(key)).alias("_held"))
+    docs = common.in_chunks(rows, "_text", "lm-texts", target_bytes=32 << 20, each=1)
 
     def count(t: pa.Table) -> pa.Table:
-        texts = [(x or "").encode("utf-8", "replace").lower() for x in t["_text"].to_pylist()]
-        learns = ~np.asarray(t["_held"].to_pylist(), bool)
-        hashes, sizes = word_hashes(texts)
-        _, one, place = np.unique(hashes, return_index=True, return_inverse=True)
-        n = np.bincount(place, np.repeat(learns, sizes), len(one)).astype(np.int64)
-        # A word is cut out of the text where it is first met; first meetings are taken text by text.
-        by = np.argsort(one)
-        ends = np.cumsum(sizes)
-        cuts = np.searchsorted(one[by], ends)
-        names: list[bytes] = [b""] * len(one)
-        since = 0
-        for d, upto in enumerate(cuts.tolist()):
-            if upto > since:
-                own, start = texts[d].split(), int(ends[d] - sizes[d])
-                for i in by[since:upto].tolist():
-                    names[i] = own[one[i] - start]
-                since = upto
-        names.append(END)
-        return pa.table({"_chunk": pa.array(np.full(len(names), t["_chunk"][0].as_py()), pa.int32()), "word": pa.array(names, pa.binary()), "n": pa.array([*n.tolist(), int(learns.sum())], pa.int64())})
-
-    asked = common.materialise(docs.groupBy("_chunk").applyInArrow(count, "_chunk int, word binary, n long"), "ppm-words")
-    counted = asked.groupBy("word").agg(F.sum("n").alias("n"))
-    counted = common.materialise(counted, "ppm-vocabulary")
-    stats = counted.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count(F.lit(1))).first()
-    total_tokens, distinct, size = stats[0] or 0, stats[1] or 0, stats[2]
-    parts = max(common.partitions(spark), -(-size // PART_WORDS))
-    vocabulary = counted.withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
-
-    def pairs(t: pa.Table) -> pa.Table:
-        words = t["word"].to_pylist()
-        steps, starts = coded_steps(words, order)
-        kinds, place = np.unique(steps, return_inverse=True)
-        weights = np.repeat(t["n"].to_numpy(), np.diff([*starts, len(steps)]))
-        n = np.zeros(len(kinds), np.int64)
-        np.add.at(n, place, weights)
-        return pa.table({"_part": pa.array(np.full(len(kinds), t["_part"][0].as_py()), pa.int32()), "step": pa.array(kinds), "n": pa.array(n)})
-
-    steps = common.materialise(vocabulary.groupBy("_part").applyInArrow(pairs, "_part int, step long, n long"), "ppm-steps")
-    met = steps.groupBy("step").agg(F.sum("n").alias("n"))
-    tail = F.shiftright("step", 8).bitwiseAND(F.lit(0xFFFF))  # the last two bytes of the context
-    low: dict[bytes, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    last = F.col("step").bitwiseAND(F.lit(0xFFFF)).alias("s")  # the last byte and the symbol: at most 257 x 257 rows
-    for r in steps.where(F.col("n") > 0).groupBy(last).agg(F.sum("n").alias("n")).collect():
-        for c in (bytes([r["s"] >> 8]), b""):
-            low[c][r["s"] & 255] += r["n"]
-    shared = spark.sparkContext.broadcast({c: dict(node) for c, node in low.items()})
+        texts = [spelt(x) for x in t["_text"].to_pylist()]
+        held = np.asarray(t["_held"].to_pylist(), bool)
+        found: dict[str, list[np.ndarray]] = {"word": [], "code": [], "n": []}
+        parts: dict[tuple[bool, bool], list] = {(w, h): [] for w in (True, False) for h in (True, False)}
+        for h in (True, False):
+            mine = [x for x, y in zip(texts, held.tolist(), strict=True) if y == h]
+            for i, j in sliced(mine):
+                parts[True, h].append(np.unique(word_hashes(mine[i:j])[0].view(np.int64), return_counts=True))
+                parts[False, h].append(np.unique(steps(mine[i:j], order)[0], return_counts=True))
+        for word in (True, False):
+            (learnt, n), (other, _) = tally(parts[word, False]), tally(parts[word, True])
+            fresh = other[~_lookup(learnt, other)[1]]
+            found["word"].append(np.full(len(learnt) + len(fresh), word))
+            found["code"] += [learnt, fresh]
+            found["n"] += [n, np.zeros(len(fresh), np.int64)]
+        out = {k: pa.array(np.concatenate(v)) for k, v in found.items()}
+        return pa.table({"_chunk": pa.array(np.full(len(out["n"]), t["_chunk"][0].as_py()), pa.int32())} | out)
+
+    asked = common.materialise(docs.groupBy("_chunk").applyInArrow(count, "_chunk int, word boolean, code long, n long"), "lm-asked")
+    of_words = W.partitionBy("code")
+    counted = asked.where("word").select("_chunk", "code", "n", F.sum("n").over(of_words).alias("all"), F.row_number().over(of_words.orderBy("_chunk")).alias("i"))
+    words = common.materialise(counted.select("_chunk", "code", F.col("all").cast("double").alias("value"), "n", (F.col("i") == 1).alias("first")), "lm-words")
+    seen, distinct = words.agg(F.sum("n"), F.count_if(F.col("first") & (F.col("value") > 0))).first()
+    ends = docs.where(~F.col("_held")).count()
+    total_tokens, distinct = (seen or 0) + ends, (distinct or 0) + (ends > 0)
+
+    met = common.materialise(asked.where("NOT word").groupBy("code").agg(F.sum("n").alias("n")), "lm-steps")
+    shared = spark.sparkContext.broadcast(_low(met))
+    buckets = max(common.partitions(spark), -(-met.count() // BUCKET))
+    tail = F.shiftright("code", 8).bitwiseAND(F.lit(_mask(TAIL - 1)))
 
     def cost(t: pa.Table) -> pa.Table:
-        rows = [(*context(x), n) for x, n in zip(t["step"].to_pylist(), t["n"].to_pylist(), strict=True)]
-        return pa.table({"step": t["step"], "cost": pa.array(subtrie_costs(rows, shared.value, 1), pa.float64())})
-
-    costs = met.withColumn("_tail", tail).groupBy("_tail").applyInArrow(cost, "step long, cost double")
-    answers = steps.select("_part", "step").join(costs, "step")
-
-    def spell(words: pa.Table, steps: pa.Table) -> pa.Table:
-        asked, starts = coded_steps(words["word"].to_pylist(), order)
-        by = np.argsort(steps["step"].to_numpy())
-        known, cost = steps["step"].to_numpy()[by], steps["cost"].to_numpy()[by]
-        each = cost[np.searchsorted(known, asked)]
-        return pa.table({"word": words["word"], "n": words["n"], "score": pa.array(np.add.reduceat(each, starts), pa.float64())})
-
-    spelt = vocabulary.groupBy("_part").cogroup(answers.groupBy("_part")).applyInArrow(spell, "word binary, n long, score double")
-    ends = common.materialise(spelt, "ppm-scores")
-    common.discard(steps, counted)
-    found = ends.where(F.col("word") == F.lit(END)).first()
-    end = (found["n"], found["score"]) if found else (0, -math.log10(SYMBOLS))
-    told = asked.select("_chunk", "word").join(ends, "word").select("_chunk", "word", "n", "score")
-    step = math.log10(total_tokens + distinct + 1)
-
-    def add(t: pa.Table, words: pa.Table) -> pa.Table:
-        known = word_hashes(words["word"].to_pylist())[0]
-        seen = words.filter(pc.not_equal(words["word"], pa.scalar(END, pa.binary())))
-        by = np.argsort(known)
-        n, s = seen["n"].to_numpy()[by], seen["score"].to_numpy()[by]
-        hashes, sizes = word_hashes([(x or "").encode("utf-8", "replace").lower() for x in t["_text"].to_pylist()])
-        at = np.searchsorted(known[by], hashes)
-        ends = np.cumsum(sizes)
-
-        def total(values: np.ndarray, last: float) -> np.ndarray:
-            sums = [values[j - k : j].sum() for j, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            return np.array(sums, np.float64) + last
-
-        hit, base, mine = (n > 0)[at], (np.log10(n + 1.0) - step)[at], s[at]
-        cols = (sizes + 1, total(hit, float(end[0] > 0)).astype(np.int64), np.full(len(t), total_tokens), total(base, math.log10(end[0] + 1) - step), total(mine, end[1]))
-        names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-        return pa.table({"_key": t["_key"], "held_out": t["_held"]} | {k: pa.array(v) for k, v in zip(names, cols, strict=True)})
+        return pa.table({"code": t["code"], "value": pa.array(costs(t["code"].to_numpy(), t["n"].to_numpy(), shared.value, order))})
+
+    dealt = met.withColumn("_bucket", F.pmod(F.xxhash64(tail), F.lit(buckets)))
+    known = common.materialise(dealt.groupBy("_bucket").applyInArrow(cost, "code long, value double"), "lm-costs")
+    answers = asked.where("NOT word").select("_chunk", "code").join(known, "code").select("_chunk", F.lit(False).alias("word"), "code", "value")
+    told = words.select("_chunk", F.lit(True).alias("word"), "code", "value").unionByName(answers)
+    step = float(np.log10(total_tokens + distinct + 1))
+
+    def add(t: pa.Table, told: pa.Table) -> pa.Table:
+        word = told["word"].to_numpy()
+        code, value = told["code"].to_numpy(), told["value"].to_numpy()
+        tables = []
+        for mine in (word, ~word):
+            by = np.argsort(code[mine])
+            tables.append((Table(code[mine][by]), value[mine][by]))
+        texts = [spelt(x) for x in t["_text"].to_pylist()]
+        cols: dict[str, list[np.ndarray]] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
+        for i, j in sliced(texts):
+            hashes, sizes = word_hashes(texts[i:j])
+            n = tables[0][1][tables[0][0].find(hashes.view(np.int64))]
+            doc = np.repeat(np.arange(j - i), sizes)
+            total = lambda x, doc=doc, m=j - i: np.bincount(doc, x, m)
+            cols["n_tokens"].append(sizes + 1)
+            cols["n_known"].append(total(n > 0).astype(np.int64) + int(ends > 0))
+            cols["base_score"].append(total(np.log10(n + 1) - step) + np.log10(ends + 1) - step)
+            coded, sizes = steps(texts[i:j], order)
+            each = tables[1][1][tables[1][0].find(coded)]
+            cols["score"].append(np.bincount(np.repeat(np.arange(j - i), sizes), each, j - i))
+        out = {k: pa.array(np.concatenate(v)) for k, v in cols.items()}
+        return pa.table({"_key": t["_key"], "held_out": t["_held"], "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": pa.array(np.full(len(t), total_tokens)), "base_score": out["base_score"], "score": out["score"]})
 
     kind = df.schema[key].dataType.simpleString()
     out = docs.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(add, f"_key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("_key", key)
 
 
+def _low(met: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of all steps with contexts cut to less than TAIL bytes; at most SYMBOLS ** TAIL rows reach the driver."""
+    short = F.col("code").bitwiseAND(F.lit(_mask(TAIL - 1)))
+    rows = met.where("n > 0").groupBy(short.alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    code, n = rows["code"].to_numpy(), rows["n"].to_numpy()
+    return [edges_of(code, n, k) for k in range(TAIL)]
+
+
 def op9_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under the model of those that are not held out."""
     return score(common.table(spark, sf_dir, "documents"))
