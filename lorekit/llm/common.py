@@ -112,8 +112,8 @@ def chunked(df: DataFrame, text: str, *key: str, target_bytes: int = 8 << 20, ea
     return df.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in key], F.col(text)), F.lit(n)).cast("int"))
 
 
-def in_chunks(df: DataFrame, text: str, name: str, target_bytes: int = 8 << 20, each: int = 4) -> DataFrame:
-    """The rows with ``_chunk`` as a table bucketed by it: chunks of about ``target_bytes`` of text, ``each`` to a bucket at least.
+def in_chunks(df: DataFrame, text: str, name: str, target_bytes: int = 8 << 20, least: int | None = None) -> DataFrame:
+    """The rows with ``_chunk`` as a table bucketed by it: chunks of about ``target_bytes`` of text, ``least`` at least (or four to a bucket).
 
     Rows are dealt by their place in the input, so neither a hot key nor a text that many rows share fills a chunk. The
     texts are measured for it. Plans that group the table by chunk do not move it again.
@@ -121,6 +121,6 @@ def in_chunks(df: DataFrame, text: str, name: str, target_bytes: int = 8 << 20,
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = partitions(spark)
-    n = max(each * buckets, -(-total // target_bytes))
+    n = max(least or 4 * buckets, -(-total // target_bytes))
     dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     return materialise(dealt.repartition(buckets, "_chunk"), name, bucket="_chunk")

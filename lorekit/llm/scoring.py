@@ -30,8 +30,8 @@ from .wordhash import word_hashes
 ORDER, TAIL = 5, 3
 #: Bytes that lower-cased UTF-8 words can hold (256 without 6 white spaces, 26 capitals and 13 that UTF-8 never uses), the gap and the end.
 SYMBOLS, END, GAP = 213, b"\n", b" "
-#: Bytes coded at a time, and steps in a bucket of the trie.
-SLICE, BUCKET = 4 << 20, 500_000
+#: Bytes coded at a time, counts merged at a time, and steps in a bucket of the trie.
+SLICE, MERGE, BUCKET = 1 << 20, 1_000_000, 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +52,8 @@ def steps(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     out = plain.copy()
     for k in range(1, order + 1):
-        out[k:] |= plain[:-k] << 8 * k
+        plain <<= 8
+        out[k:] |= plain[:-k]
     starts = np.cumsum(sizes + order) - sizes - order
     coded = np.ones(len(plain), bool)
     coded[(starts[:, None] + np.arange(order)).ravel()] = False
@@ -69,15 +70,25 @@ def sliced(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             since, size = i + 1, 0
 
 
-def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of all parts, sorted, with their counts; a part is distinct values with counts."""
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    values, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.argsort(values, kind="stable")
-    values, n = values[by], n[by]
-    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
-    return values[first], np.add.reduceat(n, first) if len(first) else n
+class Tally:
+    """Counts of distinct values; what is added is merged when it has become MERGE values."""
+
+    def __init__(self):
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def add(self, values: np.ndarray) -> None:
+        self.pairs.append(np.unique(values, return_counts=True))
+        if sum(len(v) for v, _ in self.pairs[1:]) > MERGE:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values, sorted, and their counts."""
+        values, n = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+        by = np.argsort(values, kind="stable")
+        values, n = values[by], n[by]
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+        self.pairs = [(values[first], np.add.reduceat(n, first) if len(first) else n)]
+        return self.pairs[0]
 
 
 class Table:
@@ -166,20 +177,20 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
         raise ValueError(f"the order lies between {TAIL} and 6")
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), held_out(F.col(key)).alias("_held"))
-    docs = common.in_chunks(rows, "_text", "lm-texts", target_bytes=32 << 20, each=1)
+    docs = common.in_chunks(rows, "_text", "lm-texts", target_bytes=24 << 20, least=8)
 
     def count(t: pa.Table) -> pa.Table:
         texts = [spelt(x) for x in t["_text"].to_pylist()]
         held = np.asarray(t["_held"].to_pylist(), bool)
         found: dict[str, list[np.ndarray]] = {"word": [], "code": [], "n": []}
-        parts: dict[tuple[bool, bool], list] = {(w, h): [] for w in (True, False) for h in (True, False)}
+        parts = {(w, h): Tally() for w in (True, False) for h in (True, False)}
         for h in (True, False):
             mine = [x for x, y in zip(texts, held.tolist(), strict=True) if y == h]
             for i, j in sliced(mine):
-                parts[True, h].append(np.unique(word_hashes(mine[i:j])[0].view(np.int64), return_counts=True))
-                parts[False, h].append(np.unique(steps(mine[i:j], order)[0], return_counts=True))
+                parts[True, h].add(word_hashes(mine[i:j])[0].view(np.int64))
+                parts[False, h].add(steps(mine[i:j], order)[0])
         for word in (True, False):
-            (learnt, n), (other, _) = tally(parts[word, False]), tally(parts[word, True])
+            (learnt, n), (other, _) = parts[word, False].merge(), parts[word, True].merge()
             fresh = other[~_lookup(learnt, other)[1]]
             found["word"].append(np.full(len(learnt) + len(fresh), word))
             found["code"] += [learnt, fresh]
