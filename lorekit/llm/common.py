@@ -122,5 +122,13 @@ def in_chunks(df: DataFrame, text: str, name: str, target_bytes: int = 8 << 20,
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = partitions(spark)
     n = max(least or 4 * buckets, -(-total // target_bytes))
-    dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    if n <= 4 * buckets <= 4096:  # few chunks: name them so that buckets get equally many
+        places = [r[0] for r in spark.range(0, 16 * buckets + 4 * n, 1, 1).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets))).collect()]
+        by_bucket: dict[int, list[int]] = {}
+        for i, place in enumerate(places):
+            by_bucket.setdefault(place, []).append(i)
+        ids = [x for layer in zip(*[by_bucket[b][: -(-n // len(by_bucket))] for b in sorted(by_bucket) if len(by_bucket[b]) >= -(-n // len(by_bucket))], strict=True) for x in layer][:n]
+        number = F.get(F.array(*[F.lit(x) for x in ids]), F.pmod(number, F.lit(len(ids))))
+    dealt = df.withColumn("_chunk", number)
     return materialise(dealt.repartition(buckets, "_chunk"), name, bucket="_chunk")

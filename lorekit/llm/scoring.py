@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ ORDER, TAIL = 5, 3
 #: Bytes that lower-cased UTF-8 words can hold (256 without 6 white spaces, 26 capitals and 13 that UTF-8 never uses), the gap and the end.
 SYMBOLS, END, GAP = 213, b"\n", b" "
 #: Bytes coded at a time, counts merged at a time, and steps in a bucket of the trie.
-SLICE, MERGE, BUCKET = 1 << 20, 1_000_000, 500_000
+SLICE, MERGE, BUCKET = 1 << 19, 500_000, 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,28 +47,35 @@ def spelt(text: str | None) -> bytes:
     return GAP.join([*words, END])
 
 
-def steps(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of coding spelt texts, as numbers, and the number of steps of each; the symbol is lowest, then the context backwards."""
-    plain = np.frombuffer(b"".join(END * order + x for x in texts), np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    out = plain.copy()
-    for k in range(1, order + 1):
-        plain <<= 8
-        out[k:] |= plain[:-k]
-    starts = np.cumsum(sizes + order) - sizes - order
-    coded = np.ones(len(plain), bool)
-    coded[(starts[:, None] + np.arange(order)).ravel()] = False
-    return out[coded], sizes
+def steps(texts: list[bytes], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Steps of coding spelt texts, as numbers, and the text of each, about SLICE at a time.
 
-
-def sliced(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE bytes."""
-    since = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= SLICE or i == len(texts) - 1:
-            yield since, i + 1
-            since, size = i + 1, 0
+    In a number the symbol is lowest, then the context backwards.
+    """
+    plain = np.frombuffer(b"".join(END * order + x for x in texts), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + order
+    starts = np.cumsum(sizes) - sizes
+    for a in range(0, len(plain), SLICE):
+        since = max(0, a - order)
+        part = plain[since : a + SLICE].astype(np.int64)
+        out = part.copy()
+        for k in range(1, order + 1):
+            part <<= 8
+            out[k:] |= part[:-k]
+        place = np.arange(a, since + len(part))
+        owner = np.searchsorted(starts, place, side="right") - 1
+        coded = place - starts[owner] >= order
+        yield out[a - since :][coded], owner[coded]
+
+
+def slices(column: pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]]]:
+    """Where some rows start, and their texts as they are coded, about SLICE bytes at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    since = 0
+    while since < len(column):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[since:]), SLICE, side="right")))
+        yield since, [spelt(x) for x in column.slice(since, n).to_pylist()]
+        since += n
 
 
 class Tally:
@@ -96,7 +104,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
         self.at = np.zeros(1 << int(np.uint64(64) - self.shift), np.int32)
         self.at[self._slot(keys)] = np.arange(len(keys))
 
@@ -180,15 +188,14 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
     docs = common.in_chunks(rows, "_text", "lm-texts", target_bytes=24 << 20, least=8)
 
     def count(t: pa.Table) -> pa.Table:
-        texts = [spelt(x) for x in t["_text"].to_pylist()]
         held = np.asarray(t["_held"].to_pylist(), bool)
         found: dict[str, list[np.ndarray]] = {"word": [], "code": [], "n": []}
         parts = {(w, h): Tally() for w in (True, False) for h in (True, False)}
         for h in (True, False):
-            mine = [x for x, y in zip(texts, held.tolist(), strict=True) if y == h]
-            for i, j in sliced(mine):
-                parts[True, h].add(word_hashes(mine[i:j])[0].view(np.int64))
-                parts[False, h].add(steps(mine[i:j], order)[0])
+            for _, texts in slices(t["_text"].filter(pa.array(held == h))):
+                parts[True, h].add(word_hashes(texts)[0].view(np.int64))
+                for coded, _ in steps(texts, order):
+                    parts[False, h].add(coded)
         for word in (True, False):
             (learnt, n), (other, _) = parts[word, False].merge(), parts[word, True].merge()
             fresh = other[~_lookup(learnt, other)[1]]
@@ -227,20 +234,18 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
         for mine in (word, ~word):
             by = np.argsort(code[mine])
             tables.append((Table(code[mine][by]), value[mine][by]))
-        texts = [spelt(x) for x in t["_text"].to_pylist()]
-        cols: dict[str, list[np.ndarray]] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for i, j in sliced(texts):
-            hashes, sizes = word_hashes(texts[i:j])
+        cols: dict[str, np.ndarray] = {"n_tokens": np.zeros(len(t), np.int64), "n_known": np.zeros(len(t), np.int64), "base_score": np.zeros(len(t)), "score": np.zeros(len(t))}
+        for i, texts in slices(t["_text"]):
+            j = i + len(texts)
+            hashes, sizes = word_hashes(texts)
             n = tables[0][1][tables[0][0].find(hashes.view(np.int64))]
-            doc = np.repeat(np.arange(j - i), sizes)
-            total = lambda x, doc=doc, m=j - i: np.bincount(doc, x, m)
-            cols["n_tokens"].append(sizes + 1)
-            cols["n_known"].append(total(n > 0).astype(np.int64) + int(ends > 0))
-            cols["base_score"].append(total(np.log10(n + 1) - step) + np.log10(ends + 1) - step)
-            coded, sizes = steps(texts[i:j], order)
-            each = tables[1][1][tables[1][0].find(coded)]
-            cols["score"].append(np.bincount(np.repeat(np.arange(j - i), sizes), each, j - i))
-        out = {k: pa.array(np.concatenate(v)) for k, v in cols.items()}
+            total = lambda x, doc=np.repeat(np.arange(j - i), sizes), m=j - i: np.bincount(doc, x, m)
+            cols["n_tokens"][i:j] = sizes + 1
+            cols["n_known"][i:j] = total(n > 0).astype(np.int64) + int(ends > 0)
+            cols["base_score"][i:j] = total(np.log10(n + 1) - step) + np.log10(ends + 1) - step
+            for coded, doc in steps(texts, order):
+                cols["score"][i:j] += np.bincount(doc, tables[1][1][tables[1][0].find(coded)], j - i)
+        out = {k: pa.array(v) for k, v in cols.items()}
         return pa.table({"_key": t["_key"], "held_out": t["_held"], "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": pa.array(np.full(len(t), total_tokens)), "base_score": out["base_score"], "score": out["score"]})
 
     kind = df.schema[key].dataType.simpleString()
