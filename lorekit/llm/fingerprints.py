@@ -1,10 +1,11 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and leaves of a few words.
 
 Sections end at blank lines or before headings (and after at most MAX_PARAGRAPHS paragraphs), paragraphs at line ends,
-leaves at full stops, after one word in ENDS (by its hash) and before LEAF code points are passed: one rule for all
-lengths. The hash of a node is that of its children's hashes, so equal roots mean equal texts, and two trees are
-compared from the root down: a branch that both have is counted as a whole, and only differing branches are opened,
-down to the leaves that differ.
+leaves at full stops, after one word in ENDS (by its hash) and before LEAF code points are passed; a longer word is cut
+after one pair of code points in WORD_ENDS. That is one rule for all lengths, told by the text around a cut alone. Leaves
+hold their separators, so they join to the text again; the hash of a node is that of its children's hashes, up to the
+root: equal roots mean equal texts. Two trees are compared from the root down: a branch that both have is counted as a
+whole, and only differing branches are opened, down to the leaves that differ.
 """
 
 from __future__ import annotations
@@ -15,53 +16,69 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-#: Code points in a leaf, and paragraphs in a section, at most; one word in ENDS ends a leaf.
-LEAF, MAX_PARAGRAPHS, ENDS = 48, 16, 3
+#: Code points in a leaf, and paragraphs in a section, at most; one word in ENDS ends a leaf, in a long word one pair of code points in WORD_ENDS.
+LEAF, MAX_PARAGRAPHS, ENDS, WORD_ENDS = 48, 16, 2, 12
+#: Hex digits of the root, and of a leaf as a fingerprint shows it.
+ROOT, SHOWN = 32, 12
+#: Ranges of keys at most, and rows sampled for each to find where they end.
+RANGES, SAMPLED = 1 << 16, 20
 
 
 def _hash(data: bytes) -> str:
-    return hashlib.blake2b(data, digest_size=6).hexdigest()
+    return hashlib.blake2b(data, digest_size=16).hexdigest()
 
 
-def leaves(paragraph: str) -> list[str]:
-    """Pieces of a paragraph that join to it again by spaces (without, where a long word is cut).
+def _pieces(word: str) -> list[str]:
+    """A long word in pieces of at most LEAF code points, cut where its own code points tell."""
+    out, since = [], 0
+    for i in range(1, len(word)):
+        if i - since >= LEAF or (i - since > 1 and not (31 * ord(word[i - 2]) + 7 * ord(word[i - 1])) % WORD_ENDS):
+            out.append(word[since:i])
+            since = i
+    return [*out, word[since:]]
 
-    The words themselves tell where leaves end, whatever the length of the text, so an edit moves the cuts near it only.
-    """
-    out, since, size = [], 0, 0
-    words = paragraph.split(" ")
-    for i, w in enumerate(words):
-        if i > since and size + len(w) > LEAF:
-            out.append(" ".join(words[since:i]))
-            since, size = i, 0
-        if len(w) > LEAF:
-            out += [w[j : j + LEAF] for j in range(0, len(w), LEAF)]
-            since = i + 1
-            continue
-        size += len(w) + 1
-        if w.endswith(".") or not zlib.crc32(w.encode("utf-8", "replace")) % ENDS:
-            out.append(" ".join(words[since : i + 1]))
-            since, size = i + 1, 0
-    if since < len(words):
-        out.append(" ".join(words[since:]))
+
+def leaves(paragraph: str) -> list[str]:
+    """Pieces that join to the paragraph (a line with its end) again."""
+    out: list[str] = []
+    since, at = 0, 0
+    for word in paragraph.split(" "):
+        end = min(at + len(word) + 1, len(paragraph))
+        if end == at:
+            break  # nothing follows the last space
+        if at > since and at + len(word) - since > LEAF:
+            out.append(paragraph[since:at])
+            since = at
+        bare = word.rstrip("\n")
+        if len(word) > LEAF:
+            out += _pieces(paragraph[at:end])
+            since = end
+        elif bare.endswith(".") or not zlib.crc32(bare.encode("utf-8", "replace")) % ENDS:
+            out.append(paragraph[since:end])
+            since = end
+        at = end
+    if since < len(paragraph) or not out:
+        out.append(paragraph[since:])
     return out
 
 
 def tree(text: str | None) -> list[list[list[str]]]:
     """Leaf hashes by section and paragraph. A null text is empty: one section of one paragraph of one empty leaf."""
     text = text or ""
+    lines = text.split("\n")
     sections: list[list[list[str]]] = [[]]
-    for line in text.split("\n"):
-        heading = line.startswith("#")
-        if sections[-1] and (heading or len(sections[-1]) >= MAX_PARAGRAPHS):
+    for i, line in enumerate(lines):
+        if sections[-1] and (line.startswith("#") or len(sections[-1]) >= MAX_PARAGRAPHS):
             sections.append([])
-        sections[-1].append([_hash(x.encode("utf-8", "replace")) for x in leaves(line)])
+        whole = line + "\n" if i < len(lines) - 1 else line
+        if whole or not i:
+            sections[-1].append([_hash(x.encode("utf-8", "replace")) for x in leaves(whole)])
         if not line.strip():
             sections.append([])
     return [s for s in sections if s]
@@ -72,13 +89,13 @@ def _node(children: list[str]) -> str:
 
 
 def fingerprint(text: str | None) -> str:
-    """The tree as text: a root of 32 hex digits over the whole text, then sections split by ``|``, paragraphs by ``/``.
+    """The tree as text: its root, then sections split by ``|``, paragraphs by ``/``, each paragraph its leaves' hashes in a row.
 
-    A paragraph is its leaves' hashes in a row, so all inner hashes follow from it; the root also covers the
-    separators that the leaves leave out.
+    The root follows from the whole hashes of the leaves; shown of a leaf are SHOWN digits, for comparison.
     """
-    root = hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).hexdigest()
-    return root + ":" + "|".join("/".join("".join(p) for p in s) for s in tree(text))
+    t = tree(text)
+    root = _node([_node([_node(p) for p in s]) for s in t])
+    return root + ":" + "|".join("/".join("".join(x[:SHOWN] for x in p) for p in s) for s in t)
 
 
 def parse(mark: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
@@ -86,7 +103,7 @@ def parse(mark: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]
     root, _, body = mark.partition(":")
     out = []
     for s in body.split("|"):
-        paragraphs = [[p[i : i + 12] for i in range(0, len(p), 12)] for p in s.split("/")]
+        paragraphs = [[p[i : i + SHOWN] for i in range(0, len(p), SHOWN)] for p in s.split("/")]
         nodes = [(_node(p), p) for p in paragraphs]
         out.append((_node([h for h, _ in nodes]), nodes))
     return root, out
@@ -141,7 +158,10 @@ def edits(a, b) -> list[tuple[int, int, int]]:
 
 
 def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """Add the fingerprint of each row's text; a null text counts as empty. Equal texts get equal fingerprints."""
+    """Add the fingerprint of each row's text; a null text counts as empty. Equal texts get equal fingerprints.
+
+    A column that is named like the new one gives way to it.
+    """
     df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,32 +172,50 @@ def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint")
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
+def _ordinal(df: DataFrame, key: str) -> Column:
+    """A long that sorts as the key does, null lowest. Texts are numbered by hash: any order that is the same on every run will do for them."""
+    kind = df.schema[key].dataType
+    number = F.col(key).cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(key)
+    return F.when(F.col(key).isNull(), F.lit(-(1 << 63))).otherwise(number)
+
+
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Deal rows by falling key over ranges, each followed by a copy of the row that opens the next range.
 
     Adds ``_range`` and ``_tail``; partitions are sorted, so that the row after each row is the next one, and the copy
     (``_tail``) is the last. The last range ends in a copy of the very first row. Null keys come last; rows of one key
-    are ordered by text. Of the keys only one for each range reaches the driver, at most 1024.
+    are ordered by a hash of the text, and keys that are no integers by their own hash. Ranges end at (key, hash) pairs
+    of a sample, so many texts under one key or null are many ranges; only rows that agree in key and text stay
+    together. The number of ranges follows the number of partitions; of each at most SAMPLED rows' pairs reach the driver.
     """
     spark = df.sparkSession
-    n = min(1024, max(4, 2 * common.partitions(spark)))
-    lowest = -(1 << 63)
-    order = F.coalesce(F.col(key).cast("long"), F.lit(lowest))
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), order.alias("_order"))
-    cuts = sorted(set(rows.select(F.percentile_approx("_order", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []), reverse=True)
-    # Range of a row: how many cuts lie above its key.
-    place = F.aggregate(F.lit(cuts).cast("array<long>"), F.lit(0), lambda a, c: a + (c > F.col("_order")).cast("int")) if cuts else F.lit(0)
-    dealt = rows.withColumn("_range", place)
-    heads = {r["_range"]: r["m"] for r in dealt.groupBy("_range").agg(F.max("_order").alias("m")).collect()}
+    n = min(RANGES, max(4, 2 * common.partitions(spark)))
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), _ordinal(df, key).alias("_order"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_tie"))
+    pairs = rows.select("_order", "_tie")
+    every = max(1, df.count() // (SAMPLED * n))
+    sample = pairs.where(F.pmod(F.xxhash64("_order", "_tie", F.monotonically_increasing_id()), F.lit(every)) == 0).limit(4 * SAMPLED * n).toArrow()
+    seen = sorted(zip(sample["_order"].to_pylist(), sample["_tie"].to_pylist(), strict=True), reverse=True)
+    cuts = sorted({seen[i * len(seen) // n] for i in range(1, n)} if seen else set(), reverse=True)
+
+    def longs(values: list[int]) -> Column:
+        return F.from_json(F.lit(str(values)), "array<long>") if values else F.array().cast("array<long>")
+
+    # Range of a row: how many cuts lie above it, by halves.
+    high, low = longs([c[0] for c in cuts]), longs([c[1] for c in cuts])
+    powers = [1 << k for k in reversed(range(max(1, len(cuts).bit_length())))]
+    above = lambda at: (F.get(high, at) > F.col("_order")) | ((F.get(high, at) == F.col("_order")) & (F.get(low, at) > F.col("_tie")))
+    place = F.aggregate(F.array(*[F.lit(x) for x in powers]), F.lit(0), lambda at, x: F.when((at + x <= len(cuts)) & above(at + x - 1), at + x).otherwise(at))
+    dealt = rows.withColumn("_range", place if cuts else F.lit(0))
+    heads = {r["_range"]: (r["m"]["_order"], r["m"]["_tie"]) for r in dealt.groupBy("_range").agg(F.max(F.struct("_order", "_tie")).alias("m")).collect()}
     used = sorted(heads)
-    before = {heads[r]: used[i - 1] for i, r in enumerate(used)}  # the first range's head also closes the last one
-    copies = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("tail")))
-    if before:
-        heads_of = F.create_map(*[x for h, r in before.items() for x in (F.lit(h), F.lit(r))])
-        copy = F.struct(F.element_at(heads_of, F.col("_order")).alias("r"), F.lit(True).alias("tail"))
-        copies = F.when(F.element_at(heads_of, F.col("_order")).isNotNull(), F.array_append(copies, copy)).otherwise(copies)
-    spread = dealt.withColumn("_c", F.explode(copies)).select("_key", "_text", "_order", F.col("_c.r").alias("_range"), F.col("_c.tail").alias("_tail"))
-    return spread.repartition(max(1, len(used)), "_range").sortWithinPartitions("_range", "_tail", F.col("_order").desc(), F.col("_text").asc_nulls_first())
+    # The first row of a range also ends the one before; that of the first range ends the last one.
+    before = F.get(F.from_json(F.lit(str([used[used.index(r) - 1] if r in heads else -1 for r in range((used[-1] if used else 0) + 1)])), "array<int>"), F.col("_range"))
+    opens = [longs([heads.get(r, (0, 0))[k] for r in range((used[-1] if used else 0) + 1)]) for k in (0, 1)]
+    first = (F.get(opens[0], F.col("_range")) == F.col("_order")) & (F.get(opens[1], F.col("_range")) == F.col("_tie"))
+    own = F.struct(F.col("_range").alias("r"), F.lit(False).alias("tail"))
+    copies = F.when(first, F.array(own, F.struct(before.alias("r"), F.lit(True).alias("tail")))).otherwise(F.array(own))
+    spread = dealt.withColumn("_c", F.explode(copies)).select("_key", "_text", "_order", "_tie", F.col("_c.r").alias("_range"), F.col("_c.tail").alias("_tail"))
+    return spread.repartition(max(1, len(used)), "_range").sortWithinPartitions("_range", "_tail", F.col("_order").desc(), F.col("_tie").desc())
 
 
 def edited(text: str, following: str) -> str:
@@ -189,7 +227,7 @@ def edited(text: str, following: str) -> str:
 def compare(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit by the next row's text, with their likenesses.
 
-    Null and empty texts are both empty. A single row follows itself. Rows of equal key follow one another by text.
+    Null and empty texts are both empty. A single row follows itself. Other columns are not read. See ``with_next`` for the order.
     """
     common.small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
