@@ -2,14 +2,17 @@
 
 A candidate run of characters is scored by the log-likelihood ratio of its character transitions under two bigram
 models, both trained from labelled samples; runs above a threshold are reported as kind ``markov``. Where a pattern
-covers part of a run, the pieces that it leaves are scored instead. All of it is one projection over the text. The trained table has one number for each
-pair of symbols of a fixed alphabet, whatever the input, so it goes into the plan as a constant.
+covers part of a run, the pieces that it leaves are scored instead. Ordinary samples are words of the texts themselves,
+whatever their languages, and names as programs have them, joined as identifiers, paths and compounds are; random ones
+are digests in the usual alphabets, with and without digits. All of it is one projection over the text. The trained table
+has one number for each pair of symbols of a fixed alphabet, whatever the input, so it goes into the plan as a constant.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +34,7 @@ CANDIDATE = r"[A-Za-z0-9+/=_-]{%d,}" % LEAST
 THRESHOLD = 0.5
 PLACEHOLDER = "[SECRET]"
 
-#: Parts of ordinary identifiers for the labelled samples.
+#: Parts of names in programs, for the labelled samples.
 PARTS = (
     "user name account customer order item price total index value count list array map set get put add remove delete update create read write open close start stop begin end "
     "first last next previous current parent child node tree graph table row column field record file path folder directory image video audio message text string number integer "
@@ -39,24 +42,55 @@ PARTS = (
     "config option setting default public private static final class function method object module package import export version release build test check valid error warning "
     "information debug log trace event listener queue stack buffer cache memory storage device network address port host domain page title header footer content section summary"
 ).split()
+#: Labelled samples of each kind at most, and texts whose words they take.
+SAMPLES, TEXTS = 4000, 2000
+
+
+def _hash(*parts: Column) -> Column:
+    return F.xxhash64(*parts)
+
+
+def _joined(parts: Column, salt: Column) -> Column:
+    """Some words as one string: a compound, an identifier, a path."""
+    style = F.pmod(_hash(salt, F.lit("style")), F.lit(8))
+    number = F.pmod(_hash(salt, F.lit("number")), F.lit(1000)).cast("string")
+    glue = lambda c: F.array_join(parts, c)
+    capitals = F.array_join(F.transform(parts, F.initcap), "")
+    return (
+        F.when(style == 0, glue("_"))
+        .when(style == 1, F.concat(F.lower(parts[0]), F.substring(capitals, F.length(parts[0]) + 1, F.length(capitals))))
+        .when(style == 2, F.concat(glue("-"), F.lit("-"), number))
+        .when(style == 3, glue("/"))
+        .when(style == 4, F.upper(glue("_")))
+        .when(style == 5, F.concat(capitals, number))
+        .otherwise(glue(""))
+    )
 
 
-def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(text, label): n random strings (1) and n identifiers (0), made by rule; n bounds the training input."""
-    i = F.col("id").cast("string")
-    raw = F.sha2(F.concat(F.lit("random:"), i), 256)
-    random = F.when(F.col("id") % 3 == 0, F.substring(raw, 1, 40)).otherwise(F.substring(F.base64(F.unhex(raw)), 1, 40))
-    part = lambda k: F.element_at(F.array(*[F.lit(p) for p in PARTS]), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
-    parts = [part(k) for k in range(4)]
-    number = (F.pmod(F.xxhash64(i, F.lit("n")), F.lit(100))).cast("string")
-    plain = (
-        F.when(F.col("id") % 4 == 0, F.concat_ws("_", *parts))
-        .when(F.col("id") % 4 == 1, F.concat(parts[0], *[F.initcap(p) for p in parts[1:]]))
-        .when(F.col("id") % 4 == 2, F.concat_ws("-", *parts, number))
-        .otherwise(F.concat_ws("/", parts[0], F.concat(parts[1], number), F.upper(parts[2]), parts[3]))
-    )
+def labelled_samples(spark: SparkSession, n: int = SAMPLES, docs: DataFrame | None = None, text: str = "text", fold: int = 0) -> DataFrame:
+    """(text, label): n random strings (1), n names of programs and n strings of words of the texts (0); other folds give others.
+
+    About TEXTS distinct texts are read for their words, chosen by hash. Without texts there are no words.
+    """
+    i = F.concat(F.lit(f"{fold}:"), F.col("id").cast("string"))
+    raw = F.concat(*[F.unhex(F.sha2(F.concat(F.lit(f"random{k}:"), i), 256)) for k in range(2)])
+    coded = F.regexp_replace(F.base64(raw), "\\s", "")
+    letters = F.regexp_replace(coded, "[^A-Za-z]", "")
+    size = (F.pmod(_hash(i, F.lit("size")), F.lit(24)) + LEAST).cast("int")
+    kinds = [coded, F.translate(coded, "+/=", "-_"), F.regexp_replace(coded, "[^A-Za-z0-9]", ""), letters, F.lower(letters), F.lower(F.regexp_replace(coded, "[^A-Za-z0-9]", "")), F.upper(F.regexp_replace(coded, "[^A-Za-z0-9]", "")), F.lower(F.hex(raw))]
+    random = F.substring(F.element_at(F.array(*kinds), (F.pmod(F.col("id"), F.lit(len(kinds))) + 1).cast("int")), F.lit(1), size)
+    part = lambda k: F.element_at(F.array(*[F.lit(p) for p in PARTS]), (F.pmod(_hash(i, F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
     rows = spark.range(0, n, 1, 1)
-    return rows.select(random.alias("text"), F.lit(1).alias("label")).unionByName(rows.select(plain.alias("text"), F.lit(0).alias("label")))
+    out = rows.select(random.alias("text"), F.lit(1).alias("label")).unionByName(rows.select(_joined(F.array(*[part(k) for k in range(4)]), i).alias("text"), F.lit(0).alias("label")))
+    if docs is None:
+        return out
+    every = max(1, docs.count() // TEXTS)
+    named = docs.where(F.length(text) > 0).select(F.col(text).alias("t"), _hash(F.col(text), F.lit(fold)).alias("h"))
+    some = named.where(F.pmod("h", F.lit(every)) == 0).groupBy("h").agg(F.min("t").alias("t"))
+    found = F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))
+    fours = common.let(found, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(4)), lambda k: F.slice(w, k, 4)))
+    words = some.select(F.explode(fours).alias("w")).where(F.size("w") == 4).orderBy(_hash("w", F.lit(fold)), "w").limit(n)
+    return out.unionByName(words.select(_joined(F.col("w"), F.array_join("w", " ")).alias("text"), F.lit(0).alias("label")))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
@@ -80,24 +114,47 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return out
 
 
+#: Elements that a running fold takes at a time, so that long arrays are not copied at each step.
+_BLOCK = 256
+_NO_SPANS = "array<struct<start:int,end:int,rank:int,value:string>>"
+
+
+def before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of ints the fold of those before it, from 0 on."""
+    zero = F.lit(0)
+
+    def folded(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(_BLOCK)), lambda s: F.size(v) > 0)
+        step = lambda a, x: F.array_append(a, combine(F.element_at(a, -1), x))
+        totals = F.transform(starts, lambda s: F.aggregate(F.slice(v, s, _BLOCK), zero, combine))
+
+        def blocks(offsets: Column) -> Column:
+            inner = F.transform(starts, lambda s, k: F.aggregate(F.slice(v, s, _BLOCK), F.array(F.get(offsets, k)), step, lambda a: F.slice(a, 1, F.size(a) - 1)))
+            return F.flatten(inner)
+
+        return common.let(F.aggregate(totals, F.array(zero), step), blocks)
+
+    return common.let(values, folded)
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans (start, end, rank, value) of the matches of one kind, in order, short ones left out."""
     p, rank = F.lit(pattern), F.lit(KINDS.index(kind))
     found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, p, F.lit(0)).alias("all"), (F.regexp_extract_all(text, p, F.lit(group)) if group else F.regexp_extract_all(text, p, F.lit(0))).alias("part"))
 
-    def walk(f: Column) -> Column:
-        none = F.array().cast("array<struct<start:int,end:int,rank:int,value:string>>")
+    def placed(f: Column) -> Column:
+        sizes = F.transform(f["all"], lambda m, i: F.length(m) + F.length(F.get(f["gaps"], i)))
+
+        def spans(since: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                start = F.get(since, i) + F.length(F.get(f["gaps"], i))
+                return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), rank.alias("rank"), F.get(f["part"], i).alias("value"))
 
-        def step(a: Column, i: Column) -> Column:
-            start = a["pos"] + F.length(F.get(f["gaps"], i))
-            end = start + F.length(F.get(f["all"], i))
-            span = F.struct(start.alias("start"), end.alias("end"), rank.alias("rank"), F.get(f["part"], i).alias("value"))
-            return F.struct(end.alias("pos"), F.when(F.length(F.get(f["part"], i)) >= least, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+            return F.filter(F.transform(f["all"], one), lambda x: F.length(x["value"]) >= least)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(f["all"]) - 1), F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda a: a["out"])
+        return common.let(before(sizes, lambda a, x: a + x), spans)
 
-    none = F.array().cast("array<struct<start:int,end:int,rank:int,value:string>>")
-    return F.when(text.rlike(pattern), common.let(found, walk)).otherwise(none)
+    return F.when(text.rlike(pattern), common.let(found, placed)).otherwise(F.array().cast(_NO_SPANS))
 
 
 def ratio(value: Column, model: list[float]) -> Column:
@@ -117,30 +174,33 @@ def ratio(value: Column, model: list[float]) -> Column:
 def _outside(run: Column, base: Column) -> Column:
     """The pieces of a candidate of at least LEAST characters that lie outside all base spans, as spans of its rank."""
     met = F.array_sort(F.filter(base, lambda x: (x["start"] < run["end"]) & (run["start"] < x["end"])))
-    none = F.array().cast("array<struct<start:int,end:int,rank:int,value:string>>")
 
-    def upto(a: Column, end: Column) -> Column:
-        value = F.substring(run["value"], a["pos"] - run["start"] + 1, end - a["pos"])
-        piece = F.struct(a["pos"].alias("start"), end.alias("end"), run["rank"].alias("rank"), value.alias("value"))
-        return F.when(end - a["pos"] >= LEAST, F.concat(a["out"], F.array(piece))).otherwise(a["out"])
+    def cut(spans: Column) -> Column:
+        # A piece lies before each span and after the last; it starts where all earlier spans have ended.
+        stops = F.array_append(F.transform(spans, lambda x: x["start"]), run["end"])
+        ends = F.transform(spans, lambda x: x["end"] - run["start"])
+        begins = F.transform(before(F.array_append(ends, F.lit(0)), lambda a, x: F.greatest(a, x)), lambda a: a + run["start"])
+
+        def piece(stop: Column, i: Column, since: Column) -> Column:
+            begin = F.get(since, i)
+            return F.struct(begin.alias("start"), stop.alias("end"), run["rank"].alias("rank"), F.substring(run["value"], begin - run["start"] + 1, stop - begin).alias("value"))
+
+        return common.let(begins, lambda since: F.filter(F.transform(stops, lambda s, i: piece(s, i, since)), lambda x: x["end"] - x["start"] >= LEAST))
 
-    step = lambda a, x: F.struct(F.greatest(a["pos"], x["end"]).alias("pos"), upto(a, x["start"]).alias("out"))
-    cut = F.aggregate(met, F.struct(run["start"].alias("pos"), none.alias("out")), step, lambda a: upto(a, run["end"]))
-    return F.when(F.size(met) > 0, cut).otherwise(F.array(run))
+    return F.when(F.size(met) > 0, common.let(met, cut)).otherwise(F.array(run))
 
 
 def scan(df: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``spans``: array of (start, end, rank, value) by start, then kind; offsets in code points, end exclusive.
 
-    Null and empty texts have no spans. Each row is scanned alone and whole.
+    Null and empty texts have no spans. Each row is scanned alone and whole. A column named ``spans`` gives way.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*[_spans(t, *p) for p in PATTERNS])
 
     def with_markov(b: Column) -> Column:
-        runs = F.filter(_spans(t, "markov", CANDIDATE, 0, LEAST), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-        pieces = F.flatten(F.transform(runs, lambda s: _outside(s, b)))
-        added = F.filter(pieces, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (ratio(s["value"], model) >= threshold))
+        pieces = F.flatten(F.transform(_spans(t, "markov", CANDIDATE, 0, LEAST), lambda s: _outside(s, b)))
+        added = F.filter(pieces, lambda s: ratio(s["value"], model) >= threshold)
         key = F.transform(F.concat(b, added), lambda s: F.struct(s["start"], s["rank"], s["end"], s["value"]))
         return F.transform(F.array_sort(key), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["value"].alias("value")))
 
@@ -148,16 +208,20 @@ def scan(df: DataFrame, model: list[float], text: str = "text", threshold: float
 
 
 def redact(df: DataFrame, model: list[float], text: str = "text") -> DataFrame:
-    """The same rows with every span of ``text`` replaced by a placeholder; overlapping spans by one. Null stays null."""
+    """The same rows with every span of ``text`` replaced by a placeholder; overlapping spans by one. Null stays null.
+
+    A column named ``spans`` is left out.
+    """
     found = scan(df, model, text)
     t = F.col(text)
 
-    def step(a: Column, s: Column) -> Column:
-        between = F.concat(a["out"], F.substring(t, a["pos"] + 1, s["start"] - a["pos"]), F.lit(PLACEHOLDER))
-        return F.struct(F.when(s["start"] >= a["pos"], between).otherwise(a["out"]).alias("out"), F.greatest(a["pos"], s["end"]).alias("pos"))
+    def clean(ended: Column) -> Column:
+        between = lambda s, i: F.when(s["start"] >= F.get(ended, i), F.concat(F.substring(t, F.get(ended, i) + 1, s["start"] - F.get(ended, i)), F.lit(PLACEHOLDER))).otherwise("")
+        rest = F.substring(t, F.array_max(F.transform("spans", lambda s: s["end"])) + 1, F.length(t))
+        return F.concat(F.array_join(F.transform("spans", between), ""), rest)
 
-    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), step, lambda a: F.concat(a["out"], F.substring(t, a["pos"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(t)).drop("spans")
+    ended = before(F.transform("spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    return found.withColumn(text, F.when(F.size("spans") > 0, common.let(ended, clean)).otherwise(t)).drop("spans")
 
 
 def told(spans: Column) -> Column:
@@ -169,7 +233,7 @@ def told(spans: Column) -> Column:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all documents."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, train(labelled_samples(spark))).select("doc_id", F.col("spans").alias("s"))
+    found = scan(docs, train(labelled_samples(spark, docs=docs))).select("doc_id", F.col("spans").alias("s"))
     of = lambda r: F.size(F.filter("s", lambda x: x["rank"] == r)).cast("long")
     return found.select(
         "doc_id",
@@ -180,3 +244,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         told(F.col("s")).alias("spans"),
         of(3).alias("n_markov"),
     )
+
+
+#: The base spans, for texts in which the models find no further string.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT * FROM (VALUES ('assign', 0, 12), ('access', 1, 18), ('hex', 2, 16)) AS v(kind, rank, least)),
+m AS (SELECT doc_id, kind, rank, least,
+  CASE rank WHEN 0 THEN regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)') WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(t, '[0-9a-f]+') END AS found,
+  CASE rank WHEN 0 THEN regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(t, '[0-9a-f]+') END AS part,
+  CASE rank WHEN 0 THEN regexp_split_to_array(t, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)') WHEN 1 THEN regexp_split_to_array(t, 'AKIA[A-Z0-9]+') ELSE regexp_split_to_array(t, '[0-9a-f]+') END AS gaps FROM d, p),
+e AS (SELECT doc_id, kind, rank, least, unnest(found) AS f, unnest(part) AS g, unnest(gaps[1:len(found)]) AS gap, unnest(range(1, len(found) + 1)) AS i FROM m WHERE len(found) > 0),
+s AS (SELECT doc_id, kind, rank, least, length(f) AS n, length(g) AS size, (sum(length(gap) + length(f)) OVER (PARTITION BY doc_id, rank ORDER BY i))::BIGINT AS stop FROM e),
+k AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, rank) AS spans FROM s WHERE size >= least GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, 0::BIGINT AS n_markov FROM d LEFT JOIN k USING (doc_id)
+"""
