@@ -54,7 +54,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a placeholder."""
-    return _recounted(secrets.redact(docs, secrets.train(secrets.labelled_samples(spark))))
+    return _recounted(secrets.redact(docs, secrets.train(secrets.labelled_samples(spark, docs=docs))))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
