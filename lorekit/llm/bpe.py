@@ -34,6 +34,7 @@ class Vocabulary:
     pattern: str
     left: list[int] = field(default_factory=list)
     right: list[int] = field(default_factory=list)
+    digest: str = ""
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -55,6 +56,7 @@ class Vocabulary:
                 out.left[rank], out.right[rank] = ranks[parts[0]], ranks[parts[1]]
             elif len(token) == 1:
                 out.left[rank] = out.right[rank] = rank
+        out.digest = hashlib.md5(b"|".join([pattern.encode(), *out.tokens])).hexdigest()
         return out
 
 
@@ -179,7 +181,7 @@ _coders: dict[str, Coder] = {}
 
 def _coder(shared) -> Coder:
     """The worker's coder for a broadcast vocabulary; it is kept between tasks."""
-    key = f"{shared.value.pattern}:{hashlib.md5(b'|'.join(shared.value.tokens)).hexdigest()}" if not hasattr(shared, "_lorekit_key") else shared._lorekit_key
+    key = shared.value.digest
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(shared.value)
@@ -193,15 +195,17 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, list[int]]:
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of a text as array<int>. A null text is empty. Rows are independent; the vocabulary has a fixed size."""
+    """Add the ids of a text as array<int>. A null text is empty. Rows are independent; the vocabulary has a fixed size.
+
+    A column that is named like the new one gives way to it.
+    """
     spark = df.sparkSession
-    common.small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
-        for b in batches:
+        for b in common.sliced(batches):
             ids = [coder.encode(t or "") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, out])
 
@@ -209,14 +213,14 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "bytes") -> DataFrame:
-    """Add the bytes that the ids stand for; null ids give no bytes."""
+    """Add the bytes that the ids stand for; null ids give no bytes. A column that is named like the new one gives way to it."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value.tokens  # no automaton and no memory of pieces is needed here
-        for b in batches:
+        for b in common.sliced(batches):
             flat, ends = _flat(b.column(b.schema.get_field_index(ids)))
             each = flat.tolist()
             found = [b"".join(map(tokens.__getitem__, each[i:j])) for i, j in zip(ends[:-1], ends[1:], strict=True)]
@@ -225,18 +229,18 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
-def digests(df: DataFrame, ids: str = "ids", decoded: str = "bytes") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded rows."""
+def digests(df: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "bytes") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches):
             flat, ends = _flat(b.column(b.schema.get_field_index(ids)))
             flat = flat.astype("<u4")
             packed = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(ends[:-1], ends[1:], strict=True)]
             whole = [hashlib.sha256(x or b"").hexdigest() for x in b.column(b.schema.get_field_index(decoded)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(np.diff(ends), pa.int64()), pa.array(packed), pa.array(whole)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)), pa.array(np.diff(ends), pa.int64()), pa.array(packed), pa.array(whole)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:

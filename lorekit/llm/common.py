@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,10 +88,11 @@ def discard(*tables: DataFrame) -> None:
             spark.sql(f"DROP TABLE IF EXISTS `{path.getName().replace('-', '_')}`")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Batches that go to Python stay small where texts are long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that Python objects exist for few of them at a time."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
 
 
 def partitions(spark: SparkSession) -> int:

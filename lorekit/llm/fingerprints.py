@@ -165,7 +165,7 @@ def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint")
     df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches):
             marks = [fingerprint(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.string())], names=[*b.schema.names, out])
 
@@ -229,12 +229,11 @@ def compare(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     Null and empty texts are both empty. A single row follows itself. Other columns are not read. See ``with_next`` for the order.
     """
-    common.small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (range, key, text, mark, tree) of the row that waits for the next one
-        for b in batches:
+        for b in common.sliced(batches):
             out = []
             for k, t, r, tail in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_key", "_text", "_range", "_tail")], strict=True):
                 if tail and held is None:

@@ -35,7 +35,7 @@ from .wordhash import mix, runs, word_hashes
 
 #: Minima by which classes are grouped, and classes or members in a cell.
 KEYS, CELL = 3, 256
-#: One class in SAMPLE is looked at for frequent shingles; those seen FREQUENT times or more, at most MAX_FREQUENT, come last in the order.
+#: One text in SAMPLE is looked at for frequent shingles; those seen FREQUENT times or more, at most MAX_FREQUENT, come last in the order.
 SAMPLE, FREQUENT, MAX_FREQUENT = 32, 4, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,21 +103,51 @@ def links(sets: list[np.ndarray], queries: list[np.ndarray] | None, percent: int
     return out
 
 
-def _sets_frame(df: DataFrame, k: int) -> DataFrame:
-    """(_key, _text, _n, _class, _keys): size of the set, a hash of the set, and its minima under KEYS hash functions."""
-    kind = df.schema["_key"].dataType.simpleString()
+def _late(df: DataFrame, k: int) -> np.ndarray:
+    """Shingles that are frequent in a sample of the texts, at most MAX_FREQUENT of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            sets = shingle_sets(b.column(0).to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sets or [np.zeros(0, np.uint64)])), pa.int64())], names=["token"])
+
+    sample = df.where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLE)) == 0).groupBy(F.xxhash64("_text")).agg(F.min("_text").alias("_text")).select("_text")
+    seen = sample.mapInArrow(run, "token long").groupBy("token").count()
+    top = seen.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).select("token").toArrow()
+    return np.sort(top["token"].to_numpy().view(np.uint64))
+
+
+def _sets_frame(df: DataFrame, k: int, percent: int) -> DataFrame:
+    """(_key, _row, _n, _class, _keys, _prefix): size of the set, a hash of the set, its minima under KEYS hash functions, and the shingles of it to index."""
+    kind = df.schema["_key"].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(_late(df, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
+        for b in common.sliced(batches):
             sets = shingle_sets(b.column(b.schema.get_field_index("_text")).to_pylist(), k)
             marks = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
             minima = [[int(_signed(mix(s * _ODD + np.uint64(2 * i + 1)).min(keepdims=True))[0]) for i in range(KEYS)] if len(s) else [] for s in sets]
+            prefixes = []
+            for s in sets:
+                if len(late) and len(s):
+                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
+                    s = s[np.argsort(late[at] == s, kind="stable")]  # by hash, frequent ones last
+                prefixes.append(_signed(s[: len(s) * (100 - percent) // 100 + 1]))
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("_key")), b.column(b.schema.get_field_index("_text")), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.int64()), pa.array(minima, pa.list_(pa.int64()))],
-                names=["_key", "_text", "_n", "_class", "_keys"],
+                [
+                    b.column(b.schema.get_field_index("_key")),
+                    b.column(b.schema.get_field_index("_row")),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(marks, pa.int64()),
+                    pa.array(minima, pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))),
+                ],
+                names=["_key", "_row", "_n", "_class", "_keys", "_prefix"],
             )
 
-    return df.mapInArrow(run, f"_key {kind}, _text string, _n long, _class long, _keys array<long>")
+    return df.mapInArrow(run, f"_key {kind}, _row long, _n long, _class long, _keys array<long>, _prefix array<long>")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -125,45 +155,53 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. component_id is the smallest key
     that is reachable by links, the row's own included; null keys do not count, and it is null where no row has a key.
-    Rows without words (null, empty, white space) link with nothing and get their own key. Repeated rows and equal keys with other texts are rows of their own.
+    Rows without words (null, empty, white space) link with nothing and get their own key. Repeated rows and equal keys
+    with other texts are rows of their own. Other columns are not read.
     """
-    spark = df.sparkSession
-    common.small_batches(spark)
-    rows = _sets_frame(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), k)
-    marked = common.materialise(rows.select("_key", "_n", "_class"), "jaccard-rows")
-    worded = rows.where(F.col("_n") > 0)
-    one = worded.groupBy("_class").agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_text").alias("text"))
-    classes = common.materialise(one.withColumnRenamed("_class", "id"), "jaccard-classes", bucket="id")
-
-    first = common.materialise(_grouped(classes, k, percent), "jaccard-links")
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(key, text).alias("_row"))
+    marked = common.materialise(_sets_frame(rows, k, percent), "jaccard-rows")
+    worded = marked.where(F.col("_n") > 0)
+    # A class is named by one of its rows; only that row's text is carried on.
+    one = worded.groupBy("_class").agg(F.min("_row").alias("id"), F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_prefix").alias("prefix"))
+    named = common.materialise(one, "jaccard-named")
+    texts = rows.groupBy(F.col("_row").alias("id")).agg(F.first("_text").alias("text"))
+    classes = common.materialise(texts.join(named.select("id", "n"), "id"), "jaccard-classes", bucket="id")
+
+    first = common.materialise(_grouped(named, classes, k, percent), "jaccard-links")
     groups = components(first)
-    opened = common.materialise(_opened(classes, groups, k, percent), "jaccard-opened")
+    opened = common.materialise(_opened(named, groups, percent), "jaccard-opened")
     more = common.materialise(_across(classes, groups, opened, k, percent), "jaccard-across")
     common.discard(classes, opened, first)
     label = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
-    named = more
+    renamed = more
     for c in ("a", "b"):
-        named = named.join(groups.select(F.col("v").alias(c), F.col("comp").alias(f"_{c}")), c, "left")
-    across = components(named.select(label("a"), label("b")))
+        renamed = renamed.join(groups.select(F.col("v").alias(c), F.col("comp").alias(f"_{c}")), c, "left")
+    across = components(renamed.select(label("a"), label("b")))
 
     whole = groups.join(across.select(F.col("v").alias("comp"), F.col("comp").alias("_up")), "comp", "left").select("v", F.coalesce("_up", "comp").alias("comp"))
     alone = across.select("v", "comp").join(groups.select("v"), "v", "left_anti")  # classes that are in no group of several
     labels = whole.unionByName(alone)
-    of_class = marked.where(F.col("_n") > 0).groupBy("_class").agg(F.min("_key").alias("_min")).join(labels.select(F.col("v").alias("_class"), "comp"), "_class", "left")
-    of_class = of_class.select("_class", "_min", F.coalesce("comp", "_class").alias("_comp"))
-    least = of_class.groupBy("_comp").agg(F.min("_min").alias("component_id"))
-    final = of_class.join(least, "_comp").select("_class", F.col("_min").alias("class_id"), "component_id")
-    out = marked.where(F.col("_n") > 0).join(final, "_class", "left")
-    out = out.unionByName(marked.where(F.col("_n") == 0).withColumns({"class_id": F.col("_key"), "component_id": F.col("_key")}))
+    least = worded.groupBy("_class").agg(F.min("_key").alias("_min"))
+    of_class = named.select("_class", "id").join(labels.select(F.col("v").alias("id"), "comp"), "id", "left").join(least, "_class")
+    of_class = common.materialise(of_class.select("_class", "_min", F.coalesce("comp", "id").alias("_comp")), "jaccard-members")
+    # Written, so that the join that follows reads two plain tables and a large component can be split.
+    ends = common.materialise(of_class.groupBy("_comp").agg(F.min("_min").alias("component_id")), "jaccard-ends")
+    final = of_class.join(ends, "_comp").select("_class", F.col("_min").alias("class_id"), "component_id")
+    out = worded.select("_key", "_n", "_class").join(final, "_class", "left")
+    empty = marked.where(F.col("_n") == 0).select("_key", "_n", "_class")
+    out = out.unionByName(empty.withColumns({"class_id": F.col("_key"), "component_id": F.col("_key")}))
     return out.select(F.col("_key").alias(key), F.col("_n").alias("n_shingles"), "class_id", "component_id")
 
 
-def _grouped(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links among classes that share a minimum, searched in cells of about CELL classes."""
-    keyed = classes.select("id", F.posexplode("keys").alias("i", "key"))
-    several = keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+def _grouped(named: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among classes that share a minimum, searched in cells of about CELL classes.
+
+    Classes that all share their first minimum meet there, and not once more for another one.
+    """
+    keyed = named.select("id", F.get("keys", F.lit(0)).alias("own"), F.posexplode("keys").alias("i", "key"))
+    several = keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("m"), F.min("own").alias("x"), F.max("own").alias("y")).where((F.col("m") > 1) & ((F.col("i") == 0) | (F.col("x") != F.col("y"))))
     cells = F.ceil(F.col("m") / CELL)
-    placed = keyed.join(several, ["i", "key"]).select("id", F.xxhash64("i", "key", F.pmod(F.xxhash64("id", "i"), cells)).alias("cell"))
+    placed = keyed.select("id", "i", "key").join(several.select("i", "key", "m"), ["i", "key"]).select("id", F.xxhash64("i", "key", F.pmod(F.xxhash64("id", "i"), cells)).alias("cell"))
     full = placed.join(classes.select("id", "text"), "id")
 
     def search(t: pa.Table) -> pa.Table:
@@ -174,41 +212,12 @@ def _grouped(classes: DataFrame, k: int, percent: int) -> DataFrame:
     return full.groupBy("cell").applyInArrow(search, "a long, b long")
 
 
-def _frequent(classes: DataFrame, k: int) -> np.ndarray:
-    """Shingles that are frequent in the sample, at most MAX_FREQUENT of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(b.column(0).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sets)), pa.int64())], names=["token"])
-
-    seen = classes.where(F.pmod("id", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "token long").groupBy("token").count()
-    top = seen.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).select("token").collect()
-    return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
-
-
-def _opened(classes: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+def _opened(named: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (g, h) that the bound does not rule out."""
-    shared = classes.sparkSession.sparkContext.broadcast(_frequent(classes, k))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = shared.value
-        for b in batches:
-            prefixes = []
-            for s in shingle_sets(b.column(b.schema.get_field_index("text")).to_pylist(), k):
-                m = len(s) * (100 - percent) // 100 + 1
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                    s = s[np.argsort(late[at] == s, kind="stable")]  # by hash, frequent ones last
-                prefixes.append(_signed(s[:m]).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), b.column(b.schema.get_field_index("n")), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "prefix"])
-
-    prefixes = common.materialise(classes.select("id", "n", "text").mapInArrow(run, "id long, n long, prefix array<long>"), "jaccard-prefixes")
-    known = prefixes.join(groups.select(F.col("v").alias("id"), "comp"), "id", "left").select(F.coalesce("comp", "id").alias("g"), "n", F.explode("prefix").alias("token"))
+    known = named.join(groups.select(F.col("v").alias("id"), "comp"), "id", "left").select(F.coalesce("comp", "id").alias("g"), "n", F.explode("prefix").alias("token"))
     matrix = known.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     several = matrix.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where(F.col("x") != F.col("y")).select("token")
     cells = common.materialise(matrix.join(several, "token"), "jaccard-matrix")
-    common.discard(prefixes)
     other = cells.select("token", F.col("g").alias("h"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = cells.join(other, "token").where((F.col("g") < F.col("h")) & (100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low")))
     met = pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("low2").alias("low2"), F.max("high2").alias("high2"))
@@ -231,7 +240,9 @@ def _across(classes: DataFrame, groups: DataFrame, opened: DataFrame, k: int, pe
     sets = of(pairs.select("s", "blocks").distinct(), "s").select("s", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id")
     askers = of(pairs, "q").select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id")
     # A block meets its askers in parts of about CELL, with a copy of the block for each.
-    parts = askers.groupBy("s", "block").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
+    # Both are written, so that the joins on (s, block) read plain tables and a large block can be split.
+    askers = common.materialise(askers, "jaccard-askers")
+    parts = common.materialise(askers.groupBy("s", "block").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts")), "jaccard-parts")
     askers = askers.join(parts, ["s", "block"]).select("s", "block", "id", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
     sets = sets.join(parts, ["s", "block"]).select("s", "block", "id", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     full = askers.unionByName(sets).join(classes.select("id", "text"), "id")

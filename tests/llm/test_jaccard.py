@@ -74,7 +74,7 @@ def test_other_parameters_and_odd_rows(spark):
 
 def test_groups_that_minima_miss(spark, monkeypatch):
     """With a useless grouping the matrix finds all links by itself."""
-    monkeypatch.setattr(jaccard, "_grouped", lambda classes, k, percent: classes.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(jaccard, "_grouped", lambda named, classes, k, percent: classes.sparkSession.createDataFrame([], "a long, b long"))
     rows = corpus(3, 300)
     assert run(spark, rows) == plain(rows)
 
