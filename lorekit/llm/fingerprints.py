@@ -26,12 +26,27 @@ from . import common
 LEAF, MAX_PARAGRAPHS, ENDS, WORD_ENDS = 48, 16, 2, 12
 #: Hex digits of the root, and of a leaf as a fingerprint shows it.
 ROOT, SHOWN = 32, 12
+#: Code points of a text whose paragraphs are remembered for its edit.
+REMEMBERED = 1 << 20
 #: Ranges of keys at most, and rows sampled for each to find where they end.
 RANGES, SAMPLED = 1 << 16, 20
 
 
-def _hash(data: bytes) -> str:
-    return hashlib.blake2b(data, digest_size=16).hexdigest()
+def _hash(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+#: Whether a word ends a leaf, for words that a worker has met.
+_ends: dict[str, bool] = {}
+_MEMORY = 200_000
+
+
+def _end(word: str) -> bool:
+    if len(_ends) >= _MEMORY:
+        _ends.clear()
+    bare = word.rstrip("\n")
+    out = _ends[word] = bare.endswith(".") or not zlib.crc32(bare.encode("utf-8", "replace")) % ENDS
+    return out
 
 
 def _pieces(word: str) -> list[str]:
@@ -47,55 +62,66 @@ def _pieces(word: str) -> list[str]:
 def leaves(paragraph: str) -> list[str]:
     """Pieces that join to the paragraph (a line with its end) again."""
     out: list[str] = []
-    since, at = 0, 0
+    since = at = 0
+    size, known = len(paragraph), _ends.get
     for word in paragraph.split(" "):
-        end = min(at + len(word) + 1, len(paragraph))
-        if end == at:
-            break  # nothing follows the last space
-        if at > since and at + len(word) - since > LEAF:
+        n = len(word)
+        end = at + n + 1
+        if end > size:
+            if at == size:
+                break  # nothing follows the last space
+            end = size
+        if at + n - since > LEAF and at > since:
             out.append(paragraph[since:at])
             since = at
-        bare = word.rstrip("\n")
-        if len(word) > LEAF:
+        if n > LEAF:
             out += _pieces(paragraph[at:end])
             since = end
-        elif bare.endswith(".") or not zlib.crc32(bare.encode("utf-8", "replace")) % ENDS:
+        elif known(word) or (word not in _ends and _end(word)):
             out.append(paragraph[since:end])
             since = end
         at = end
-    if since < len(paragraph) or not out:
+    if since < size or not out:
         out.append(paragraph[since:])
     return out
 
 
-def tree(text: str | None) -> list[list[list[str]]]:
-    """Leaf hashes by section and paragraph. A null text is empty: one section of one paragraph of one empty leaf."""
+def tree(text: str | None, *met: dict[str, list[bytes]]) -> list[list[list[bytes]]]:
+    """Leaf hashes by section and paragraph. A null text is empty: one section of one paragraph of one empty leaf.
+
+    Paragraphs that ``met`` holds are not hashed again; the first of ``met`` is told of new ones.
+    """
     text = text or ""
     lines = text.split("\n")
-    sections: list[list[list[str]]] = [[]]
+    sections: list[list[list[bytes]]] = [[]]
     for i, line in enumerate(lines):
         if sections[-1] and (line.startswith("#") or len(sections[-1]) >= MAX_PARAGRAPHS):
             sections.append([])
         whole = line + "\n" if i < len(lines) - 1 else line
         if whole or not i:
-            sections[-1].append([_hash(x.encode("utf-8", "replace")) for x in leaves(whole)])
+            found = next((x for m in met if (x := m.get(whole)) is not None), None)
+            if found is None:
+                found = [_hash(x.encode("utf-8", "replace")) for x in leaves(whole)]
+                if met:
+                    met[0][whole] = found
+            sections[-1].append(found)
         if not line.strip():
             sections.append([])
     return [s for s in sections if s]
 
 
 def _node(children: list[str]) -> str:
-    return _hash("".join(children).encode())
+    return _hash("".join(children).encode()).hex()
 
 
-def fingerprint(text: str | None) -> str:
+def fingerprint(text: str | None, *met: dict[str, list[bytes]]) -> str:
     """The tree as text: its root, then sections split by ``|``, paragraphs by ``/``, each paragraph its leaves' hashes in a row.
 
     The root follows from the whole hashes of the leaves; shown of a leaf are SHOWN digits, for comparison.
     """
-    t = tree(text)
-    root = _node([_node([_node(p) for p in s]) for s in t])
-    return root + ":" + "|".join("/".join("".join(x[:SHOWN] for x in p) for p in s) for s in t)
+    t = tree(text, *met)
+    root = _hash(b"".join(_hash(b"".join(_hash(b"".join(p)) for p in s)) for s in t)).hex()
+    return root + ":" + "|".join("/".join(b"".join([x[: SHOWN // 2] for x in p]).hex() for p in s) for s in t)
 
 
 def parse(mark: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
@@ -232,18 +258,19 @@ def compare(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, key, text, mark, tree) of the row that waits for the next one
+        held = None  # (range, key, text, mark, tree, paragraphs) of the row that waits for the next one
         for b in common.sliced(batches):
             out = []
             for k, t, r, tail in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_key", "_text", "_range", "_tail")], strict=True):
                 if tail and held is None:
                     continue  # of several copies the first one counts
                 t = t or ""
-                mark = fingerprint(t)
-                now = (r, k, t, mark, parse(mark))
+                met = ({},) if len(t) <= REMEMBERED else ()
+                mark = fingerprint(t, *met)
+                now = (r, k, t, mark, parse(mark), met)
                 if held is not None and held[0] == r:
                     new = edited(held[2], t)
-                    new_mark = fingerprint(new)
+                    new_mark = fingerprint(new, {}, *held[5], *met)
                     out.append((held[1], len(held[2]), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), held[3], new_mark, likeness(held[4], parse(new_mark)), likeness(held[4], now[4])))
                 held = None if tail else now
             cols = list(zip(*out, strict=True)) or [[]] * 7

@@ -45,10 +45,10 @@ def cut(text):
 
 
 def mark(text):
-    h = lambda x: hashlib.blake2b(x.encode(), digest_size=16).hexdigest()
-    t = cut(text)
-    root = h("".join(h("".join(h("".join(h(x) for x in p)) for p in s)) for s in t))
-    return root + ":" + "|".join("/".join("".join(h(x)[:12] for x in p) for p in s) for s in t)
+    h = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    t = [[[h(x.encode()) for x in p] for p in s] for s in cut(text)]
+    root = h(b"".join(h(b"".join(h(b"".join(p)) for p in s)) for s in t)).hex()
+    return root + ":" + "|".join("/".join("".join(x.hex()[:12] for x in p) for p in s) for s in t)
 
 
 def like(a, b):
