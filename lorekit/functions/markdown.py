@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 PROSE, CODE, JSX, HEADING = "prose", "code_fence", "jsx", "heading"
 # Frontmatter keys that are never translated.
 FROZEN = ("method", "path", "operationid")
+_BLOCKS = pa.list_(pa.struct([("index", pa.int32()), ("kind", pa.string()), ("content", pa.string())]))
 BLOCK_TYPE = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("content", T.StringType())]))
 
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -181,14 +183,13 @@ def split_blocks(body: str) -> list[Block]:
 def with_blocks(df: DataFrame, body: str = "body", out: str = "blocks") -> DataFrame:
     """Add the blocks of a body as array<struct<index, kind, content>>; a null body has none. Rows are independent."""
     df = df.drop(out)
-    names = df.columns
 
-    def run(batches):
-        for pdf in batches:
-            pdf[out] = [[(b.index, b.kind, b.content) for b in split_blocks(x)] if isinstance(x, str) else [] for x in pdf[body]]
-            yield pdf[[*names, out]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[{"index": x.index, "kind": x.kind, "content": x.content} for x in split_blocks(t)] if t is not None else [] for t in b.column(b.schema.get_field_index(body)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _BLOCKS)], names=[*b.schema.names, out])
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, BLOCK_TYPE)]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, BLOCK_TYPE)]))
 
 
 def segments(df: DataFrame) -> DataFrame:
@@ -247,25 +248,37 @@ def serialize(meta: dict[str, str], blocks: Iterable[Block]) -> str:
 
 def stub(meta: dict[str, str], blocks: Iterable[Block]) -> str:
     """Stub of a missing locale page: marked title and description, prose left to the translator, all else as it is."""
+    marked, body = _stub(meta, blocks)
+    return "---\n" + "".join(x + "\n" for x in _meta_lines(marked)) + "---\n\n" + body
+
+
+def _stub(meta: dict[str, str], blocks: Iterable[Block]) -> tuple[dict[str, str], str]:
     marked = {k: f"[TODO] {v}" if k in ("title", "description") else v for k, v in meta.items()}
-    out = "---\n" + "".join(x + "\n" for x in _meta_lines(marked)) + "---\n\n{/* TODO: translate from EN */}\n\n"
+    out = "{/* TODO: translate from EN */}\n\n"
     for b in blocks:
         if b.kind == PROSE:
             out += "<!-- TODO: translate -->\n\n"
         else:
             out += b.content + ("" if b.kind != HEADING and b.content.endswith("\n") else "\n") + "\n"
-    return out
+    return marked, out
+
+
+def stub_parts(meta: dict[str, str], blocks: Iterable[Block]) -> tuple[dict[str, str], list[Block]]:
+    """Frontmatter and blocks of a stub, as they are read from its text."""
+    marked, body = _stub(meta, blocks)
+    return marked, split_blocks(body)
 
 
 def with_stub(df: DataFrame, out: str = "stub") -> DataFrame:
     """(relative_path, stub) of pages with ``frontmatter`` and ``blocks``."""
 
-    def run(batches):
-        for pdf in batches:
-            own = [stub(dict(m), [Block(b["index"], b["kind"], b["content"]) for b in bs]) for m, bs in zip(pdf["frontmatter"], pdf["blocks"], strict=True)]
-            yield pdf[["relative_path"]].assign(**{out: own})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            metas, blocks = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("frontmatter", "blocks"))
+            own = [stub(dict(m or ()), [Block(**x) for x in bs or ()]) for m, bs in zip(metas, blocks, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("relative_path")), pa.array(own, pa.string())], names=["relative_path", out])
 
-    return df.select("relative_path", "frontmatter", "blocks").mapInPandas(run, f"relative_path string, {out} string")
+    return df.select("relative_path", "frontmatter", "blocks").mapInArrow(run, f"relative_path string, {out} string")
 
 
 def apply_updates(meta: dict[str, str], blocks: list[Block], updates: dict[str, str], source: list[Block] | None = None) -> tuple[dict[str, str], list[Block]]:
@@ -281,5 +294,23 @@ def apply_updates(meta: dict[str, str], blocks: list[Block], updates: dict[str,
     return meta, out
 
 
+def with_updates(df: DataFrame, out: str = "page") -> DataFrame:
+    """(target_path, page) of rows with a source page's ``frontmatter`` and ``blocks``, the target's ``t_meta`` and ``t_blocks`` and ``updates``.
+
+    A target that does not exist (null blocks) starts as a stub of the source.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pages = []
+            for r in b.to_pylist():
+                own = [Block(**x) for x in r["blocks"]]
+                meta, blocks = (dict(r["t_meta"]), [Block(**x) for x in r["t_blocks"]]) if r["t_blocks"] is not None else stub_parts(dict(r["frontmatter"]), own)
+                pages.append(serialize(*apply_updates(meta, blocks, dict(r["updates"]), own)))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("target_path")), pa.array(pages, pa.string())], names=["target_path", out])
+
+    return df.select("target_path", "frontmatter", "blocks", "t_meta", "t_blocks", "updates").mapInArrow(run, f"target_path string, {out} string")
+
+
 def hash_value(value: str) -> str:
     return hashlib.md5(value.encode()).hexdigest()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import urllib.request
+import zlib
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -27,14 +28,14 @@ class Mock:
     """Marks what it is given; the same on every run."""
 
     def translate(self, texts: list[str], source: str, target: str) -> list[str]:
-        return [f"[FR] {t}" for t in texts]
+        return [f"[FR] {t}" for t in texts]  # a fixed value: the mark that translated segments carry
 
     def improve(self, content: str, prompt: str) -> str:
-        return f"{content}\n\n{{/* improved by mock LLM */}}\n"
+        return f"{content}\n\n{{/* read by a stand-in for a model */}}\n"
 
     def plan(self, drift_summary: str, next_steps: list[str], prompt: str) -> dict:
-        steps = [{"priority": i + 1, "title": f"Run {s}", "command": s, "rationale": "Deterministic drift fix from scan"} for i, s in enumerate(next_steps[:3])]
-        return {"summary": f"Mock plan: {drift_summary} issue categories detected. Execute listed commands first.", "recommendations": steps}
+        steps = [{"priority": i + 1, "title": f"Step {i + 1}: {s}", "command": s, "rationale": "a finding of this kind is open"} for i, s in enumerate(next_steps[:3])]
+        return {"summary": f"Open findings by kind: {drift_summary}.", "recommendations": steps}
 
 
 @dataclass
@@ -64,29 +65,95 @@ class Chat:
         return json.loads(self._ask(prompt, True))
 
 
+def _post(url: str, body: dict, key: str, timeout: float = 60) -> dict:
+    headers = {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}
+    with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as reply:
+        return json.load(reply)
+
+
 @dataclass
 class HttpEmbedder:
-    """A server with the embeddings interface; a text that fails gets no vector."""
+    """A server with the embeddings interface, asked for all texts at once; where that fails for each alone, and a text that fails gets no vector."""
 
     base_url: str
     model: str
     key_variable: str = "LOREKIT_EMBEDDING_API_KEY"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        if not os.environ.get(self.key_variable):
+        key = os.environ.get(self.key_variable)
+        if not key:
             raise KeyError(f"{self.key_variable} is not set")
-        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ[self.key_variable]}"}
-        out = []
-        for t in texts:
-            request = urllib.request.Request(f"{self.base_url}/embeddings", json.dumps({"model": self.model, "input": t}).encode(), headers)
+
+        def ask(some: list[str]) -> list[list[float]]:
+            rows = _post(f"{self.base_url}/embeddings", {"model": self.model, "input": some}, key)["data"]
+            by = {r.get("index", i): r["embedding"] for i, r in enumerate(rows)}
+            return [by.get(i, []) for i in range(len(some))]
+
+        def alone(text: str) -> list[float]:
             try:
-                with urllib.request.urlopen(request, timeout=60) as reply:
-                    out.append(json.load(reply)["data"][0]["embedding"])
+                return ask([text])[0]
             except OSError:
-                out.append([])
+                return []
+
+        try:
+            return ask(texts) if texts else []
+        except OSError:
+            return [alone(t) for t in texts]
+
+
+@dataclass
+class HashEmbedder:
+    """Vectors of hashed words, for tests and for work without a server; the same on every run."""
+
+    size: int = 64
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            v = [0.0] * self.size
+            for w in text.lower().split():
+                h = zlib.crc32(w.encode("utf-8", "replace"))
+                v[h % self.size] += 1.0 if h >> 31 else -1.0
+            out.append(v)
         return out
 
 
+def embedder(config: dict | None = None) -> HttpEmbedder | None:
+    """The first of the configured embedding servers whose key is set, by default one and a second to fall back on; None without a key."""
+    config = config or {}
+    servers = config.get("embedders") or [{"key_variable": "LOREKIT_EMBEDDING_API_KEY", "base": "LOREKIT_EMBEDDING"}, {"key_variable": "LOREKIT_LLM_API_KEY", "base": "LOREKIT_LLM"}]
+    for s in servers:
+        if os.environ.get(s["key_variable"]):
+            of = lambda name, s=s: s.get(name) or os.environ.get(f"{s.get('base', 'LOREKIT_EMBEDDING')}_{name.upper()}", "")
+            return HttpEmbedder(of("base_url"), of("model"), s["key_variable"])
+    return None
+
+
+class OverlapReranker:
+    """Share of the query's words that a document holds: a deterministic stand-in for a cross-encoder."""
+
+    def score(self, query: str, documents: list[str]) -> list[float]:
+        words = set(query.lower().split())
+        return [len(words & set(d.lower().split())) / max(1, len(words)) for d in documents]
+
+
+@dataclass
+class HttpReranker:
+    """A server with the rerank interface; without an answer documents keep their order."""
+
+    base_url: str
+    model: str
+    key_variable: str = "LOREKIT_RERANK_API_KEY"
+
+    def score(self, query: str, documents: list[str]) -> list[float]:
+        try:
+            found = _post(f"{self.base_url}/rerank", {"model": self.model, "query": query, "documents": documents}, os.environ.get(self.key_variable, ""))["results"]
+        except OSError:
+            return [-float(i) for i in range(len(documents))]
+        by = {r["index"]: float(r["relevance_score"]) for r in found}
+        return [by.get(i, float("-inf")) for i in range(len(documents))]
+
+
 def provider(config: dict | None = None) -> Provider:
     """The mock where the configuration or LOREKIT_LLM_MOCK=1 asks for it or no key is set, else a chat client."""
     config = config or {}
@@ -142,4 +209,4 @@ def token_budget(texts: DataFrame, text: str = "value", prompt_bytes: int = 0) -
     return out.select("n", tokens.alias("tokens"), X.chunk_size(tokens, F.col("n")).alias("chunk_size"))
 
 
-__all__ = ["Chat", "HttpEmbedder", "Mock", "Provider", "improve_prompt", "plan_prompt", "provider", "token_budget", "translate_prompt", "translate_segments"]
+__all__ = ["Chat", "HashEmbedder", "HttpEmbedder", "HttpReranker", "Mock", "OverlapReranker", "Provider", "embedder", "improve_prompt", "plan_prompt", "provider", "token_budget", "translate_prompt", "translate_segments"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekit.functions import text as X
@@ -43,8 +47,7 @@ def locale_gaps(page_rows: DataFrame, target: str = "fr") -> DataFrame:
 def unmentioned(methods: DataFrame, texts: DataFrame, text: str = "raw", prefix: str = "sdk") -> DataFrame:
     """Methods of which no text holds the name, the qualified name or the service's qualified name, as a substring.
 
-    Each text looks for all needles at once: the needles are one bounded row of the method list, and what is joined
-    back is the set of needles found, so the texts are read once and never paired with methods.
+    Texts look for all needles at once, and what is joined back is the set of needles found: texts are never paired with methods.
     """
     needles = methods.select(F.explode(F.array("method", "qualified", F.concat(F.lit(f"{prefix}."), F.col("service")))).alias("needle")).distinct()
     found = found_needles(texts, text, needles)
@@ -53,21 +56,45 @@ def unmentioned(methods: DataFrame, texts: DataFrame, text: str = "raw", prefix:
     return methods.join(mentioned, "qualified", "left_anti")
 
 
-#: Needles that one pass over the texts looks for.
-NEEDLES = 2000
+#: Bytes of needles that one automaton holds; more are dealt over several passes.
+NEEDLE_BYTES = 16 << 20
 
 
 def found_needles(texts: DataFrame, text: str, needles: DataFrame) -> DataFrame:
-    """(needle) of those that some text holds. Needles are read in batches of NEEDLES, one pass over the texts for each."""
-    values = sorted(r[0] for r in needles.toLocalIterator())
-    if not values:
-        return needles
-    passes = []
-    for i in range(0, len(values), NEEDLES):
-        batch = F.lit(values[i : i + NEEDLES]).cast("array<string>")
-        hits = F.filter(batch, lambda n: F.contains(F.col(text), n))  # noqa: B023
-        passes.append(texts.select(F.explode(hits).alias("needle")).distinct())
-    return reduce(DataFrame.unionByName, passes).distinct()
+    """(needle) of those that some text holds: texts are streamed through one automaton of all needles.
+
+    The size of the needles is checked first: what goes to the workers at once has at most about NEEDLE_BYTES, more
+    needles are dealt by hash over as many passes. Null needles are in no text, an empty one in every text.
+    """
+    each = needles.where("needle IS NOT NULL").select("needle").distinct()
+    size = each.agg(F.sum(F.octet_length("needle") + 1)).first()[0] or 0
+    n = -(-size // NEEDLE_BYTES)
+    shards = [each if n == 1 else each.where(F.pmod(F.xxhash64("needle"), F.lit(n)) == i) for i in range(n)]
+    passes = [_stream(texts.select(F.col(text).alias("text")), [r[0] for r in shard.toLocalIterator()]) for shard in shards]
+    return reduce(DataFrame.unionByName, passes) if passes else each.limit(0)
+
+
+def _stream(texts: DataFrame, needles: list[str]) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(needles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, needle in enumerate(shared.value):
+            if needle:
+                automaton.add_word(needle, i)
+        automaton.make_automaton()
+        found = np.zeros(len(shared.value), bool)
+        nothing = next((i for i, x in enumerate(shared.value) if not x), None)
+        for b in batches:
+            for t in b.column(0):
+                if (value := t.as_py()) is not None:
+                    if len(automaton):
+                        found[[i for _, i in automaton.iter(value)]] = True
+                    if nothing is not None:
+                        found[nothing] = True
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, hit in zip(shared.value, found.tolist(), strict=True) if hit], pa.string())], names=["needle"])
+
+    return texts.mapInArrow(run, "needle string").distinct()
 
 
 def sdk_unmentioned(methods: DataFrame, page_rows: DataFrame, prefix: str = "sdk") -> DataFrame:
@@ -99,11 +126,12 @@ def report(public: DataFrame, page_rows: DataFrame, slugs: DataFrame, methods: D
     return numbered([*parts, dead_links(page_rows, slugs)])
 
 
-def numbered(parts: list[DataFrame]) -> DataFrame:
-    """Union of issue lists with their order. Reports are small; the window without a key runs over issues only."""
-    union = reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
-    order = Window.orderBy("part", F.col("file").asc_nulls_first(), "message")
-    return union.withColumn("seq", F.row_number().over(order) - 1).drop("part")
+def numbered(parts: list[DataFrame], first: int = 0) -> DataFrame:
+    """Union of issue lists with ``seq``, a value that sorts as the report does: by part, file (none first), message.
+
+    It is a struct and no running number, so that no task has to see all issues; ``first`` is the number of the first part.
+    """
+    return reduce(DataFrame.unionByName, [p.withColumn("seq", F.struct(F.lit(first + i).alias("part"), F.col("file"), F.col("message"))) for i, p in enumerate(parts)])
 
 
 def by_category(df: DataFrame) -> DataFrame:

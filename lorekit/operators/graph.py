@@ -64,13 +64,28 @@ def inheritance_edges(elements: DataFrame) -> DataFrame:
     return edges(based, "inheritance", "id", "base_id", "extends")
 
 
+def _number(df: DataFrame, c: str) -> Column:
+    """A position as a number; days of dates, seconds of timestamps."""
+    kind = df.schema[c].dataType.typeName()
+    if kind == "date":
+        return F.unix_date(c)
+    return F.unix_seconds(F.col(c).cast("timestamp")) if kind.startswith("timestamp") else F.col(c)
+
+
 def enclosing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, end: str, order: list[str], keep: list[str]) -> DataFrame:
     """For each point the smallest range of the same key that holds it, the first in order on a tie; points outside go.
 
-    Points need not be unique: equal points get equal answers, so the range join runs over distinct ones.
+    Points and ranges meet in bins as wide as a key's ranges are on average. So all ranges of a key together lie in at
+    most two bins each on average, and a point meets the ranges around it and not all of its key. Points need not be
+    unique: equal points get equal answers, so the join runs over distinct ones.
     """
     asked = points.select(*by, at).distinct()
-    met = asked.join(ranges.select(*by, start, end, *[c for c in dict.fromkeys([*order, *keep]) if c not in (*by, start, end)]), by).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
+    own = ranges.select(*by, start, end, *[c for c in dict.fromkeys([*order, *keep]) if c not in (*by, start, end)]).where(F.col(start) <= F.col(end))
+    first, last, place = _number(own, start), _number(own, end), _number(asked, at)
+    width = own.groupBy(*by).agg(F.greatest(F.ceil(F.avg(last - first)), F.lit(1)).cast("long").alias("_w"))
+    bin_ = lambda x: F.floor(x / F.col("_w")).cast("long")
+    spread = own.join(width, by).withColumn("_bin", F.explode(F.sequence(bin_(first), bin_(last)))).drop("_w")
+    met = asked.join(width, by).withColumn("_bin", bin_(place)).drop("_w").join(spread, [*by, "_bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
     best = met.groupBy(*by, at).agg(F.min_by(F.struct(*keep), F.struct((F.col(end) - F.col(start)).alias("_width"), *order)).alias("_best"))
     return points.join(best, [*by, at]).select(*points.columns, "_best.*")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,31 +81,41 @@ def cosine_top_k(vectors: DataFrame, query: list[float], k: int, id_: str = "id"
     return vectors.select(id_, X.cosine(F.col(embedding), F.lit(query).cast("array<double>")).alias("score")).orderBy(F.desc("score"), id_).limit(k)
 
 
-def rerank(hits: DataFrame, query: str, reranker: Reranker | None, k: int = HITS, text: str = "code") -> DataFrame:
-    """The k best of at most CANDIDATES hits under a reranker; the first k where there is none. k = 0 keeps all."""
-    first = hits.orderBy("rank").limit(CANDIDATES)
+def rerank(hits: DataFrame, queries: list[tuple[int, str]], reranker: Reranker | None, k: int = HITS, text: str = "code") -> DataFrame:
+    """The k best of each query's first CANDIDATES hits under a reranker; the first k where there is none. k = 0 keeps all.
+
+    A query's candidates, CANDIDATES at most, are scored together in one task; ``rank`` and ``score`` are those of the
+    reranker. Equal scores keep the order of the hits.
+    """
+    first = hits.where(F.col("rank") <= CANDIDATES)
     if reranker is None:
-        return first.limit(k) if k else first
-    pdf = first.toPandas()
-    pdf["score"] = reranker.score(query, pdf[text].tolist())
-    pdf = pdf.sort_values(["score", "rank"], ascending=[False, True], kind="stable").head(k or len(pdf))
-    pdf["rank"] = range(1, len(pdf) + 1)
-    return hits.sparkSession.createDataFrame(pdf, first.schema)
+        return first.where(F.col("rank") <= k) if k else first
+    asked = dict(queries)
+
+    def score(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        scores = reranker.score(asked[t["query_no"][0].as_py()], [x or "" for x in t[text].to_pylist()])
+        best = sorted(range(len(t)), key=lambda i: -scores[i])[: k or len(t)]
+        out = t.take(pa.array(best, pa.int64()))
+        out = out.set_column(out.schema.get_field_index("rank"), out.schema.field("rank"), pa.array(range(1, len(best) + 1), out.schema.field("rank").type))
+        return out.set_column(out.schema.get_field_index("score"), out.schema.field("score"), pa.array([float(scores[i]) for i in best], pa.float64()))
+
+    return first.groupBy("query_no").applyInArrow(score, first.schema)
 
 
 def populate_vectors(elements: DataFrame, embedder: Embedder, batch: int = BATCH) -> DataFrame:
     """(id, embedding) of elements with a snippet, in batches; texts for which the embedder gives nothing are left out."""
     rows = elements.select("id", X.embed_snippet(*[F.col(c) for c in ("name", "signature", "docstring", "code")]).alias("snippet")).where("snippet <> ''")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch]
-                vectors = embedder.embed(part["snippet"].tolist())
-                kept = [(x, v) for x, v in zip(part["id"], vectors, strict=True) if v]
-                yield pd.DataFrame({"id": pd.Series([x for x, _ in kept], dtype=object), "embedding": pd.Series([v for _, v in kept], dtype=object)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), batch):
+                part = b.slice(i, batch)
+                vectors = embedder.embed(part.column(1).to_pylist())
+                kept = [(x, v) for x, v in zip(part.column(0).to_pylist(), vectors, strict=True) if v]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], b.schema.field(0).type), pa.array([v for _, v in kept], pa.list_(pa.float32()))], names=["id", "embedding"])
 
-    return rows.mapInPandas(run, "id string, embedding array<float>")
+    return rows.mapInArrow(run, f"id {elements.schema['id'].dataType.simpleString()}, embedding array<float>")
 
 
 def upsert_vectors(store: DataFrame, new: DataFrame) -> DataFrame:
@@ -121,11 +131,20 @@ def assemble(hits: DataFrame, limit: int) -> DataFrame:
     return first.select("query_no", "rank", "id", X.snippet(F.col("name"), F.col("element_type"), F.col("relative_path"), F.col("start_line"), F.col("code")).alias("snippet"))
 
 
-def context(elements: DataFrame, queries: list[str], limit: int = HITS) -> str:
+def best_hits(elements: DataFrame, queries: list[str], k: int = HITS, vectors: DataFrame | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None, **kw) -> DataFrame:
+    """The k hits of each query that an answer is built from: CANDIDATES by keyword and vector score, then reranked."""
+    asked = list(enumerate(queries))
+    query_vectors = None
+    if vectors is not None and embedder is not None:
+        query_vectors = {i: [float(x) for x in v] for (i, _), v in zip(asked, embedder.embed(queries), strict=True) if v}
+    return rerank(search(elements, asked, CANDIDATES, vectors=vectors, query_vectors=query_vectors, **kw), asked, reranker, k)
+
+
+def context(elements: DataFrame, queries: list[str], limit: int = HITS, vectors: DataFrame | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None) -> str:
     """Code context for a model: the snippets joined; at most ``limit`` of them reach the driver."""
     if not queries:
         return "(no code search queries)"
-    found = assemble(search(elements, list(enumerate(queries))), limit).orderBy("query_no", "rank").collect()
+    found = assemble(best_hits(elements, queries, HITS, vectors, embedder, reranker), limit).orderBy("query_no", "rank").collect()
     return "\n".join(r["snippet"] for r in found) or "(no matching code elements; run a scan after API changes)"
 
 

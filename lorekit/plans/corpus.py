@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import cached_property, reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ class Project:
     spark: SparkSession
     root: Path
     config: cfg.Config = field(default_factory=cfg.Config)
+    embedder: search.Embedder | None = None
+    reranker: search.Reranker | None = None
 
     def __post_init__(self) -> None:
         self.root = Path(self.root)
@@ -80,6 +85,15 @@ class Project:
         files = tree.scan_sources(self.spark, [r for r in self.config.code_root_paths(self.root) if Path(r).is_dir()])
         return Code(files)
 
+    @cached_property
+    def vectors(self) -> DataFrame | None:
+        """Embeddings of the code elements where an embedder is set, computed once."""
+        return search.populate_vectors(self.code.elements, self.embedder).cache() if self.embedder else None
+
+    def search_context(self, queries: list[str], limit: int) -> str:
+        """Code context of a query list: keyword and vector score, the best of them reranked where a reranker is set."""
+        return search.context(self.code.elements, queries, limit, self.vectors, self.embedder, self.reranker)
+
     @cached_property
     def nodes(self) -> DataFrame:
         return graph.knowledge_nodes(self.operations, self.pages, self.methods)
@@ -116,22 +130,22 @@ def drift_report(project: Project, script: str | None = None) -> DataFrame:
     if script is None:
         return found
     external = drift.script_errors(project.spark.createDataFrame([(script,)], "output string"))
-    last = (found.agg(F.max("seq")).first()[0] or 0) + 1
-    return found.unionByName(drift.numbered([external]).withColumn("seq", F.col("seq") + last))
+    return found.unionByName(drift.numbered([external], first=EXTERNAL))
+
+
+#: Numbers of the parts of a report that follow those of the drift report.
+EXTERNAL, LOCALES = 100, 200
 
 
 def sync_locales(project: Project, scaffold: bool = False, refresh_lock: bool = False, check_only: bool = False) -> dict:
     """Locale issues; with stubs written for missing pages and the lock renewed where asked for and not only checking."""
     old, exists = project.lock()
     targets = project.config.i18n.targets
-    issues = drift.numbered(locale.sync_issues(project.pages, project.segments, old, exists, targets, project.sources)).cache()
+    issues = drift.numbered(locale.sync_issues(project.pages, project.segments, old, exists, targets, project.sources), first=LOCALES).cache()
     written: list[str] = []
     if scaffold and not check_only:
         missing = locale.pairs(project.sources, project.pages, targets).where("NOT present").join(project.pages.select("relative_path", "frontmatter", "blocks"), "relative_path")
-        for r in missing.toLocalIterator():
-            blocks = [markdown.Block(b["index"], b["kind"], b["content"]) for b in r["blocks"]]
-            _write(Path(project.docs) / r["target_path"], markdown.stub(r["frontmatter"], blocks))
-            written.append(r["target_path"])
+        written = write_files(markdown.with_stub(missing.drop("relative_path").withColumnRenamed("target_path", "relative_path")), "stub", project.docs)
     if refresh_lock and not check_only:
         locks.write_lock(project.segments, project.at(project.config.i18n.lock_cache))
     return {"issues": issues, "next_steps": [r["step"] for r in drift.locale_next_steps(issues).collect()], "scaffolded": sorted(written), "lock_updated": refresh_lock and not check_only}
@@ -142,6 +156,26 @@ def _write(path: Path, text: str) -> None:
     path.write_text(text, encoding="utf-8")
 
 
+def write_files(df: DataFrame, text: str, root: str) -> list[str]:
+    """Write each row's text to (root, relative_path), by the tasks that hold the rows; the paths written, in order.
+
+    The root has to be a folder that all executors see. A row is written whole under another name and then renamed, so a
+    task that is run again does no harm.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                target = Path(root) / path
+                part = target.with_name(f"{target.name}.{uuid.uuid4().hex}.part")
+                _write(part, value)
+                part.replace(target)
+            yield b.select([0])
+
+    done = df.select("relative_path", text).mapInArrow(run, "relative_path string")
+    return [r[0] for r in done.orderBy("relative_path").collect()]
+
+
 def translate_locales(project: Project, model: providers.Provider | None = None, force: bool = False, check_only: bool = False, dry_run: bool = False, refresh_lock: bool = True) -> dict:
     """Translate new and changed segments page by page; pages (relative_path, target_path, segments, written)."""
     old, exists = project.lock()
@@ -155,16 +189,7 @@ def translate_locales(project: Project, model: providers.Provider | None = None,
         own = project.pages.select("relative_path", "frontmatter", "blocks")
         sibling = project.pages.select(F.col("relative_path").alias("target_path"), F.col("frontmatter").alias("t_meta"), F.col("blocks").alias("t_blocks"))
         rows = updates.join(own, "relative_path").withColumn("target_path", X.sibling(F.col("relative_path"), F.col("target"))).join(sibling, "target_path", "left")
-        as_blocks = lambda bs: [markdown.Block(b["index"], b["kind"], b["content"]) for b in bs]
-        for r in rows.toLocalIterator():
-            source = as_blocks(r["blocks"])
-            if r["t_blocks"] is None:
-                parts = project.spark.createDataFrame([(r["target_path"], markdown.stub(r["frontmatter"], source))], "relative_path string, raw string")
-                page = markdown.with_blocks(P.pages(parts)).select("frontmatter", "blocks").first()
-                meta, blocks = page["frontmatter"], as_blocks(page["blocks"])
-            else:
-                meta, blocks = r["t_meta"], as_blocks(r["t_blocks"])
-            _write(Path(project.docs) / r["target_path"], markdown.serialize(*markdown.apply_updates(meta, blocks, r["updates"], source)))
+        write_files(markdown.with_updates(rows).select(F.col("target_path").alias("relative_path"), "page"), "page", project.docs)
         if refresh_lock:
             locks.write_lock(project.segments, project.at(project.config.i18n.lock_cache))
     return {
@@ -176,21 +201,46 @@ def translate_locales(project: Project, model: providers.Provider | None = None,
     }
 
 
+def snapshot_tables(project: Project, folder: str) -> dict[str, str]:
+    """Write the entities of a scan as tables below a folder, by the executors; the path of each."""
+    tables = {
+        "elements": project.code.elements,
+        "operations": project.operations,
+        "pages": project.pages.drop("blocks"),
+        "segments": project.segments,
+        "slugs": project.slugs,
+        "sdk_methods": project.methods,
+        "competitors": project.competitors,
+        "nodes": project.nodes,
+        "edges": project.edges.select("from", "to", "relation"),
+        "drift_issues": drift_report(project),
+    }
+    out = {}
+    for name, df in tables.items():
+        if df is not None:
+            out[name] = f"{folder.rstrip('/')}/{name}.parquet"
+            df.write.mode("overwrite").parquet(out[name])
+    return out
+
+
 def snapshot(project: Project) -> dict:
-    """Counts and entities of a scan, as plain values for a JSON file."""
+    """Counts and entities of a scan, as plain values for a JSON file: an export for people and tools, through the driver.
+
+    ``snapshot_tables`` writes a scan of any size.
+    """
     rows = lambda df: [json.loads(x) for x in df.toJSON().toLocalIterator()]
     return {
         "scanned_at": datetime.now(UTC).isoformat(),
         "root": str(project.root),
         "code_element_count": project.code.elements.count(),
         "code_stats": rows(project.code.stats()),
-        "operations": rows(project.operations),
-        "pages": rows(project.pages.drop("raw", "body", "blocks", "frontmatter")),
+        "operations": rows(project.operations.orderBy("path", "method")),
+        "pages": rows(project.pages.drop("raw", "body", "blocks", "frontmatter").orderBy("relative_path")),
         "valid_slugs": sorted(r[0] for r in project.slugs.collect()),
-        "sdk_methods": rows(project.methods) if project.methods is not None else None,
-        "competitors": rows(project.competitors),
+        "sdk_methods": rows(project.methods.orderBy("qualified")) if project.methods is not None else None,
+        "competitors": rows(project.competitors.orderBy("relative_path")),
         "graph": {"nodes": rows(project.nodes), "edges": rows(project.edges.select("from", "to", "relation"))},
-        "drift_issues": rows(drift_report(project)),
+        "drift_issues": rows(drift_report(project).orderBy("seq")),
     }
 
 
@@ -204,7 +254,8 @@ def load_snapshot(project: Project) -> dict:
 
 
 def drift_from_snapshot(spark: SparkSession, values: dict) -> DataFrame:
-    return spark.createDataFrame([(i["category"], i["message"], i.get("file"), i["seq"]) for i in values["drift_issues"]], "category string, message string, file string, seq int")
+    rows = [(i["category"], i["message"], i.get("file"), (i["seq"]["part"], i["seq"].get("file"), i["seq"]["message"])) for i in values["drift_issues"]]
+    return spark.createDataFrame(rows, "category string, message string, file string, seq struct<part:int,file:string,message:string>")
 
 
 def graph_export(project: Project) -> dict:
@@ -253,23 +304,27 @@ def actions(issues: DataFrame, locale_issues: DataFrame, tool: str = "lorekit",
     return first.unionByName(second)
 
 
+def with_recommendations(acts: DataFrame, recommended: DataFrame) -> DataFrame:
+    """Actions and those recommended ones whose title is no action's yet."""
+    return acts.unionByName(recommended.join(acts.select("title").distinct(), "title", "left_anti"))
+
+
 def suggest(project: Project, script: str | None = None, with_locales: bool = True, model: providers.Provider | None = None) -> dict:
     """Prioritised actions from all issues, with a model's plan where a model is given."""
     issues = drift_report(project, script).cache()
     none = issues.limit(0)
     local = sync_locales(project, check_only=True)["issues"] if with_locales else none
-    everything = issues.unionByName(local.withColumn("seq", F.col("seq") + issues.count())) if with_locales else issues
+    everything = issues.unionByName(local) if with_locales else issues
     steps = [r["step"] for r in drift.next_steps(everything).collect()]
     acts = actions(issues, local)
-    context = search.context(project.code.elements, [r["query"] for r in issue_queries(everything).collect()], 15)
+    context = project.search_context([r["query"] for r in issue_queries(everything).collect()], 15)
     plan = None
     if model is not None:
         summary = drift.category_summary(everything).first()["summary"]
         plan = model.plan(summary, steps, providers.plan_prompt(summary, steps, context, graph_size(project)))
         more = [("ai", r["priority"], r["command"], r["title"], r["rationale"]) for r in plan["recommendations"]]
         if more:
-            new = project.spark.createDataFrame(more, "source string, priority int, command string, title string, detail string")
-            acts = acts.unionByName(new.join(acts.select("title").distinct(), "title", "left_anti"))
+            acts = with_recommendations(acts, project.spark.createDataFrame(more, "source string, priority int, command string, title string, detail string"))
     structure = F.count_if((F.col("category") == "locale_structure") & F.col("file").startswith("api/"))
     return {
         "actions": acts.orderBy("priority", "title", "detail"),
@@ -291,25 +346,35 @@ def graph_size(project: Project) -> str:
     return f"graph nodes={len(saved['nodes'])} edges={len(saved['edges'])}"
 
 
+def matching_operations(operations: DataFrame, method: str | None, path: str | None) -> DataFrame:
+    """Operations of a method, ignoring case, and a path; a missing one matches all."""
+    ops = operations if method is None else operations.where(F.col("method") == method.upper())
+    return ops if path is None else ops.where(F.col("path") == path)
+
+
 def operation_context(project: Project, meta: dict[str, str]) -> str:
-    """Operations that match a page's method, ignoring case, and path; a missing one matches all."""
+    """The operations that a page's frontmatter names, as text."""
     method, path = meta.get("method"), meta.get("path")
     if method is None and path is None:
         return "(no OpenAPI operation on this page)"
-    ops = project.operations
-    ops = ops if method is None else ops.where(F.col("method") == method.upper())
-    ops = ops if path is None else ops.where(F.col("path") == path)
-    found = [f"{r['method']} {r['path']}\n" + (f"{r['summary']}\n" if r["summary"] else "") + "\n" for r in ops.collect()]
+    rows = matching_operations(project.operations, method, path).orderBy("path", "method").collect()
+    found = [f"{r['method']} {r['path']}\n" + (f"{r['summary']}\n" if r["summary"] else "") + "\n" for r in rows]
     return "".join(found) or "(operation not found in OpenAPI)"
 
 
-def competitor_context(project: Project, page: str) -> str:
-    """At most three of the first fifty documents whose path or lower-case title holds the page's topic."""
+def topic_documents(competitors: DataFrame, page: str, first: int = 50, keep: int = 3) -> DataFrame:
+    """(title, relative_path) of the first documents whose path or lower-case title holds the page's topic."""
     topic = page.split("/")[1] if "/" in page else "docs"
     title = F.coalesce("title", "relative_path")
-    first = project.competitors.orderBy("relative_path").limit(50)
-    hits = first.where(F.contains("relative_path", F.lit(topic)) | F.contains(F.lower(title), F.lit(topic))).orderBy("relative_path").limit(3)
-    return "\n".join(f"- {r[0]}: {r[1]}" for r in hits.select(title, "relative_path").collect()) or "(no competitor snippets for this topic)"
+    some = competitors.orderBy("relative_path").limit(first)
+    hits = some.where(F.contains("relative_path", F.lit(topic)) | F.contains(F.lower(title), F.lit(topic))).orderBy("relative_path").limit(keep)
+    return hits.select(title.alias("title"), "relative_path")
+
+
+def competitor_context(project: Project, page: str) -> str:
+    """At most three of the first fifty documents of other providers on the page's topic, as text."""
+    hits = topic_documents(project.competitors, page).orderBy("relative_path").collect()
+    return "\n".join(f"- {r[0]}: {r[1]}" for r in hits) or "(no competitor snippets for this topic)"
 
 
 def improve(project: Project, page: str, model: providers.Provider | None = None, output: str | Path | None = None) -> dict:
@@ -320,7 +385,7 @@ def improve(project: Project, page: str, model: providers.Provider | None = None
         raise FileNotFoundError(page)
     guide = project.at(project.config.style_guide)
     style = guide.read_text(encoding="utf-8") if guide.is_file() else "Write clear and short technical prose. Stay true to the interface."
-    context = search.context(project.code.elements, page_queries(page, row["frontmatter"]), 12)
+    context = project.search_context(page_queries(page, row["frontmatter"]), 12)
     prompt = providers.improve_prompt(page, row["raw"], style, operation_context(project, row["frontmatter"]), context, competitor_context(project, page))
     better = (model or providers.provider(project.config.llm)).improve(row["raw"], prompt)
     if output is not None:

@@ -11,8 +11,11 @@ SCHEMA = "relative_path string, seg_key string, hash string"
 
 
 def read_lock(spark: SparkSession, path: str | Path) -> tuple[DataFrame, bool]:
-    """Lock rows and whether the file exists. YAML that can't be read counts as an empty lock."""
+    """Lock rows and whether the lock exists. YAML that can't be read counts as an empty lock; a path that ends in .parquet is a table."""
     file = Path(path)
+    if str(path).endswith(".parquet"):
+        there = file.is_dir() and any(file.iterdir())
+        return (spark.read.schema(SCHEMA).parquet(str(path)) if there else spark.createDataFrame([], SCHEMA)), there
     files: dict = {}
     if file.is_file():
         try:
@@ -27,9 +30,12 @@ def read_lock(spark: SparkSession, path: str | Path) -> tuple[DataFrame, bool]:
 def write_lock(segments: DataFrame, path: str | Path) -> int:
     """Replace the lock by the hashes of (relative_path, seg_key, hash); returns the number of pages.
 
-    A lock is a file that people review and commit, so it is written by the driver; a lock too large for that belongs in
-    a table, see ``write_lock_table``.
+    A YAML lock is a file that people review and commit, so the driver writes it; a path that ends in .parquet is a
+    table that the executors write, for locks of any size.
     """
+    if str(path).endswith(".parquet"):
+        write_lock_table(segments, str(path))
+        return segments.select("relative_path").distinct().count()
     files: dict[str, dict[str, str]] = {}
     for r in segments.select("relative_path", "seg_key", "hash").orderBy("relative_path", "seg_key").toLocalIterator():
         files.setdefault(r["relative_path"], {})[r["seg_key"]] = r["hash"]

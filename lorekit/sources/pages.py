@@ -39,9 +39,9 @@ def pages(files: DataFrame, path: str = "relative_path", raw: str = "raw") -> Da
 
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
-    """Pages below a content root, by path."""
+    """Pages below a content root."""
     files = read_tree(spark, root, extensions=("mdx",)).where(~F.col("is_dir") & F.col("content").isNotNull())
-    return pages(files.withColumnRenamed("content", "raw")).orderBy("relative_path")
+    return pages(files.withColumnRenamed("content", "raw"))
 
 
 def valid_slugs(page_rows: DataFrame, directories: DataFrame | None = None) -> DataFrame:
@@ -68,4 +68,4 @@ def source_pages(page_rows: DataFrame, prefix: str, include: list[str], exclude:
     """English pages that an include glob takes and no exclude glob does; all English pages if that leaves none."""
     full = F.concat(F.lit(prefix.rstrip("/") + "/"), F.col("relative_path"))
     chosen = english(page_rows).where(X.matches_any(full, include) & ~X.matches_any(full, exclude))
-    return (english(page_rows) if chosen.isEmpty() else chosen).orderBy("relative_path")
+    return english(page_rows) if chosen.isEmpty() else chosen

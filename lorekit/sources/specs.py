@@ -22,10 +22,11 @@ def text_frame(spark: SparkSession, path: str) -> DataFrame:
 def operations(df: DataFrame, json: str = "json") -> DataFrame:
     """(method, path, operation_id, summary, op_key) of an API specification; a path item that is no object is passed over."""
     paths = df.select(F.explode(F.from_json(json, "struct<paths:map<string,string>>")["paths"]).alias("path", "item"))
-    items = paths.where(F.col("item").startswith("{")).select("path", F.explode(F.from_json("item", "map<string,string>")).alias("method", "op"))
-    op = F.from_json("op", "struct<operationId:string,summary:string>")
-    rows = items.where(F.col("method").isin(*METHODS)).select(F.upper("method").alias("method"), "path", op["operationId"].alias("operation_id"), op["summary"].alias("summary"))
-    return rows.withColumn("op_key", X.operation_key(F.col("method"), F.col("path"))).orderBy("path", "method")
+    op = "struct<operationId:string,summary:string>"
+    items = paths.where(F.col("item").startswith("{")).select("path", F.from_json("item", f"struct<{','.join(f'{m}:{op}' for m in METHODS)}>").alias("item"))
+    each = F.array(*[F.struct(F.lit(m.upper()).alias("method"), F.col("item")[m].alias("op")) for m in METHODS])
+    rows = items.select("path", F.explode(F.filter(each, lambda x: x["op"].isNotNull())).alias("x")).select("x.method", "path", F.col("x.op.operationId").alias("operation_id"), F.col("x.op.summary").alias("summary"))
+    return rows.withColumn("op_key", X.operation_key(F.col("method"), F.col("path")))
 
 
 def allowlist(df: DataFrame, json: str = "json") -> DataFrame:
@@ -41,7 +42,7 @@ def sdk_methods(df: DataFrame, prefix: str = "sdk", json: str = "json") -> DataF
     """(service, method, qualified) of an SDK manifest."""
     services = df.select(F.explode(F.from_json(json, "struct<sdk:map<string,array<string>>>")["sdk"]).alias("service", "methods"))
     rows = services.select("service", F.explode("methods").alias("method"))
-    return rows.withColumn("qualified", F.concat_ws(".", F.lit(prefix), "service", "method")).orderBy("qualified")
+    return rows.withColumn("qualified", F.concat_ws(".", F.lit(prefix), "service", "method"))
 
 
 def operation_map(ops: DataFrame) -> DataFrame:

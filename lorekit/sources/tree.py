@@ -85,15 +85,18 @@ def read_tree(spark: SparkSession, root: str, prune: bool = False, extensions: t
     return spark.read.format("tree").options(path=root, prune=str(prune).lower(), extensions=",".join(extensions)).load()
 
 
-def scan_sources(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Source files of several roots: those whose extension maps to a language, outside hidden and ignored directories.
+def source_files(files: DataFrame) -> DataFrame:
+    """Of (path, relative_path, ..) the files whose extension maps to a ``language``, outside hidden and ignored directories."""
+    named = files.withColumn("language", X.language(F.col("path")))
+    return named.where(F.col("language").isNotNull() & ~X.in_ignored_dir(F.col("relative_path")))
+
 
-    Roots that are no directories are passed over; a root without source files is an error.
-    """
+def scan_sources(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Source files of several roots. Roots that are no directories are passed over; a root without source files is an error."""
     frames = []
     for root in roots:
         if os.path.isdir(root):
-            files = read_tree(spark, root, prune=True).where("NOT is_dir").withColumn("language", X.language(F.col("path"))).where(F.col("language").isNotNull())
+            files = source_files(read_tree(spark, root, prune=True).where("NOT is_dir"))
             if files.isEmpty():
                 raise ValueError(f"no source files below {root}")
             frames.append(files.drop("is_dir"))
@@ -105,7 +108,11 @@ def scan_sources(spark: SparkSession, roots: list[str]) -> DataFrame:
     return out
 
 
+def documents_of(files: DataFrame) -> DataFrame:
+    """(provider, relative_path, title, size_bytes) of files: provider is the first directory, title the first heading."""
+    return files.select(F.element_at(F.split("relative_path", "/"), 1).alias("provider"), "relative_path", X.first_title(F.col("content")).alias("title"), "size_bytes")
+
+
 def competitors(spark: SparkSession, root: str) -> DataFrame:
-    """Documents of other providers: provider is the first directory, title the first heading."""
-    docs = read_tree(spark, root, extensions=("md", "mdx", "txt")).where("NOT is_dir")
-    return docs.select(F.element_at(F.split("relative_path", "/"), 1).alias("provider"), "relative_path", X.first_title(F.col("content")).alias("title"), "size_bytes").orderBy("relative_path")
+    """Documents of other providers."""
+    return documents_of(read_tree(spark, root, extensions=("md", "mdx", "txt")).where("NOT is_dir"))
