@@ -69,10 +69,10 @@ def materialise(df: DataFrame, name: str, bucket: str | None = None) -> DataFram
     spark.conf.set(cleanup, "true")
     try:
         if bucket is None:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
             return spark.read.schema(df.schema).parquet(path)
         table_name = unique.replace("-", "_")
-        df.write.bucketBy(partitions(spark), bucket).option("path", path).saveAsTable(table_name, format="parquet")
+        df.write.option("compression", "zstd").bucketBy(partitions(spark), bucket).option("path", path).saveAsTable(table_name, format="parquet")
         return spark.table(table_name)
     finally:
         spark.conf.set(cleanup, before)

@@ -159,11 +159,13 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
     with other texts are rows of their own. Other columns are not read.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(key, text).alias("_row"))
-    marked = common.materialise(_sets_frame(rows, k, percent), "jaccard-rows")
-    worded = marked.where(F.col("_n") > 0)
+    found = common.materialise(_sets_frame(rows, k, percent), "jaccard-found")
     # A class is named by one of its rows; only that row's text is carried on.
-    one = worded.groupBy("_class").agg(F.min("_row").alias("id"), F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_prefix").alias("prefix"))
+    one = found.where(F.col("_n") > 0).groupBy("_class").agg(F.min("_row").alias("id"), F.first("_n").alias("n"), F.first("_keys").alias("keys"), F.first("_prefix").alias("prefix"))
     named = common.materialise(one, "jaccard-named")
+    marked = common.materialise(found.select("_key", "_n", "_class"), "jaccard-rows")
+    worded = marked.where(F.col("_n") > 0)
+    common.discard(found)
     texts = rows.groupBy(F.col("_row").alias("id")).agg(F.first("_text").alias("text"))
     classes = common.materialise(texts.join(named.select("id", "n"), "id"), "jaccard-classes", bucket="id")
 
@@ -200,6 +202,7 @@ def _grouped(named: DataFrame, classes: DataFrame, k: int, percent: int) -> Data
     """
     keyed = named.select("id", F.get("keys", F.lit(0)).alias("own"), F.posexplode("keys").alias("i", "key"))
     several = keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("m"), F.min("own").alias("x"), F.max("own").alias("y")).where((F.col("m") > 1) & ((F.col("i") == 0) | (F.col("x") != F.col("y"))))
+    several = common.materialise(several, "jaccard-shared")  # so that the join reads two plain tables and a hot minimum can be split
     cells = F.ceil(F.col("m") / CELL)
     placed = keyed.select("id", "i", "key").join(several.select("i", "key", "m"), ["i", "key"]).select("id", F.xxhash64("i", "key", F.pmod(F.xxhash64("id", "i"), cells)).alias("cell"))
     full = placed.join(classes.select("id", "text"), "id")
