@@ -99,8 +99,7 @@ def theta_unmentioned(spark, d):
 # Texts.
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS slug FROM pages")
-def link_extract(spark, d):
+def _hrefs(spark, d):
     return _t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("slug"))
 
 
@@ -109,12 +108,7 @@ v AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS slug
 SELECT page_id, slug FROM l WHERE slug NOT IN (SELECT slug FROM v)""")
 def dead_links(spark, d):
     known = _t(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("slug")).distinct()
-    return drift.missing(link_extract(spark, d), known, "slug").select("page_id", "slug")
-
-
-@query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))) AS links FROM pages")
-def link_set_sorted(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)))).alias("links"))
+    return drift.missing(_hrefs(spark, d), known, "slug").select("page_id", "slug")
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS line_number FROM l)
@@ -148,7 +142,7 @@ def _language_sql() -> str:
     lists = {c: w.split() for c, w in X.STOP_WORDS.items()}
     score = lambda c: f"len(list_filter({lists[c]!r}, lambda s: list_contains(w, s)))"
     return (
-        r"WITH d AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, lang, w, "
+        r"WITH d AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, lang, w, "
         + ", ".join(f"{score(c)} AS {c}_" for c in lists)
         + " FROM d), b AS (SELECT *, greatest("
         + ", ".join(f"{c}_" for c in lists)
@@ -160,7 +154,7 @@ def _language_sql() -> str:
 
 @query(_language_sql())
 def lang_detect(spark, d):
-    return _t(spark, d, "documents").select("doc_id", "lang", X.detect_language(F.col("text"), unicode=False).alias("code"))
+    return _t(spark, d, "documents").select("doc_id", "lang", X.detect_language(F.col("text")).alias("code"))
 
 
 @query(f"WITH q AS ({_language_sql()}) SELECT code, count(*) AS n FROM q GROUP BY code")
@@ -177,9 +171,9 @@ def script_counts(spark, d):
 _STOPS_EN = repr(X.STOP_WORDS["en"].split())
 
 
-@query(rf"""SELECT item_id, array_to_string(list_concat([text], list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '' AND NOT list_contains({_STOPS_EN}, w) AND strlen(w) >= 3)), ' OR ') AS expanded FROM benchmark""")
+@query(rf"""SELECT item_id, array_to_string(list_concat([text], list_filter(regexp_split_to_array(lower(text), '[\x09-\x0D\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda w: w <> '' AND NOT list_contains({_STOPS_EN}, w) AND strlen(w) >= 3)), ' OR ') AS expanded FROM benchmark""")
 def query_expansion(spark, d):
-    return _t(spark, d, "benchmark").select("item_id", X.expand_query(F.col("text"), F.lit("en"), unicode=False).alias("expanded"))
+    return _t(spark, d, "benchmark").select("item_id", X.expand_query(F.col("text"), F.lit("en")).alias("expanded"))
 
 
 @query("SELECT doc_id, greatest(length(text) // 4, 1)::BIGINT AS tokens FROM documents")
@@ -233,18 +227,6 @@ def cosine_topk(spark, d):
     return vectors.select("vec_id", F.round(X.cosine(F.col("embedding"), q), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(15)
 
 
-@query("""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1),
-s AS (SELECT doc_id, round((CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0.0 END) + coalesce(30.0 * list_cosine_similarity(embedding::DOUBLE[], v), 0.0), 6)::DOUBLE AS score FROM documents LEFT JOIN (SELECT * FROM embeddings, q) ON vec_id = doc_id)
-SELECT doc_id, score FROM s WHERE score > 0.1 ORDER BY score DESC, doc_id LIMIT 15""")
-def hybrid_topk(spark, d):
-    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    first = [float(x) for x in _t(spark, d, "embeddings").orderBy("vec_id").first()["embedding"]]
-    both = _t(spark, d, "documents").select("doc_id", F.col("text").alias("code")).join(vectors, "doc_id", "left")
-    cosine = F.coalesce(F.lit(search.SEMANTIC_WEIGHT) * X.cosine(F.col("embedding"), F.lit(first).cast("array<double>")), F.lit(0.0))
-    scored = both.select("doc_id", F.round(search.keyword_score(F.array(F.lit("the")), (("code", 1.0),)) + cosine, 6).alias("score"))
-    return scored.where(F.col("score") > search.THRESHOLD).orderBy(F.desc("score"), "doc_id").limit(15)
-
-
 @query("WITH h AS (" + _search_sql() + """), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY query_no, rank) AS n FROM h), o AS (SELECT query_no, rank, doc_id FROM f WHERE n = 1 ORDER BY query_no, rank LIMIT 15)
 SELECT query_no, rank, doc_id::VARCHAR AS id, '### ' || split_part(text, chr(10), 1) || ' (file) — ' || lang || ':1' || chr(10) || substr(text, 1, 800) || chr(10) AS snippet FROM o JOIN documents USING (doc_id)""")
 def rag_context(spark, d):
@@ -302,12 +284,13 @@ def structure_compare(spark, d):
     return stats.key_sets(rows, "conv_id", "key", "role", "user", "assistant")
 
 
-_PAGES_SQL = "p AS (SELECT DISTINCT 'guides/' || source || CASE WHEN lang = 'en' THEN '' ELSE '.' || lang END || '.mdx' AS relative_path, source, lang FROM documents WHERE lang IN ('en', 'fr', 'es') AND length(text) > 3000)"
+# Three customers in a row are a guide in three languages, each of which exists where the customer's balance is positive.
+_PAGES_SQL = "p AS (SELECT 'guides/c' || (c_custkey // 3) || ['', '.fr', '.es'][c_custkey % 3 + 1] || '.mdx' AS relative_path, 'c' || (c_custkey // 3) AS source, ['en', 'fr', 'es'][c_custkey % 3 + 1] AS lang FROM customer WHERE c_acctbal > 0)"
 
 
 def _pages(spark, d):
-    own = _t(spark, d, "documents").where("lang IN ('en', 'fr', 'es') AND length(text) > 3000").select("source", "lang").distinct()
-    path = F.concat(F.lit("guides/"), "source", F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit("."), "lang")), F.lit(".mdx"))
+    own = _t(spark, d, "customer").where("c_acctbal > 0").select(F.floor(F.col("c_custkey") / 3).cast("string").alias("g"), F.element_at(F.array(F.lit(""), F.lit(".fr"), F.lit(".es")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("end"))
+    path = F.concat(F.lit("guides/c"), "g", "end", F.lit(".mdx"))
     return own.select(path.alias("relative_path")).withColumns({"locale": X.locale(F.col("relative_path")), "slug": X.slug(F.col("relative_path"))})
 
 
@@ -342,15 +325,6 @@ def enclosing_range(spark, d):
     return met.groupBy("l_orderkey", "l_linenumber", "o_custkey", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT c_custkey, coalesce(CASE WHEN c_acctbal < 0 THEN c_name END, CASE WHEN c_mktsegment = 'BUILDING' THEN n_name END, r_name) AS resolved
-FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
-def symbol_cascade(spark, d):
-    nations = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
-    out = _t(spark, d, "customer").join(nations, "c_nationkey", "left").join(_t(spark, d, "region").select("r_regionkey", "r_name"), "r_regionkey", "left")
-    resolved = F.coalesce(F.when(F.col("c_acctbal") < 0, F.col("c_name")), F.when(F.col("c_mktsegment") == "BUILDING", F.col("n_name")), F.col("r_name"))
-    return out.select("c_custkey", resolved.alias("resolved"))
-
-
 def _edges(spark, d):
     rows = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("a"), F.col("l_partkey").cast("string").alias("b"))
     return graph.edges(rows, "dependency", "a", "b", "imports")
@@ -421,11 +395,6 @@ def knowledge_graph_edges(spark, d):
 # JSON, counts and windows.
 
 
-@query("SELECT event_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def json_fields(spark, d):
-    return _t(spark, d, "events").select("event_id", "event_type", F.from_json("props", "k long")["k"].alias("k"))
-
-
 @query("""SELECT CASE event_id % 5 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' WHEN 3 THEN 'PATCH' ELSE 'DELETE' END AS method, '/' || event_type || '/' || event_id AS path, 'op' || event_id AS operation_id, event_type AS summary,
 CASE event_id % 5 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' WHEN 3 THEN 'PATCH' ELSE 'DELETE' END || ' /' || event_type || '/' || event_id AS op_key FROM events""")
 def json_operations(spark, d):
@@ -473,17 +442,6 @@ def header_ranges(spark, d):
     return markdown.headings(rows, "raw")
 
 
-@query()
-def body_segments(spark, d):
-    return markdown.segments(markdown.with_blocks(P.pages(_markdown(spark, d))))
-
-
-@query("SELECT doc_id, 3 AS n_segments_least, md5('Doc ' || doc_id) AS title_hash FROM documents")
-def title_segments(spark, d):
-    own = body_segments(spark, d).groupBy("relative_path").agg(F.least(F.count(F.lit(1)), F.lit(3)).cast("int").alias("n_segments_least"), F.max(F.when(F.col("seg_key") == "frontmatter:title", F.col("hash"))).alias("title_hash"))
-    return own.select(F.regexp_extract("relative_path", r"(\d+)", 1).cast("long").alias("doc_id"), "n_segments_least", "title_hash")
-
-
 @query("""SELECT 'd/' || doc_id || '.mdx' AS relative_path, '---' || chr(10) || 'lang: ' || lang || chr(10) || 'title: [TODO] Doc ' || doc_id || chr(10) || '---' || chr(10) || chr(10) || '{/* TODO: translate from EN */}' || chr(10) || chr(10) || source || chr(10) || chr(10) || 'Text' || chr(10) || chr(10)
 || CASE WHEN regexp_matches(regexp_replace(text, '[^\\p{L}\\p{N} \\n]', ' ', 'g'), '[^ \\n]') THEN '<!-- TODO: translate -->' || chr(10) || chr(10) ELSE '' END AS stub FROM documents""")
 def scaffold_stub(spark, d):

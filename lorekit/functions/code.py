@@ -10,11 +10,14 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorekit.functions import text as X
 
@@ -177,7 +180,7 @@ def _tolerant_python(source: str) -> Parsed:
 
 # Languages with braces.
 
-_KEYWORDS = frozenset("if for while switch catch return function new typeof sizeof match loop else do try super this self print_if and or not in is lambda def class with elif assert raise yield await import from".split()) - {"super"}
+_KEYWORDS = frozenset("if for while switch catch return function new typeof sizeof match loop else do try this self print_if and or not in is lambda def class with elif assert raise yield await import from".split())
 _LITERAL = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])+'", re.S)
 _RUST_LITERAL = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|r(#*)\".*?\"\1|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'", re.S)
 
@@ -448,14 +451,15 @@ def parse_files(files: DataFrame) -> DataFrame:
     """Add ``parsed`` to (relative_path, language, content, ..); files that are not read or not parsed are left out."""
     rows = files.where(F.col("content").isNotNull() & F.col("language").isin(*PARSERS))
     schema = T.StructType([*rows.schema.fields, T.StructField("parsed", T._parse_datatype_string(PARSED))])
-    names = rows.columns
+    kind = to_arrow_type(schema["parsed"].dataType)
 
-    def run(batches):
-        for pdf in batches:
-            pdf["parsed"] = [asdict(parse_file(c, x)) for c, x in zip(pdf["content"], pdf["language"], strict=True)]
-            yield pdf[[*names, "parsed"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, languages = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("content", "language"))
+            found = [asdict(parse_file(c, x)) for c, x in zip(texts, languages, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "parsed"])
 
-    out = rows.mapInPandas(run, schema)
+    out = rows.mapInArrow(run, schema)
     lines = X.lines(F.col("content"))
     return out.withColumns({"total_lines": F.size(lines), "code_lines": X.code_lines(F.col("content"))})
 

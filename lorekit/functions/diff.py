@@ -5,8 +5,10 @@ from __future__ import annotations
 import bisect
 import difflib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +41,14 @@ def apply(patch: str) -> tuple[str, str]:
 def with_diff(df: DataFrame, path: str, original: str, proposed: str) -> DataFrame:
     """(path, patch, changed) of each row; null texts count as empty."""
 
-    def run(batches):
-        for pdf in batches:
-            a, b = pdf[original].fillna(""), pdf[proposed].fillna("")
-            pdf["patch"] = [unified(p, x, y) for p, x, y in zip(pdf[path], a, b, strict=True)]
-            pdf["changed"] = a != b
-            yield pdf[[path, "patch", "changed"]]
+    kind = df.schema[path].dataType.simpleString()
 
-    return df.select(path, original, proposed).mapInPandas(run, f"{path} string, patch string, changed boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(str(p), x or "", y or "") for p, x, y in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([unified(*r) for r in rows], pa.string()), pa.array([x != y for _, x, y in rows], pa.bool_())], names=[path, "patch", "changed"])
+
+    return df.select(path, original, proposed).mapInArrow(run, f"{path} {kind}, patch string, changed boolean")
 
 
 def edit(text, offset, length, replacement):

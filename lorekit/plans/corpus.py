@@ -266,13 +266,23 @@ def graph_export(project: Project) -> dict:
     return snapshot(project)["graph"]
 
 
+def page_query_rows(page_rows: DataFrame) -> DataFrame:
+    """(relative_path, query) of pages: their operation, title, and path segments of more than three bytes."""
+    meta = lambda k: F.element_at("frontmatter", k)
+    method, path = F.upper(meta("method")), meta("path")
+    parts = F.filter(F.split("relative_path", "/"), lambda s: (F.octet_length(s) > 3) & ~s.endswith(".mdx"))
+    own = F.array(method, F.concat_ws(" ", F.when(path.isNotNull(), method), F.when(method.isNotNull(), path)), F.when(method.isNotNull(), path), meta("operationId"), meta("title"))
+    said = F.filter(F.array_distinct(F.concat(own, parts)), lambda q: q.isNotNull() & (q != ""))
+    return page_rows.select("relative_path", F.explode(said).alias("query"))
+
+
 def page_queries(page: str, meta: dict[str, str]) -> list[str]:
-    """Search queries of a page: its operation, path segments of more than three bytes, title."""
+    """The same of one page, sorted, on the driver."""
     out = set()
     if meta.get("method") is not None:
-        out.add(meta["method"])
+        out.add(meta["method"].upper())
         if meta.get("path") is not None:
-            out |= {f"{meta['method']} {meta['path']}", meta["path"]}
+            out |= {f"{meta['method'].upper()} {meta['path']}", meta["path"]}
     out |= {meta[k] for k in ("operationId", "title") if meta.get(k) is not None}
     out |= {s for s in page.split("/") if len(s.encode()) > 3 and not s.endswith(".mdx")}
     return sorted(out)

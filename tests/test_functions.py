@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekit.functions import code, diff, markdown, providers
 from lorekit.functions import text as X
-from lorekit.operators import graph, search, stats
+from lorekit.operators import drift, graph, search, stats
 from lorekit.sources import pages as P
 from lorekit.streaming import incremental
 
@@ -259,8 +260,8 @@ def test_vectors_and_rerank(spark):
     assert {r["id"]: r["embedding"] for r in new.collect()}["1"] == [9.0, 9.0] and new.count() == 2
     hits = search.search(e, [(0, "b")], vectors=v, query_vectors={0: [0.0, 1.0]})
     assert [r["id"] for r in hits.orderBy("rank").collect()] == ["3", "1"]
-    assert [r["id"] for r in search.rerank(hits, "a", Letters(), 2).orderBy("rank").collect()] == ["1", "3"]
-    assert search.rerank(hits, "a", None, 1).count() == 1
+    assert [r["id"] for r in search.rerank(hits, [(0, "a")], Letters(), 2).orderBy("rank").collect()] == ["1", "3"]
+    assert search.rerank(hits, [(0, "a")], None, 1).count() == 1
     assert search.cosine_top_k(v, [1.0, 0.0], 1).first()["id"] == "1"
     assert search.filter_elements(e.withColumn("file_path", F.lit("/r/p")), "class", "p").count() == 1
 
@@ -298,3 +299,57 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(t, 1, "a", 1.0), (t + datetime.timedelta(minutes=10), 1, "a", 2.0), (t + datetime.timedelta(hours=3), 1, "b", 4.0)], "ts timestamp, user_id int, event_type string, value double")
     assert sorted(r["n"] for r in incremental.windowed_counts(events).collect()) == [1, 2]
     assert sorted(r["n"] for r in incremental.sessions(events).collect()) == [1, 2]
+
+
+def test_needles_over_several_automata(spark, monkeypatch):
+    r = random.Random(1)
+    texts = ["".join(r.choices("abcé ", k=r.randint(0, 40))) for _ in range(60)] + [None, ""]
+    needles = sorted({"".join(r.choices("abcé", k=r.randint(1, 6))) for _ in range(200)})
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    asked = spark.createDataFrame([(n,) for n in [*needles, None, needles[0]]], "needle string")
+    want = sorted(n for n in needles if any(n in t for t in texts if t is not None))
+    assert sorted(x[0] for x in drift.found_needles(df, "raw", asked).collect()) == want
+    monkeypatch.setattr(drift, "NEEDLE_BYTES", 300)
+    assert sorted(x[0] for x in drift.found_needles(df, "raw", asked).collect()) == want
+    assert [x[0] for x in drift.found_needles(df, "raw", spark.createDataFrame([("",)], "needle string")).collect()] == [""]
+    assert drift.found_needles(df, "raw", asked.limit(0)).count() == drift.found_needles(df.limit(0), "raw", asked).count() == 0
+
+
+def test_enclosing_equals_brute_force(spark):
+    r = random.Random(2)
+    ranges = [(k, a, a + r.choice([0, 1, 3, 8, 40, 900]), i) for i, (k, a) in enumerate((r.choice("xyz"), r.randint(-50, 1000)) for _ in range(400))] + [("x", 5, 3, 999)]
+    points = [(r.choice("xyzq"), r.randint(-60, 1100)) for _ in range(300)]
+    got = graph.enclosing(spark.createDataFrame(points, "k string, p int"), spark.createDataFrame(ranges, "k string, a int, b int, id int"), ["k"], "p", "a", "b", ["a", "id"], ["id"])
+    want = []
+    for k, p in points:
+        best = min(((b - a, a, i) for x, a, b, i in ranges if x == k and a <= p <= b), default=None)
+        if best:
+            want.append((k, p, best[2]))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 100
+
+
+def test_embedders_and_rerankers(monkeypatch):
+    for name in ("LOREKIT_EMBEDDING_API_KEY", "LOREKIT_LLM_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    assert providers.embedder() is None
+    monkeypatch.setenv("LOREKIT_LLM_API_KEY", "k")
+    monkeypatch.setenv("LOREKIT_LLM_BASE_URL", "http://second")
+    assert providers.embedder() == providers.HttpEmbedder("http://second", "", "LOREKIT_LLM_API_KEY")
+    monkeypatch.setenv("LOREKIT_EMBEDDING_API_KEY", "e")
+    assert providers.embedder({}).key_variable == "LOREKIT_EMBEDDING_API_KEY"
+    asked = []
+
+    def post(url, body, key, timeout=60):
+        asked.append(body.get("input"))
+        if len(body.get("input", [])) > 1 or body.get("input") == ["bad"]:
+            raise OSError
+        if "rerank" in url:
+            return {"results": [{"index": 1, "relevance_score": 2}, {"index": 0, "relevance_score": 1}]}
+        return {"data": [{"index": 0, "embedding": [1.0]}]}
+
+    monkeypatch.setattr(providers, "_post", post)
+    assert providers.embedder().embed(["a", "bad", "c"]) == [[1.0], [], [1.0]] and asked[0] == ["a", "bad", "c"]
+    assert providers.embedder().embed([]) == []
+    assert providers.HttpReranker("http://r", "m").score("q", ["a", "b", "c"]) == [1.0, 2.0, float("-inf")]
+    assert providers.OverlapReranker().score("a b", ["b a x", "a", ""]) == [1.0, 0.5, 0.0]
+    assert providers.HashEmbedder(8).embed(["x y", "y x"])[0] == providers.HashEmbedder(8).embed(["y x"])[0]

@@ -170,3 +170,29 @@ def test_cli(project, capsys):
     assert cli.main(["--root", root, "--json", "diff", "start/trial.mdx"]) == 0
     assert cli.main(["--root", root, "--json", "doctor"]) == 0
     assert cli.main(["--root", root, "--json", "suggest", "--skip-ts", "--skip-ai"]) == 0
+
+
+def test_vectors_and_reranker_in_the_plans(project, spark):
+    project.embedder, project.reranker = providers.HashEmbedder(), providers.OverlapReranker()
+    assert project.vectors.count() == project.code.elements.count()
+    text = project.search_context(["go", "helper"], 4)
+    assert 0 < text.count("### ") <= 4
+    hits = search.best_hits(project.code.elements, ["helper"], 3, project.vectors, project.embedder, project.reranker).orderBy("rank").collect()
+    assert [h["rank"] for h in hits] == [1, 2, 3] and [h["score"] for h in hits] == sorted((h["score"] for h in hits), reverse=True)
+
+
+def test_tables_in_place_of_files(project, spark, tmp_path):
+    path = tmp_path / "lock.parquet"
+    assert locks.read_lock(spark, path)[1] is False
+    assert locks.write_lock(project.segments, path) == 5
+    rows_, there = locks.read_lock(spark, path)
+    assert there and rows_.count() == project.segments.count()
+    tables = corpus.snapshot_tables(project, str(tmp_path / "scan"))
+    assert spark.read.parquet(tables["drift_issues"]).count() == 7 and spark.read.parquet(tables["pages"]).count() == 8
+    assert spark.read.parquet(tables["elements"]).count() == project.code.elements.count()
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    df = spark.createDataFrame([(f"a/{i}.mdx", f"text {i} é") for i in range(20)], "relative_path string, page string")
+    assert corpus.write_files(df, "page", str(tmp_path)) == sorted(f"a/{i}.mdx" for i in range(20))
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == sorted(f"{i}.mdx" for i in range(20)) and (tmp_path / "a/7.mdx").read_text() == "text 7 é"
