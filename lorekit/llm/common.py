@@ -44,6 +44,17 @@ def bucket(n: int, *parts: Column) -> Column:
     return F.floor(uniform(*parts) * F.lit(float(n))).cast("int")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of the frame has, made from the given ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A temporary one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -16,10 +16,13 @@ MAX_SYMBOL_SHARE = 5  # ... more than this many of its words in a hundred end in
 MAX_SEPARATOR_SHARE = 20  # ... more than this many of its words are bare separators, as in menus,
 MAX_CAPITAL_SHARE = 60  # ... more than this many of its letters are capitals, in a line of MIN_JUDGED words,
 MAX_SHOUT_SHARE = 30  # ... more than this many of its words end in ! or ?, in a line of MIN_JUDGED words,
-MIN_DISTINCT_SHARE = 20  # ... fewer than this many of its words are distinct, in a line of MIN_JUDGED words,
-MIN_JUDGED = 8
-#: ... or it holds one of these phrases.
-BOILERPLATE = r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|click here to|subscribe to our newsletter|skip to (?:main )?content"
+MIN_DISTINCT_SHARE = 20  # ... fewer than this many of its words, or of MAX_JUDGED if it has more, are distinct, in a line of MIN_JUDGED words,
+MIN_JUDGED, MAX_JUDGED = 8, 500
+MIN_MARKED = 30  # ... it has this many words and no mark of punctuation among them,
+MARKS = r"[.,;:!?…。，、；：！？]"
+#: ... or it has at most MAX_PHRASE words and one of these phrases, in one of four languages. Letters that case folding treats differently are written out.
+MAX_PHRASE = 40
+BOILERPLATE = r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|click here to|subscribe to our newsletter|skip to (?:main )?content|tous droits r[eéÉ]serv[eéÉ]s|mentions l[eéÉ]gales|accepter (?:tous )?les cookies|alle rechte vorbehalten|datenschutzerkl[aäÄ]rung|cookies akzeptieren|todos los derechos reservados|pol[iíÍ]tica de privacidad|aceptar (?:todas )?las cookies"
 #: A text is rejected when more than this many of its words in a hundred stand in failing lines.
 MAX_LOST_SHARE = 40
 
@@ -35,8 +38,9 @@ def line_fails(line: Column) -> Column:
             (parts["symbols"] * 100 > n * MAX_SYMBOL_SHARE)
             | (parts["separators"] * 100 > n * MAX_SEPARATOR_SHARE)
             | ((n >= MIN_JUDGED) & ((parts["capitals"] * 100 > parts["letters"] * MAX_CAPITAL_SHARE) | (parts["shouts"] * 100 > n * MAX_SHOUT_SHARE)))
-            | ((n >= MIN_JUDGED) & (F.size(F.array_distinct(F.split(F.trim(line), common.SPACE))) * 100 < n * MIN_DISTINCT_SHARE))
-            | line.rlike(BOILERPLATE)
+            | ((n >= MIN_JUDGED) & (F.size(F.array_distinct(F.split(F.trim(line), common.SPACE))) * 100 < F.least(n, F.lit(MAX_JUDGED)) * MIN_DISTINCT_SHARE))
+            | ((n >= MIN_MARKED) & ~line.rlike(MARKS))
+            | ((n <= MAX_PHRASE) & line.rlike(BOILERPLATE))
         )
 
     parts = F.struct(
@@ -110,7 +114,8 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
 
     Every row is judged alone, so ties, repeated rows and other columns do not matter; columns of these names are replaced.
     """
-    return df.withColumn("_v", verdict(F.col(text))).withColumns({c: F.col(f"_v.{c}") for c in FIELDS}).drop("_v")
+    (v,) = common.fresh(df, "_v")
+    return df.withColumn(v, verdict(F.col(text))).withColumns({c: F.col(f"{v}.{c}") for c in FIELDS}).drop(v)
 
 
 def keep(df: DataFrame, text: str = "text") -> DataFrame:
@@ -118,8 +123,9 @@ def keep(df: DataFrame, text: str = "text") -> DataFrame:
 
     The verdict is generated where it is positive: a filter on it would be pushed down and have it computed twice.
     """
-    kept = df.withColumn("_v", F.explode(F.filter(F.array(verdict(F.col(text))), lambda v: v["kept"])))
-    return kept.withColumn(text, F.col("_v.cleaned")).drop("_v")
+    (v,) = common.fresh(df, "_v")
+    kept = df.withColumn(v, F.explode(F.filter(F.array(verdict(F.col(text))), lambda x: x["kept"])))
+    return kept.withColumn(text, F.col(f"{v}.cleaned")).drop(v)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +144,9 @@ v AS (SELECT doc_id, n, line, n > 0 AND (
  OR len(list_filter(lw, lambda a: regexp_full_match(a, '[|»›•·>/-]'))) * 100 > n * 20
  OR (n >= 8 AND len(regexp_extract_all(line, '\p{Lu}')) * 100 > len(regexp_extract_all(line, '\p{L}')) * 60)
  OR (n >= 8 AND len(list_filter(lw, lambda a: regexp_matches(a, '[!?]$'))) * 100 > n * 30)
- OR (n >= 8 AND len(list_distinct(lw)) * 100 < n * 20)
- OR regexp_matches(line, '(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|click here to|subscribe to our newsletter|skip to (?:main )?content')) AS fails FROM m),
+ OR (n >= 8 AND len(list_distinct(lw)) * 100 < least(n, 500) * 20)
+ OR (n >= 30 AND NOT regexp_matches(line, '[.,;:!?…。，、；：！？]'))
+ OR (n <= 40 AND regexp_matches(line, '(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|click here to|subscribe to our newsletter|skip to (?:main )?content|tous droits r[eéÉ]serv[eéÉ]s|mentions l[eéÉ]gales|accepter (?:tous )?les cookies|alle rechte vorbehalten|datenschutzerkl[aäÄ]rung|cookies akzeptieren|todos los derechos reservados|pol[iíÍ]tica de privacidad|aceptar (?:todas )?las cookies'))) AS fails FROM m),
 g AS (SELECT doc_id, coalesce(sum(n) FILTER (fails), 0)::BIGINT AS n_lost, (count(line) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0))::BIGINT AS n_dup_lines FROM v GROUP BY doc_id),
 p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM l),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i+1], w[i+2], w[i+3], w[i+4]) AS c FROM p),

@@ -37,16 +37,17 @@ def with_slots(df: DataFrame, shard: str = "shard", key: str = "doc_id", slot: s
     the rows of a frequent key; the pieces' offsets are a running sum over at most shards x pieces rows. They are joined
     on what the rows are dealt by already; Spark broadcasts them where they are below its threshold.
     """
-    df = df.withColumn("_piece", common.bucket(pieces, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *apart)]))
-    counts = df.groupBy(shard, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(shard).alias("_s"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(shard, "_piece").orderBy(F.col(key).asc_nulls_last(), *apart))
-    ranked = df.withColumn("_rank", rank)
+    piece_, rank_, s_, p_, before_ = common.fresh(df, "_piece", "_rank", "_s", "_p", "_before")
+    df = df.withColumn(piece_, common.bucket(pieces, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *apart)]))
+    counts = df.groupBy(shard, piece_).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(shard).orderBy(piece_).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(shard).alias(s_), F.col(piece_).alias(p_), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(before_))
+    rank = F.row_number().over(Window.partitionBy(shard, piece_).orderBy(F.col(key).asc_nulls_last(), *apart))
+    ranked = df.withColumn(rank_, rank)
     return (
-        ranked.join(offsets, (F.col(shard) == F.col("_s")) & (F.col("_piece") == F.col("_p")))
-        .withColumn(slot, (F.col("_before") + F.col("_rank") - 1).cast("long"))
-        .drop("_s", "_p", "_before", "_rank", "_piece")
+        ranked.join(offsets, (F.col(shard) == F.col(s_)) & (F.col(piece_) == F.col(p_)))
+        .withColumn(slot, (F.col(before_) + F.col(rank_) - 1).cast("long"))
+        .drop(s_, p_, before_, rank_, piece_)
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -148,3 +149,32 @@ def test_lines_that_fail(spark):
         row = quality.judge(spark.createDataFrame([(f"{clean}\n{line}\n{clean[:-1]}!",)], "text string")).first()
         assert row.cleaned == f"{clean}\n{clean[:-1]}!" and row.n_lost == len(line.split()), line
     assert quality.judge(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_columns_of_the_input_stay(spark):
+    clean = "This is a plain sentence with enough words to stand here, and it ends well."
+    df = spark.createDataFrame([(1, clean, "s", 7, 8, 9, 10, 11, 12)], "doc_id long, text string, source string, _v int, _class int, _piece int, _rank int, _copy int, _source int")
+    extra = ["_v", "_class", "_piece", "_rank", "_copy", "_source"]
+    for out in (quality.judge(df), quality.keep(df), mixing.copies(df, "doc_id", common.word_count(F.col("text"))), mixing.mix(df, "doc_id", common.word_count(F.col("text"))), sharding.with_slots(sharding.assign(df, "doc_id", [(0, 1.0)]))):
+        assert [out.first()[c] for c in extra] == [7, 8, 9, 10, 11, 12]
+
+
+def test_long_clean_line_and_lines_without_marks(spark):
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(4000)]
+    long = " ".join(r.choice(words) + ("," if i % 9 == 0 else "") for i in range(60_000)) + "."
+    bare = " ".join(r.sample(words, 40))
+    spam = "buy now, cheap pills " * 200
+    policy = "our privacy policy"
+    paragraph = " ".join(r.choice(words) for _ in range(60)) + ", " + policy + "."
+    got = {x.text: x for x in quality.judge(spark.createDataFrame([(t,) for t in (long, bare, spam, policy, paragraph, "Politique et mentions LÉGALES ici")], "text string")).collect()}
+    assert got[long].n_lost == 0 and got[bare].n_lost == 40 and got[spam].n_lost == 800
+    assert got[policy].n_lost == 3 and got[paragraph].n_lost == 0 and got["Politique et mentions LÉGALES ici"].n_lost == 5
+
+
+def test_taken_words_are_near_the_targets(spark):
+    out = mixing.op2_mixing(spark, "/root/testdata/sf0.01")
+    by = out.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.max("size").alias("most")).collect()
+    # A document is taken whole, so one that makes up most of its source leaves a gap of a part of itself.
+    assert all(abs(x.n - x.t) <= max(0.01 * x.t, 0.3 * x.most) for x in by)
+    assert sum(abs(x.n - x.t) <= 0.01 * x.t for x in by) > 0.8 * len(by)
