@@ -66,11 +66,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables that this session has written and not deleted: frame, path, name in the catalog.
+_MADE: dict[int, tuple[DataFrame, str, str | None]] = {}
+
+
 def materialise(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors.
 
     The write's own shuffle files go as soon as it is done; nothing reads them again. With ``bucket`` the table is
-    bucketed by that column, so that joins on it move only their other side.
+    bucketed by that column, so that joins on it move only their other side. ``discard`` deletes the table again, and
+    ``made``, ``keep_only`` and ``clear`` all that an operator or the session has written.
     """
     spark = df.sparkSession
     unique = f"{name}-{uuid.uuid4().hex}"
@@ -78,25 +83,47 @@ def materialise(df: DataFrame, name: str, bucket: str | None = None) -> DataFram
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
+    table_name = unique.replace("-", "_") if bucket is not None else None
     try:
+        out = df.write.option("compression", "zstd")
         if bucket is None:
-            df.write.option("compression", "zstd").parquet(path)
-            return spark.read.schema(df.schema).parquet(path)
-        table_name = unique.replace("-", "_")
-        df.write.option("compression", "zstd").bucketBy(partitions(spark), bucket).option("path", path).saveAsTable(table_name, format="parquet")
-        return spark.table(table_name)
+            out.parquet(path)
+            read = spark.read.schema(df.schema).parquet(path)
+        else:
+            out.bucketBy(partitions(spark), bucket).option("path", path).saveAsTable(table_name, format="parquet")
+            read = spark.table(table_name)
     finally:
         spark.conf.set(cleanup, before)
+    _MADE[id(read)] = (read, path, table_name)
+    return read
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that no later plan reads."""
+    """Delete materialised tables that no later plan reads; other frames are left alone."""
     for df in tables:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            spark.sql(f"DROP TABLE IF EXISTS `{path.getName().replace('-', '_')}`")
+        _, path, table_name = _MADE.pop(id(df), (None, None, None))
+        if path is not None:
+            spark = df.sparkSession
+            if table_name:
+                spark.sql(f"DROP TABLE IF EXISTS `{table_name}`")
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def made() -> set[int]:
+    """The tables that there are, for ``keep_only``."""
+    return set(_MADE)
+
+
+def keep_only(since: set[int], *tables: DataFrame) -> None:
+    """Delete what was written after ``since`` was taken, except these tables."""
+    kept = since | {id(t) for t in tables}
+    discard(*[df for i, (df, _, _) in list(_MADE.items()) if i not in kept])
+
+
+def clear() -> None:
+    """Delete every table that this session has written, once no result of an operator is read any more."""
+    keep_only(set())
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

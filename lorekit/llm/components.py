@@ -19,18 +19,24 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = common.materialise(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p")).select(F.col("a").alias("v"), "p"), "hooks")
-        up = hook.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
+        first = common.materialise(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p")).select(F.col("a").alias("v"), "p"), "hooks")
+        hook = first
+        up = first.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
         for _ in range(2):  # a vertex that is its own hook stays
             hook = hook.join(up, F.col("p") == F.col("_v")).select("v", F.col("_p").alias("p"))
         hook = common.materialise(hook, "parents")
+        common.discard(first)
         if labels is None:
-            labels = hook.select("v", F.col("p").alias("comp"))
+            moved = hook.select("v", F.col("p").alias("comp"))
         else:
-            moved = labels.join(hook.select(F.col("v").alias("comp"), "p"), "comp", "left")
-            labels = common.materialise(moved.select("v", F.coalesce("p", "comp").alias("comp")), "labels")
+            moved = labels.join(hook.select(F.col("v").alias("comp"), "p"), "comp", "left").select("v", F.coalesce("p", "comp").alias("comp"))
+        old, labels = labels, common.materialise(moved, "labels")
         pa = hook.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         pb = hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         met = left.join(pa, "a").join(pb, "b").where(F.col("pa") != F.col("pb"))
-        left = common.materialise(met.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-    return labels if labels is not None else left.select(F.col("a").alias("v"), F.col("b").alias("comp"))
+        before, left = left, common.materialise(met.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        common.discard(hook, before, *([old] if old is not None else []))
+    if labels is None:
+        return left.select(F.col("a").alias("v"), F.col("b").alias("comp"))
+    common.discard(left)
+    return labels

@@ -15,8 +15,9 @@ groups are opened and only members of opened groups are compared.
 4. Opened groups are compared in blocks, again with the union first: a member of one is compared to a block of the
    other only if enough of its shingles are in the block's union.
 
-Links inside a group need no further search: its members are connected already. So the components are exact, and the
-pairs within a group of copies are never listed. Shingles are compared by 64-bit hashes.
+Links inside a group need no further search for the components, which are exact: its members are connected already.
+The number of links of each document is counted afterwards, within components and in blocks; pairs are never listed.
+Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .wordhash import mix, runs, word_hashes
 
 #: Minima by which classes are grouped, and classes or members in a cell.
 KEYS, CELL = 3, 256
+#: Classes in a block of a component whose links are counted.
+BLOCK = 1024
 #: One text in SAMPLE is looked at for frequent shingles; those seen FREQUENT times or more, at most MAX_FREQUENT, come last in the order.
 SAMPLE, FREQUENT, MAX_FREQUENT = 32, 4, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -150,14 +153,17 @@ def _sets_frame(df: DataFrame, k: int, percent: int) -> DataFrame:
     return df.mapInArrow(run, f"_key {kind}, _row long, _n long, _class long, _keys array<long>, _prefix array<long>")
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, count_links: bool = False) -> DataFrame:
     """(key, n_shingles, class_id, component_id), one row for each row of the input; class_id is the smallest key of the rows with an equal set.
 
+    With ``count_links`` also ``n_links``, the number of other rows that a row links with: see ``_counted`` for its cost.
+
     Two rows link when 100 * intersection >= percent * union of their shingle sets. component_id is the smallest key
     that is reachable by links, the row's own included; null keys do not count, and it is null where no row has a key.
     Rows without words (null, empty, white space) link with nothing and get their own key. Repeated rows and equal keys
     with other texts are rows of their own. Other columns are not read.
     """
+    since = common.made()
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(key, text).alias("_row"))
     found = common.materialise(_sets_frame(rows, k, percent), "jaccard-found")
     # A class is named by one of its rows; only that row's text is carried on.
@@ -173,7 +179,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
     groups = components(first)
     opened = common.materialise(_opened(named, groups, percent), "jaccard-opened")
     more = common.materialise(_across(classes, groups, opened, k, percent), "jaccard-across")
-    common.discard(classes, opened, first)
+    common.discard(opened, first)
     label = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
     renamed = more
     for c in ("a", "b"):
@@ -183,16 +189,67 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
     whole = groups.join(across.select(F.col("v").alias("comp"), F.col("comp").alias("_up")), "comp", "left").select("v", F.coalesce("_up", "comp").alias("comp"))
     alone = across.select("v", "comp").join(groups.select("v"), "v", "left_anti")  # classes that are in no group of several
     labels = whole.unionByName(alone)
-    least = worded.groupBy("_class").agg(F.min("_key").alias("_min"))
+    least = worded.groupBy("_class").agg(F.min("_key").alias("_min"), F.count(F.lit(1)).alias("_rows"))
     of_class = named.select("_class", "id").join(labels.select(F.col("v").alias("id"), "comp"), "id", "left").join(least, "_class")
-    of_class = common.materialise(of_class.select("_class", "_min", F.coalesce("comp", "id").alias("_comp")), "jaccard-members")
+    of_class = common.materialise(of_class.select("_class", "id", "_min", "_rows", F.coalesce("comp", "id").alias("_comp")), "jaccard-members")
     # Written, so that the join that follows reads two plain tables and a large component can be split.
     ends = common.materialise(of_class.groupBy("_comp").agg(F.min("_min").alias("component_id")), "jaccard-ends")
-    final = of_class.join(ends, "_comp").select("_class", F.col("_min").alias("class_id"), "component_id")
-    out = worded.select("_key", "_n", "_class").join(final, "_class", "left")
-    empty = marked.where(F.col("_n") == 0).select("_key", "_n", "_class")
-    out = out.unionByName(empty.withColumns({"class_id": F.col("_key"), "component_id": F.col("_key")}))
-    return out.select(F.col("_key").alias(key), F.col("_n").alias("n_shingles"), "class_id", "component_id")
+    final = of_class.join(ends, "_comp").select("_class", "id", "_rows", F.col("_min").alias("class_id"), "component_id")
+    used, columns = [marked, of_class, ends], ["class_id", "component_id"]
+    if count_links:
+        used.append(common.materialise(_counted(of_class, classes, k, percent), "jaccard-counts"))
+        columns.append("n_links")
+        final = final.join(used[-1], "id", "left").withColumn("n_links", F.col("_rows") - 1 + F.coalesce("links", F.lit(0)))
+    common.keep_only(since, *used)
+    out = worded.select("_key", "_n", "_class").join(final.select("_class", *columns), "_class", "left")
+    empty = marked.where(F.col("_n") == 0).select("_key", "_n", "_class").withColumns({"class_id": F.col("_key"), "component_id": F.col("_key"), "n_links": F.lit(0).cast("long")})
+    out = out.unionByName(empty.select("_key", "_n", "_class", *columns))
+    return out.select(F.col("_key").alias(key), F.col("_n").alias("n_shingles"), *columns)
+
+
+def _counted(of_class: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, links) of classes in components of several: how many rows of other classes each links with.
+
+    Similarity does not carry over from link to link, so each two classes of a component have to be compared: m classes
+    are m(m-1)/2 comparisons. They are made in pairs of blocks of BLOCK classes and only counts leave a block, so pairs
+    are never listed; a text is sent to m/BLOCK tasks. Classes of different components do not link.
+    """
+    sizes = common.materialise(of_class.groupBy("_comp").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-sizes")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    own = of_class.join(sizes, "_comp").select("_comp", "id", "_rows", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("own"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = other.select("id", "_rows", F.xxhash64("_comp", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), (F.col("own") == F.least("own", "other")).alias("first"), (F.col("own") == F.col("other")).alias("alone"))
+    full = placed.join(classes.select("id", "text"), "id")
+
+    def count(t: pa.Table) -> pa.Table:
+        ids, rows = t["id"].to_numpy(), t["_rows"].to_numpy()
+        first, alone = np.asarray(t["first"].to_pylist(), bool), bool(t["alone"][0].as_py())
+        links = linked_rows(shingle_sets(t["text"].to_pylist(), k), rows, np.ones(len(ids), bool) if alone else first, alone, percent)
+        return pa.table({"id": pa.array(ids), "links": pa.array(links)})
+
+    return full.groupBy("pair").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def linked_rows(sets: list[np.ndarray], rows: np.ndarray, first: np.ndarray, alone: bool, percent: int) -> np.ndarray:
+    """For each set how many rows stand behind the similar sets of the other side; of all others where a block meets itself (``alone``)."""
+    n = np.array([len(s) for s in sets], np.int64)
+    union, place = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    side = np.flatnonzero(~first) if not alone else np.arange(len(sets))
+    flat = np.concatenate([place[ends[j] - n[j] : ends[j]] for j in side] or [np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(len(side)), n[side])
+    out, has = np.zeros(len(sets), np.int64), np.zeros(len(union), bool)
+    for i in np.flatnonzero(first):
+        mine = place[ends[i] - n[i] : ends[i]]
+        has[mine] = True
+        shared = np.bincount(owner[has[flat]], minlength=len(side))
+        has[mine] = False
+        hit = side[100 * shared >= percent * (n[side] + n[i] - shared)]
+        hit = hit[hit != i]
+        out[i] += rows[hit].sum()
+        if not alone:
+            out[hit] += rows[i]
+    return out
 
 
 def _grouped(named: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -261,8 +318,8 @@ def _across(classes: DataFrame, groups: DataFrame, opened: DataFrame, k: int, pe
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents at 85 of 100 on shingles of four words."""
-    return join(common.table(spark, sf_dir, "documents"))
+    """Components of all documents at 85 of 100 on shingles of four words, and each document's number of links."""
+    return join(common.table(spark, sf_dir, "documents"), count_links=True)
 
 
 OP3_SQL = r"""
@@ -273,6 +330,7 @@ x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 e AS (SELECT a, b FROM x JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 85 * (na.n + nb.n - c)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 k AS (SELECT doc_id, md5(string_agg(sh, ' | ' ORDER BY sh)) AS k FROM s GROUP BY doc_id), m AS (SELECT k, min(doc_id) AS class_id FROM k GROUP BY k),
-r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(class_id, doc_id) AS class_id, min(b) AS component_id FROM d JOIN r ON doc_id = a LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN m USING (k) GROUP BY ALL
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+l AS (SELECT a, count(*) AS n_links FROM u GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(class_id, doc_id) AS class_id, min(b) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM d JOIN r ON doc_id = r.a LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN m USING (k) LEFT JOIN l ON l.a = doc_id GROUP BY ALL
 """

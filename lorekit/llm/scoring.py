@@ -223,6 +223,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
 
     dealt = met.withColumn("_bucket", F.pmod(F.xxhash64(tail), F.lit(buckets)))
     known = common.materialise(dealt.groupBy("_bucket").applyInArrow(cost, "code long, value double"), "lm-costs")
+    common.discard(met)
     answers = asked.where("NOT word").select("_chunk", "code").join(known, "code").select("_chunk", F.lit(False).alias("word"), "code", "value")
     told = words.select("_chunk", F.lit(True).alias("word"), "code", "value").unionByName(answers)
     step = float(np.log10(total_tokens + distinct + 1))

@@ -21,7 +21,7 @@ def plain(rows, k=4, percent=85):
             i = parent[i]
         return i
 
-    post = {}
+    post, links = {}, [0] * len(rows)
     for i, s in enumerate(sets):
         for x in s:
             post.setdefault(x, []).append(i)
@@ -30,16 +30,18 @@ def plain(rows, k=4, percent=85):
             n = len(s & sets[j])
             if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     low = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             low[root(i)] = min(d, low.get(root(i), d))
-    return sorted((repr(d), len(s), repr(low.get(root(i)))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+    return sorted((repr(d), len(s), repr(low.get(root(i))), links[i]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
 def run(spark, rows, **kw):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
-    return sorted((repr(x.doc_id), x.n_shingles, repr(x.component_id)) for x in jaccard.join(df, **kw).collect())
+    return sorted((repr(x.doc_id), x.n_shingles, repr(x.component_id), x.n_links) for x in jaccard.join(df, count_links=True, **kw).collect())
 
 
 def corpus(seed, n, words=300):
@@ -60,6 +62,7 @@ def corpus(seed, n, words=300):
 @pytest.mark.parametrize("cell", [256, 8])
 def test_equals_brute_force(spark, monkeypatch, cell):
     monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "BLOCK", 4 * cell)
     rows = corpus(1, 600)
     assert run(spark, rows) == plain(rows)
 
@@ -82,7 +85,7 @@ def test_groups_that_minima_miss(spark, monkeypatch):
 def test_documents(spark):
     path = "/root/testdata/sf0.01"
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{path}/documents.parquet").collect()]
-    got = sorted((repr(x.doc_id), x.n_shingles, repr(x.component_id)) for x in jaccard.op3_jaccard(spark, path).collect())
+    got = sorted((repr(x.doc_id), x.n_shingles, repr(x.component_id), x.n_links) for x in jaccard.op3_jaccard(spark, path).collect())
     assert got == plain(rows)
 
 

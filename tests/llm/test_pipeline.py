@@ -22,7 +22,7 @@ def test_stages_on_documents(spark):
     assert {x.doc_id: x.text for x in b.collect()} == want and len(want) > 100
     a, b = seen["n-gram Jaccard join"]
     rows = [(x.doc_id, x.text) for x in a.collect()]
-    assert sorted(x.doc_id for x in b.collect()) == sorted({int(c) for _, _, c in near(rows, 5, 80)})
+    assert sorted(x.doc_id for x in b.collect()) == sorted({int(c) for _, _, c, _ in near(rows, 5, 80)})
     a, b = seen["secret scans"]
     assert a.count() == b.count() and not any(base_spans(x.text) for x in b.collect())
     a, b = seen["mixing sources"]

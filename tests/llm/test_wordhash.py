@@ -29,3 +29,24 @@ def test_runs_tell_order():
         want = [tuple(b"abcdefghabc"[i : i + n]) for i in range(11 - n + 1)]
         assert len(set(zip(want, got.tolist(), strict=True))) == len(set(want)) == len(set(got.tolist()))
     assert wordhash.runs(h, 12).size == 0
+
+
+def test_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from lorekit.llm import common, jaccard
+
+    since = common.made()
+    folder = f"{common.shared_dir(spark)}/lorekit"
+    there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    df = spark.createDataFrame([(i, f"a b c d e f g h i {i % 3}") for i in range(30)], "doc_id long, text string")
+    assert jaccard.join(df).count() == 30
+    left = set(os.listdir(folder)) - there
+    assert len(left) == 3, left
+    plain, bucketed = common.materialise(df, "x"), common.materialise(df.limit(0), "y", bucket="doc_id")
+    assert bucketed.count() == 0
+    common.discard(bucketed, df)
+    common.keep_only(since, plain)
+    assert plain.count() == 30 and len(set(os.listdir(folder)) - there) == 1
+    common.discard(plain)
+    assert set(os.listdir(folder)) == there and not spark.sql("SHOW TABLES").where("tableName LIKE 'y%' OR tableName LIKE 'jaccard%'").count()
