@@ -76,7 +76,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each is written and read again, so that a lost executor repeats one stage at most."""
     docs = common.table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.materialise(docs, name.replace(" ", "-"))
+        since = common.made()
+        after = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return after
+        after = common.materialise(after, name.replace(" ", "-"))
+        common.keep_only(since, after)  # what the stage wrote on its way
+        common.discard(docs)
+        docs = after
     return docs
