@@ -223,7 +223,7 @@ def report_steps(spark, d):
     return spark.createDataFrame([(r["step"], i + 1) for i, r in enumerate(steps)], "step string, place int")
 
 
-@query(f"WITH {_REPORT}, f AS (SELECT * FROM r ORDER BY part, file NULLS FIRST, message LIMIT 30) SELECT 'drift' AS source, CASE category WHEN 'missing_endpoint' THEN 1 WHEN 'orphan_doc' THEN 2 WHEN 'guide_dead_link' THEN 2 WHEN 'sdk_unmentioned' THEN 3 ELSE 4 END AS priority, CASE category WHEN 'missing_endpoint' THEN 'lorekit scaffold' END AS command, category AS title, message AS detail FROM f UNION ALL SELECT 'i18n', 2, 'lorekit sync-i18n --scaffold-missing', 'locale_gap', (SELECT count(*) FROM a WHERE locale = 'en' AND n % 2 <> 0) || ' EN pages missing .fr.mdx siblings'")
+@query(f"WITH {_REPORT}, f AS (SELECT * FROM r ORDER BY part, file NULLS FIRST, message LIMIT 30) SELECT 'drift' AS source, CASE category WHEN 'missing_endpoint' THEN 1 WHEN 'orphan_doc' THEN 2 WHEN 'guide_dead_link' THEN 2 WHEN 'sdk_unmentioned' THEN 3 ELSE 4 END AS priority, CASE category WHEN 'missing_endpoint' THEN 'lorekit scaffold' END AS command, category AS title, message AS detail FROM f UNION ALL SELECT 'i18n', 2, 'lorekit sync-i18n --scaffold-missing', 'locale_gap', 'pages without a sibling in a target locale: ' || (SELECT count(*) FROM a WHERE locale = 'en' AND n % 2 <> 0)")
 def suggested_actions(spark, d):
     """Actions of the first thirty issues, and the sum of the gaps."""
     found = _report(spark, d)

@@ -13,6 +13,7 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,50 +135,37 @@ def _markdown(text: str) -> Iterator[tuple[str, str]]:
     yield from paragraph()
 
 
+def _opens(line: str) -> bool:
+    """Whether a line opens a JSX run: it begins with ``<`` and is no comment and no bare address."""
+    return line.startswith("<") and not line.startswith(("<!--", "<http"))
+
+
+def _text_blocks(lines: list[str]) -> Iterator[tuple[str, str]]:
+    """Blocks of a run of CommonMark lines; texts in a row are one block of prose."""
+    said: list[str] = []
+    for kind, content in chain(_markdown("\n".join(lines) + "\n"), [(None, "")]):
+        if kind == PROSE:
+            said.append(content)
+            continue
+        if text := "".join(said).strip():
+            yield PROSE, text
+        said.clear()
+        if kind == CODE:
+            yield CODE, content
+        elif kind is not None and content.strip():
+            yield kind, content.strip()
+
+
 def split_blocks(body: str) -> list[Block]:
     """Blocks of a body with their running index."""
-    out: list[Block] = []
-    prose: list[str] = []
-    jsx: list[str] | None = None
-
-    def add(kind: str, content: str) -> None:
-        out.append(Block(len(out), kind, content))
-
-    def flush() -> None:
-        if not prose:
-            return
-        run = ""
-        for kind, content in _markdown("\n".join(prose) + "\n"):
-            if kind == PROSE:
-                run += content
-                continue
-            if run.strip():
-                add(PROSE, run.strip())
-            run = ""
-            if kind == CODE or content.strip():
-                add(kind, content if kind == CODE else content.strip())
-        if run.strip():
-            add(PROSE, run.strip())
-        prose.clear()
-
-    for line in line_list(body):
-        t = line.strip()
-        if t.startswith("<") and not t.startswith(("<!--", "<http")):
-            flush()
-            jsx = [*(jsx or []), line]
-        elif jsx is not None:
-            if t:
-                jsx.append(line)
-            else:
-                add(JSX, "\n".join(jsx).rstrip())
-                jsx = None
-        else:
-            prose.append(line)
-    if jsx:
-        add(JSX, "\n".join(jsx).rstrip())
-    else:
-        flush()
-    return out
+    lines = line_list(body)
+    # A line is in a JSX run if it is not blank and opens one, or follows a line that is in one.
+    inside = list(accumulate(lines, lambda before, x: bool(x.strip()) and (before or _opens(x.strip())), initial=False))[1:]
+    found: list[tuple[str, str]] = []
+    for jsx, run in groupby(zip(inside, lines, strict=True), key=lambda x: x[0]):
+        own = [line for _, line in run]
+        found += [(JSX, "\n".join(own).rstrip())] if jsx else _text_blocks(own)
+    return [Block(i, kind, content) for i, (kind, content) in enumerate(found)]
 
 
 def with_blocks(df: DataFrame, body: str = "body", out: str = "blocks") -> DataFrame:

@@ -18,6 +18,9 @@ from lorekit.sources.pages import documented_operations, english
 CATEGORIES = ("missing_endpoint", "orphan_doc", "locale_gap", "locale_stale", "locale_structure", "locale_orphan", "sdk_unmentioned", "guide_dead_link")
 
 
+# The messages of issues and the advice on them below, which reports are compared by.
+
+
 def issues(df: DataFrame, category: str, message: Column, file: Column | None = None) -> DataFrame:
     return df.select(F.lit(category).alias("category"), message.alias("message"), (F.lit(None).cast("string") if file is None else file).alias("file"))
 

@@ -11,6 +11,9 @@ from lorekit.operators.drift import issues
 from lorekit.sources.pages import english
 
 
+# The messages of issues below, which reports are compared by.
+
+
 def pairs(sources: DataFrame, page_rows: DataFrame, targets: list[str]) -> DataFrame:
     """Each source page with each target locale: (relative_path, target, target_path, present)."""
     wanted = sources.select("relative_path", F.explode(F.lit(list(targets)).cast("array<string>")).alias("target")).withColumn("target_path", X.sibling(F.col("relative_path"), F.col("target")))

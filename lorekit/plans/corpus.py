@@ -298,18 +298,29 @@ def issue_queries(issues: DataFrame, limit: int = 40) -> DataFrame:
     return each.distinct().orderBy("query")
 
 
-def actions(issues: DataFrame, locale_issues: DataFrame, tool: str = "lorekit", limit: int = 30) -> DataFrame:
-    """(source, priority, command, title, detail): one for each of the first issues, and two sums of locale issues."""
+# Priority of an issue's action by category, 4 for all others; an external check's issue that names its generator comes first.
+PRIORITIES = {"missing_endpoint": 1, "orphan_doc": 2, "guide_dead_link": 2, "sdk_unmentioned": 3, "ts_drift": 2}
+GENERATOR = "pnpm run generate"
+
+
+def actions(issues: DataFrame, locale_issues: DataFrame, tool: str = "lorekit", limit: int = 30, scripts: dict[str, str] | None = None) -> DataFrame:
+    """(source, priority, command, title, detail): one for each of the first issues, and two sums of locale issues.
+
+    ``scripts`` are the project's own commands: ``generate``, which an external check may ask for, and ``check``, that check.
+    """
+    scripts = scripts or {}
     c, m = F.col("category"), F.col("message")
-    own = issues.orderBy("seq").limit(limit)
-    priority = F.when(c == "missing_endpoint", 1).when(c.isin("orphan_doc", "guide_dead_link"), 2).when(c == "sdk_unmentioned", 3).when((c == "ts_drift") & F.contains(m, F.lit("pnpm run generate")), 1).when(c == "ts_drift", 2).otherwise(4)
-    command = F.when(c == "missing_endpoint", f"{tool} scaffold").when((c == "ts_drift") & F.contains(m, F.lit("pnpm run generate")), "cd apps/mcp && pnpm run generate").when(c == "ts_drift", "cd apps/docs && pnpm docs:drift")
-    first = own.select(F.lit("drift").alias("source"), priority.alias("priority"), command.alias("command"), c.alias("title"), m.alias("detail"))
+    asks = (c == "ts_drift") & F.contains(m, F.lit(GENERATOR))
+    by_category = F.element_at(F.create_map(*[F.lit(x) for p in PRIORITIES.items() for x in p]), c)
+    priority = F.when(asks, 1).otherwise(F.coalesce(by_category, F.lit(4)))
+    command = F.when(c == "missing_endpoint", f"{tool} scaffold").when(asks, F.lit(scripts.get("generate"))).when(c == "ts_drift", F.lit(scripts.get("check")))
+    first = issues.orderBy("seq").limit(limit).select(F.lit("drift").alias("source"), priority.alias("priority"), command.alias("command"), c.alias("title"), m.alias("detail"))
     sums = locale_issues.agg(F.count_if(c == "locale_gap").alias("gap"), F.count_if(c == "locale_structure").alias("structure"))
-    said = F.array(
-        F.struct(F.lit(2).alias("priority"), F.lit(f"{tool} sync-i18n --scaffold-missing").alias("command"), F.lit("locale_gap").alias("title"), F.format_string("%d EN pages missing .fr.mdx siblings", "gap").alias("detail"), F.col("gap").alias("n")),
-        F.struct(F.lit(3).alias("priority"), F.lit(f"{tool} translate-i18n --dry-run").alias("command"), F.lit("locale_structure").alias("title"), F.format_string("%d EN/FR pages have heading or link structure mismatches", "structure").alias("detail"), F.col("structure").alias("n")),
-    )
+    own = [
+        (2, f"{tool} sync-i18n --scaffold-missing", "locale_gap", "pages without a sibling in a target locale: %d", "gap"),
+        (3, f"{tool} translate-i18n --dry-run", "locale_structure", "page pairs whose headings, keys or links differ: %d", "structure"),
+    ]
+    said = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(run).alias("command"), F.lit(title).alias("title"), F.format_string(text, n).alias("detail"), F.col(n).alias("n")) for p, run, title, text, n in own])
     second = sums.select(F.explode(said).alias("a")).where("a.n > 0").select(F.lit("i18n").alias("source"), "a.priority", "a.command", "a.title", "a.detail")
     return first.unionByName(second)
 
@@ -326,7 +337,7 @@ def suggest(project: Project, script: str | None = None, with_locales: bool = Tr
     local = sync_locales(project, check_only=True)["issues"] if with_locales else none
     everything = issues.unionByName(local) if with_locales else issues
     steps = [r["step"] for r in drift.next_steps(everything).collect()]
-    acts = actions(issues, local)
+    acts = actions(issues, local, scripts=project.config.scripts)
     context = project.search_context([r["query"] for r in issue_queries(everything).collect()], 15)
     plan = None
     if model is not None:

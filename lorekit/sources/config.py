@@ -7,6 +7,7 @@ import tomllib
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+# Where configurations are looked for, and the layout of a project that has none of its own.
 CANDIDATES = ("lorekit.config.toml", "apps/lorekit/lorekit.config.toml")
 MARKER = "apps/docs/package.json"
 
@@ -27,6 +28,8 @@ class I18n:
 
 @dataclass
 class Config:
+    """Places in a project; the defaults are fixed values, those of the layout that the tools expect."""
+
     openapi: str = "apps/docs/openapi.json"
     agent_openapi: str = "apps/docs/agent-openapi.json"
     docs_content: str = "apps/docs/content/docs"
@@ -41,13 +44,14 @@ class Config:
     sdk_prefix: str = "sdk"
     i18n: I18n = field(default_factory=I18n)
     llm: dict = field(default_factory=dict)
+    scripts: dict = field(default_factory=lambda: {"generate": "cd apps/mcp && pnpm run generate", "check": "cd apps/docs && pnpm docs:drift"})
 
     def code_root_paths(self, root: Path) -> list[str]:
         return [str(root / r) for r in self.code_roots]
 
 
 #: Keys that a configuration file may leave out.
-_OPTIONAL = {"i18n", "llm", "style_guide", "sdk_prefix"}
+_OPTIONAL = {"i18n", "llm", "scripts", "style_guide", "sdk_prefix"}
 
 
 def parse(text: str) -> Config:
