@@ -137,21 +137,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunked(df: DataFrame, text: str, *key: str, target_bytes: int = 8 << 20, each: int = 4) -> DataFrame:
-    """Add ``_chunk``: rows dealt by hash over chunks of about ``target_bytes`` of text, at least ``each`` to a partition.
-
-    A chunk is what one Python call holds, so its size does not grow with the input; the number of chunks does. The
-    size of the input is the planner's estimate, three bytes of text to a byte of file; only where the planner has none
-    are the texts read for it.
-    """
-    spark = df.sparkSession
-    total = 3 * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if total > 1 << 58:
-        total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(each * partitions(spark), -(-total // target_bytes))
-    return df.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in key], F.col(text)), F.lit(n)).cast("int"))
-
-
 def in_chunks(df: DataFrame, text: str, name: str, target_bytes: int = 8 << 20, least: int | None = None) -> DataFrame:
     """The rows with ``_chunk`` as a table bucketed by it: chunks of about ``target_bytes`` of text, ``least`` at least (or four to a bucket).
 
