@@ -138,15 +138,17 @@ def title_and_hash(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("first_line"), X.digest(F.col("text")).alias("hash"))
 
 
-def _language_sql() -> str:
+def _language_sql(table: str = "documents", keep: str = "doc_id, lang") -> str:
     lists = {c: w.split() for c, w in X.STOP_WORDS.items()}
     score = lambda c: f"len(list_filter({lists[c]!r}, lambda s: list_contains(w, s)))"
     return (
-        r"WITH d AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, lang, w, "
+        f"WITH d AS (SELECT {keep}, "
+        + r"list_filter(regexp_split_to_array(lower(text), '[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS w "
+        + f"FROM {table}), s AS (SELECT {keep}, w, "
         + ", ".join(f"{score(c)} AS {c}_" for c in lists)
         + " FROM d), b AS (SELECT *, greatest("
         + ", ".join(f"{c}_" for c in lists)
-        + ") AS top FROM s) SELECT doc_id, lang, CASE WHEN len(w) < 3 OR top = 0 THEN 'en' "
+        + f") AS top FROM s) SELECT {keep}, CASE WHEN len(w) < 3 OR top = 0 THEN 'en' "
         + " ".join(f"WHEN {c}_ = top THEN '{c}'" for c in lists)
         + " END AS code FROM b"
     )
@@ -218,6 +220,24 @@ def keyword_search_topk(spark, d):
     return found.select("query_no", "rank", "doc_id", "score")
 
 
+def _benchmark_sql() -> str:
+    stops = " ".join(f"WHEN '{c}' THEN {w.split()!r}" for c, w in X.STOP_WORDS.items())
+    return (
+        f"WITH l AS ({_language_sql('benchmark', 'item_id, text')}), k AS (SELECT item_id, text, CASE code {stops} END AS stops FROM l), "
+        r"t AS (SELECT item_id, list_concat([text], list_filter(regexp_split_to_array(lower(text), '[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '' AND NOT list_contains(stops, x) AND strlen(x) >= 3)) AS terms FROM k), "
+        "f AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS name FROM documents), s AS (SELECT item_id AS query_no, doc_id, (10.0 * len(list_filter(terms, lambda x: contains(name, x))))::DOUBLE AS score FROM f, t), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0.1) SELECT query_no, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 15"
+    )
+
+
+@query(_benchmark_sql())
+def multi_query_search(spark, d):
+    """Every text of the benchmark as a query, in its own language, over the first lines of all documents."""
+    docs = _t(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("name"))
+    asked = [(r["item_id"], r["text"]) for r in _t(spark, d, "benchmark").orderBy("item_id").collect()]
+    return search.search(docs, asked, 15, (("name", 10.0),), ("doc_id",)).select(F.col("query_no").cast("long").alias("query_no"), "rank", "doc_id", "score")
+
+
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q)
 SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 15""")
 def cosine_topk(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -45,10 +46,13 @@ def search(elements: DataFrame, queries: list[tuple[int, str]], k: int = HITS, w
     total order. Vectors, where given, are joined on id once.
     """
     rows = elements if vectors is None else elements.join(vectors.select("id", "embedding"), "id", "left")
+    # The terms of all queries are found in one small job, and a batch goes into the plan as one constant.
+    asked = elements.sparkSession.createDataFrame(queries, "query_no long, query string")
+    terms = {r[0]: r[1] for r in asked.select("query_no", X.search_terms(F.col("query"), unicode).alias("terms")).collect()}
     parts = []
-    for i in range(0, len(queries), QUERIES):
-        batch = queries[i : i + QUERIES]
-        values = F.array(*[F.struct(F.lit(n).alias("query_no"), X.search_terms(F.lit(q), unicode).alias("terms"), _vector(n, query_vectors).alias("vector")) for n, q in batch])
+    for i in range(0, max(1, len(queries)), QUERIES):
+        batch = [{"query_no": n, "terms": terms[n], "vector": (query_vectors or {}).get(n)} for n, _ in queries[i : i + QUERIES]]
+        values = F.from_json(F.lit(json.dumps(batch)), "array<struct<query_no:int,terms:array<string>,vector:array<double>>>")
         scored = X.let(
             values,
             lambda v: F.transform(v, lambda q: F.struct(q["query_no"].alias("query_no"), (keyword_score(q["terms"], weights) + _semantic(q["vector"], vectors is not None)).alias("score"))),
@@ -61,11 +65,6 @@ def search(elements: DataFrame, queries: list[tuple[int, str]], k: int = HITS, w
     return top_k(out, k, order)
 
 
-def _vector(n: int, query_vectors: dict[int, list[float]] | None) -> Column:
-    v = (query_vectors or {}).get(n)
-    return F.lit(v).cast("array<double>") if v else F.lit(None).cast("array<double>")
-
-
 def _semantic(vector: Column, on: bool) -> Column:
     return F.coalesce(F.lit(SEMANTIC_WEIGHT) * X.cosine(vector, F.col("embedding").cast("array<double>")), F.lit(0.0)) if on else F.lit(0.0)
 
