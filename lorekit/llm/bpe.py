@@ -229,6 +229,21 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
+def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", decoded: str = "bytes") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass, so that a task needs one Python worker. Columns of these names give way."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    df = df.drop(ids, decoded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared)
+        for b in common.sliced(batches, 200):
+            coded = [coder.encode(t or "") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            found = [coder.decode(x) for x in coded]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(coded, pa.list_(pa.int32())), pa.array(found, pa.binary())], names=[*b.schema.names, ids, decoded])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())]))
+
+
 def digests(df: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "bytes") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded rows."""
 
@@ -253,5 +268,4 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of all documents."""
     vocabulary = default_vocabulary()
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs, vocabulary).select("doc_id", "ids")
-    return digests(decode(coded, vocabulary))
+    return digests(round_trip(docs, vocabulary).select("doc_id", "ids", "bytes"))
