@@ -65,7 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a digest that shows that they decode to its text."""
     vocabulary = bpe.default_vocabulary()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary), vocabulary)
+    coded = bpe.round_trip(docs.select("doc_id", "source", "lang", "text"), vocabulary)
     return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
