@@ -7,8 +7,9 @@ article or main element, ``FRAME`` inside menus, headers, footers, sidebars, not
 The tokens of all blocks of a host's pages are one stream. Its suffixes are sorted by their first RUN tokens, dealt by
 the hash of (host, tokens): each bucket is an interval of the host's suffix array whose members have RUN or more tokens
 in common, and its number of pages is the frequency of the tokens that it covers. Longer repeats are chains of such
-intervals. The array is sparse: it has every suffix that starts in a block of at most SHORT tokens, as menus and notices
-have, and one in SPARSE of the others, chosen by their tokens, so that all pages choose alike.
+intervals. Every suffix is in the array. Chunks of pages count their own suffixes, and ask about the others in two steps:
+first, in packed sets, for the leading bits of each, which tells all that some other chunk may have as well; then, of
+these only, with whole hashes and numbers of pages.
 
 A token that m pages have weighs 1/m, so text that is a page's own weighs most and boilerplate next to nothing. Where the
 zone MAIN holds TRUST or more of a page's weight it is the text. Else the text is the smallest element that holds MOST of
@@ -22,27 +23,28 @@ import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, hashsets
 from .wordhash import mix, runs, word_hashes
 
 #: Tokens in common that make an interval of the suffix array; ends of blocks count as tokens.
 RUN = 6
-#: Blocks of at most SHORT tokens have all their suffixes in the array, longer ones one in SPARSE, a power of two.
-SHORT, SPARSE = 12, 16
 #: Share of a page's weight that marked content holds at least, and that the text's element holds at least where marks do not decide.
 TRUST, MOST = 0.1, 0.7
 MAIN, PLAIN, SOFT_MAIN, SOFT, FRAME, HIDDEN = range(6)
 _END = "\x1e"
-#: Bytes of pages in a chunk.
-CHUNK = 8 << 20
+#: Bytes of pages in a chunk, at most (but for one page), and in a piece of it, which is packed and parsed at once.
+CHUNK, PIECE = 16 << 20, 1 << 20
+#: The leading bits of a suffix tell this many times as many values apart as there are suffixes, or more (a power of two).
+SPARE = 32
 
 _RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math canvas object select".split())
 #: Elements that can hold the text of a page, or a piece of boilerplate.
@@ -215,45 +217,54 @@ def parse(page: str | None) -> Page:
 
 
 def streams(pages: list[Page], hosts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The token stream of some pages: hash of (host, first RUN tokens) of each suffix, whether the sparse array has it, and page and block of each token.
+    """The token stream of some pages: hash of (host, first RUN tokens) of each suffix, whether it has as many, and page and block of each token.
 
-    A block ends in a token of its own. Suffixes that are shorter than RUN tokens in their page are not in the array.
+    A block ends in a token of its own. Suffixes that are shorter than RUN tokens in their page begin no run.
     """
     texts = [f" {_END} ".join([*p.texts, ""]).encode("utf-8", "replace") for p in pages]
     hashes, sizes = word_hashes(texts)
     lengths = np.array([t.count(" ") + 2 for p in pages for t in p.texts], np.int64)
-    block = np.repeat(np.arange(len(lengths)), lengths)
-    page = np.repeat(np.arange(len(pages)), sizes)
+    block = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    page = np.repeat(np.arange(len(pages), dtype=np.int32), sizes)
     grams = np.zeros(len(hashes), np.uint64)
     full = runs(hashes, RUN)
     grams[: len(full)] = full
     of_host = np.array([int.from_bytes(zlib.crc32(h.encode("utf-8", "replace")).to_bytes(4, "little") + len(h).to_bytes(4, "little"), "little") for h in hosts] or [0], np.uint64)
     grams = mix(grams ^ mix(of_host)[page]) if len(hashes) else grams
     whole = np.arange(len(hashes)) + RUN <= np.repeat(np.cumsum(sizes), sizes)
-    chosen = whole & ((lengths[block] <= SHORT + 1) | (grams % np.uint64(SPARSE) == 0))
-    return grams, chosen, page, block
+    return grams, whole, page, block
 
 
-def frequencies(grams: np.ndarray, chosen: np.ndarray, block: np.ndarray, pages_with: np.ndarray) -> np.ndarray:
+def frequencies(grams: np.ndarray, whole: np.ndarray, block: np.ndarray, pages_with: np.ndarray) -> np.ndarray:
     """How many pages have the run around each token: the most of the array's intervals that cover it.
 
-    ``pages_with`` has the number of pages of each chosen suffix. Tokens of long blocks between chosen suffixes take the
-    number of the one before them in the block, else of the one after; without any they are the page's own.
+    ``pages_with`` has the number of pages of each whole suffix. Tokens of pages shorter than RUN are the page's own.
     """
-    n = len(grams)
-    out = np.zeros(n, np.int64)
-    at = np.flatnonzero(chosen)
+    out = np.ones(len(block), np.int64)
+    at = np.flatnonzero(whole)
     for k in range(RUN):
-        np.maximum.at(out, at + k, pages_with)
-    gaps = np.flatnonzero(out == 0)
-    if len(gaps) and len(at):
-        before = np.searchsorted(at, gaps, side="right") - 1
-        after = np.minimum(before + 1, len(at) - 1)
-        mine = block[gaps]
-        left = (before >= 0) & (block[at[np.maximum(before, 0)]] == mine)
-        right = block[at[after]] == mine
-        out[gaps] = np.where(left, pages_with[np.maximum(before, 0)], np.where(right, pages_with[after], 1))
-    return np.maximum(out, 1)
+        out[at + k] = np.maximum(out[at + k], pages_with)
+    return out
+
+
+def suffixes(found: Iterable[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct whole suffixes of several streams, sorted, and how many pages have each."""
+    keys = [np.zeros(0, np.uint64)]
+    for grams, whole, page, _ in found:
+        g, p = grams[whole], page[whole]
+        by = np.argsort(g)
+        g, p = g[by], p[by]
+        first = hashsets.first_of(g)
+        at = np.flatnonzero(~first | ~np.append(first[1:], True))  # those that are there twice; a page counts once
+        at = at[np.lexsort((p[at], g[at]))]
+        keep = np.ones(len(g), bool)
+        keep[at[1:][(g[at][1:] == g[at][:-1]) & (p[at][1:] == p[at][:-1])]] = False
+        keys.append(g[keep])
+    g = np.concatenate(keys)
+    keys.clear()
+    g.sort()
+    start = np.flatnonzero(hashsets.first_of(g))
+    return g[start], np.diff(np.append(start, len(g)))
 
 
 def assemble(page: Page, counts: list[np.ndarray], structure: bool = True) -> str:
@@ -325,58 +336,130 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
     pages say, for comparison.
     """
     spark = df.sparkSession
-    kinds = f"_key {df.schema[key].dataType.simpleString()}, _url {df.schema[url].dataType.simpleString()}"
-    rows = df.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host(F.col(url)).alias("_host"), F.col(page).alias("_html"))
+    kinds = [df.schema[c].dataType.simpleString() for c in (key, url)]
+    place = F.monotonically_increasing_id()
+    rows = df.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host(F.col(url)).alias("_host"), F.col(page).alias("_html"), place.alias("_place"))
+    total = df.agg(F.sum(F.octet_length(page))).first()[0] or 0
+    size = min(CHUNK, -(-total // common.partitions(spark)))
+    bits = (max(common.partitions(spark), -(-total // CHUNK)) - 1).bit_length()  # buckets of suffixes: 2^bits
+    lead = min(64, max(1, bits, (SPARE * total // 7).bit_length()))  # a token of a page takes some 7 bytes
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Chunks are rows that follow each other in the input: a host may have any number of pages.
+        chunk, filled = None, 0
         for b in common.sliced(batches, 250):
-            found = [parse(x) for x in b.column(3).to_pylist()]
-            packed = [zlib.compress(json.dumps([p.texts, p.zones, p.owners, p.parents], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace"), 1) for p in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(packed, pa.binary())], names=["_key", "_url", "_host", "_packed"])
-
-    total = df.agg(F.sum(F.octet_length(page))).first()[0] or 0
-    n = max(4 * common.partitions(spark), -(-total // CHUNK))
-    packed = rows.mapInArrow(pack, f"{kinds}, _host string, _packed binary")
-    # Rows are dealt by their place in the input: a host may have any number of pages.
-    chunks = packed.withColumn("_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-
-    def unpacked(t: pa.Table) -> list[Page]:
-        return [Page(*json.loads(zlib.decompress(x))) for x in t["_packed"].to_pylist()]
-
-    def index(t: pa.Table) -> pa.Table:
-        grams, chosen, pages, _ = streams(unpacked(t), t["_host"].to_pylist())
-        by = np.lexsort((pages[chosen], grams[chosen]))
-        g, p = grams[chosen][by], pages[chosen][by]
-        new = np.ones(len(g), bool)
-        new[1:] = g[1:] != g[:-1]
-        once = new.copy()
-        once[1:] |= p[1:] != p[:-1]  # a page counts once
-        first = np.flatnonzero(new)
-        m = np.add.reduceat(once.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        return pa.table({"_chunk": pa.array(np.full(len(first), t["_chunk"][0].as_py()), pa.int32()), "suffix": pa.array(g[first].view(np.int64)), "m": pa.array(m)})
-
-    named = chunks.groupBy("_chunk").applyInArrow(index, "_chunk int, suffix long, m long")
-    told = named.withColumn("m", F.sum("m").over(Window.partitionBy("suffix"))).where(F.col("m") > 1)
+            octets = np.maximum(pc.fill_null(pc.binary_length(b.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64), 64)  # empty ones are rows too
+            start = 0
+            while start < len(b):
+                stop = start + max(1, int(np.searchsorted(np.cumsum(octets[start:]), PIECE, side="right")))
+                part = b.slice(start, stop - start)
+                if chunk is None or filled + int(octets[start:stop].sum()) > size:
+                    chunk, filled = part.column(4)[0].as_py(), 0
+                filled += int(octets[start:stop].sum())
+                found = [parse(x) for x in part.column(3).to_pylist()]
+                fields = [[getattr(p, x) for p in found] for x in ("texts", "zones", "owners", "parents")]
+                plain = json.dumps(fields, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(i)) for i in range(3)]
+                packed = pa.Codec("zstd", compression_level=9).compress(plain, asbytes=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), *lists, pa.array([len(plain)], pa.int64()), pa.array([packed], pa.binary())],
+                    names=["_chunk", "_keys", "_urls", "_hosts", "_size", "_packed"],
+                )
+                start = stop
+
+    chunks = rows.mapInArrow(pack, f"_chunk long, _keys array<{kinds[0]}>, _urls array<{kinds[1]}>, _hosts array<string>, _size long, _packed binary")
+
+    def pieces(t: pa.Table) -> Iterator[tuple[list[Page], list[str]]]:
+        for hosts, n, x in zip(t["_hosts"].to_pylist(), t["_size"].to_pylist(), t["_packed"], strict=True):
+            yield [Page(*p) for p in zip(*json.loads(pa.Codec("zstd").decompress(x.as_buffer(), n, asbytes=True)), strict=True)], hosts
+
+    def ask(t: pa.Table) -> pa.Table:
+        """The leading bits of a chunk's suffixes, for each bucket."""
+        values = hashsets.tops(np.sort(np.concatenate([g[w] for g, w, _, _ in (streams(*x) for x in pieces(t))])), lead)
+        edges = hashsets.edges(values, lead, bits)
+        inside = np.uint64((1 << (lead - bits)) - 1)
+        used = np.flatnonzero(np.diff(edges))
+        sets = [hashsets.pack(values[edges[b] : edges[b + 1]] & inside, lead - bits) for b in used]
+        return pa.table(
+            {
+                "_bucket": pa.array(used, pa.int32()),
+                "_chunk": pa.array([t["_chunk"][0].as_py()] * len(used), pa.int64()),
+                "n": pa.array(np.diff(edges)[used], pa.int32()),
+                "suffixes": pa.array(sets, pa.binary()),
+            }
+        )
+
+    def tell(t: pa.Table) -> pa.Table:
+        """Which of them another chunk has."""
+        sizes = t["n"].to_pylist()
+        again = hashsets.repeated(np.concatenate([hashsets.unpack(x, n, lead - bits) for x, n in zip(t["suffixes"].to_pylist(), sizes, strict=True)]))
+        marks = [hashsets.pack_marks(x) if x.any() else None for x in np.split(again, np.cumsum(sizes)[:-1])]
+        out = pa.table({"_chunk": t["_chunk"], "_bucket": t["_bucket"], "marks": pa.array(marks, pa.binary())})
+        return out.filter(pc.is_valid(out["marks"]))
+
+    def marked(g: np.ndarray, told: pa.Table) -> np.ndarray:
+        """Whether marks name the leading bits of each suffix."""
+        values = hashsets.tops(g, lead)
+        edges = hashsets.edges(values, lead, bits)
+        out = np.zeros(len(values), bool)
+        for b, x in zip(told["_bucket"].to_pylist(), told["marks"].to_pylist(), strict=True):
+            out[edges[b] : edges[b + 1]] = hashsets.unpack_marks(x, edges[b + 1] - edges[b])
+        return out[np.cumsum(hashsets.first_of(g >> np.uint64(64 - lead))) - 1] if len(g) else out
+
+    def ask_whole(t: pa.Table, told: pa.Table) -> pa.Table:
+        """The whole suffixes that are left, with their numbers of pages."""
+        g, m = suffixes(streams(*x) for x in pieces(t)) if len(told) else suffixes([])
+        mine = marked(g, told)
+        g, m = g[mine], m[mine]
+        edges = hashsets.edges(g, 64, bits)
+        inside = np.uint64((1 << (64 - bits)) - 1)
+        asked = [(b, x, slice(edges[b], edges[b + 1])) for b, x in zip(told["_bucket"].to_pylist(), told["marks"].to_pylist(), strict=True)]
+        return pa.table(
+            {
+                "_bucket": pa.array([b for b, _, _ in asked], pa.int32()),
+                "_chunk": pa.array([t["_chunk"][0].as_py()] * len(asked), pa.int64()),
+                "n": pa.array([s.stop - s.start for _, _, s in asked], pa.int32()),
+                "marks": pa.array([x for _, x, _ in asked], pa.binary()),
+                "suffixes": pa.array([hashsets.pack(g[s] & inside, 64 - bits) for _, _, s in asked], pa.binary()),
+                "m": pa.array([zlib.compress(m[s].astype("<i8").tobytes(), 1) for _, _, s in asked], pa.binary()),
+            }
+        )
+
+    def tell_whole(t: pa.Table) -> pa.Table:
+        """The numbers of pages in all chunks."""
+        sizes = t["n"].to_pylist()
+        g = np.concatenate([hashsets.unpack(x, n, 64 - bits) for x, n in zip(t["suffixes"].to_pylist(), sizes, strict=True)])
+        m = np.concatenate([np.frombuffer(zlib.decompress(x), "<i8") for x in t["m"].to_pylist()])
+        sums = [zlib.compress(x.tobytes(), 1) for x in np.split(hashsets.totals(g, m), np.cumsum(sizes)[:-1])]
+        return pa.table({"_chunk": t["_chunk"], "_bucket": t["_bucket"], "marks": t["marks"], "m": pa.array(sums, pa.binary())})
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
-        pages = unpacked(t)
-        grams, chosen, _, block = streams(pages, t["_host"].to_pylist())
-        known = told["suffix"].to_numpy().view(np.uint64)
-        by = np.argsort(known)
-        known, m = known[by], told["m"].to_numpy()[by]
-        mine = grams[chosen]
-        with_ = np.ones(len(mine), np.int64)
-        if len(known) and array:
-            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            with_ = np.where(known[at] == mine, m[at], 1)
-        counts = np.split(frequencies(grams, chosen, block, with_), np.cumsum(np.bincount(block))[:-1]) if len(block) else []
-        out, at = [], 0
-        for p in pages:
-            out.append(assemble(p, counts[at : at + len(p.texts)], structure))
-            at += len(p.texts)
-        return pa.table({"_key": t["_key"], "_url": t["_url"], "_text": pa.array(out, pa.string())})
-
-    out = chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(finish, f"{kinds}, _text string")
+        told = told.sort_by("_bucket")
+        read = list(pieces(t))
+        found = [streams(*x) for x in read]
+        g, m = suffixes(found)
+        if len(told):
+            m[marked(g, told)] = np.concatenate([np.frombuffer(zlib.decompress(x), "<i8") for x in told["m"].to_pylist()])
+        g, m = g[m > 1], m[m > 1]
+        out = []
+        for (pages, _), (grams, whole, _, block) in zip(read, found, strict=True):
+            mine = grams[whole]
+            with_ = np.ones(len(mine), np.int64)
+            if len(g) and array:
+                at = np.minimum(np.searchsorted(g, mine), len(g) - 1)
+                with_ = np.where(g[at] == mine, m[at], 1)
+            counts = np.split(frequencies(grams, whole, block, with_), np.cumsum(np.bincount(block))[:-1]) if len(block) else []
+            at = 0
+            for p in pages:
+                out.append(assemble(p, counts[at : at + len(p.texts)], structure))
+                at += len(p.texts)
+        return pa.table({"_key": pc.list_flatten(t["_keys"]), "_url": pc.list_flatten(t["_urls"]), "_text": pa.array(out, pa.string())})
+
+    asked = chunks.groupBy("_chunk").applyInArrow(ask, "_bucket int, _chunk long, n int, suffixes binary")
+    told = asked.groupBy("_bucket").applyInArrow(tell, "_chunk long, _bucket int, marks binary")
+    asked = chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(ask_whole, "_bucket int, _chunk long, n int, marks binary, suffixes binary, m binary")
+    told = asked.groupBy("_bucket").applyInArrow(tell_whole, "_chunk long, _bucket int, marks binary, m binary")
+    out = chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(finish, f"_key {kinds[0]}, _url {kinds[1]}, _text string")
     return out.select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("_text").alias("text"))
 
 

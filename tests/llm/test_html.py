@@ -95,6 +95,22 @@ def test_equals_plain_sorted_suffixes(spark):
     assert any(t != html.assemble(p, [np.ones(len(x.split(" ")) + 1, np.int64) for x in p.texts]) for (_, t), p in zip(want, pages, strict=True))
 
 
+def test_long_blocks_that_two_pages_share(spark, monkeypatch):
+    """Every suffix counts: notices longer than menus, each on two pages of a host that lie in different chunks, all go."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    stories = [text(80) for _ in range(60)]
+    notices = [text(n) for n in range(html.RUN, 36) for _ in range(2)]
+    pages = [(i, f"https://x.example.org/{i}", f"<p>{notices[i]}</p><p>{s}</p><p>{notices[i - 1]}</p>") for i, s in enumerate(stories)]
+    pages += [(100 + i, f"https://y{i}.example.org/", f"<p>{notices[i]}</p><p>{s}</p>") for i, s in enumerate(stories)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(8)
+    want = dict(enumerate(stories)) | {100 + i: f"{notices[i]}\n{s}" for i, s in enumerate(stories)}
+    assert {x.page_id: x.text for x in html.extract(df).collect()} == want
+    monkeypatch.setattr(html, "SPARE", 0)  # leading bits that many suffixes share change nothing
+    assert {x.page_id: x.text for x in html.extract(df).collect()} == want
+
+
 def test_array_finds_the_text_where_no_tag_or_class_tells(spark):
     """Menus, adverts and footers are plain elements here; they repeat, and the story, also one that two pages share, does not as often."""
     r = random.Random(5)
