@@ -11,6 +11,7 @@ from lorekit.catalog import _t, query
 from lorekit.functions import code
 from lorekit.functions import text as X
 from lorekit.operators import graph, search
+from lorekit.operators.spread import spread
 from lorekit.sources import tree
 
 #: Language, extension and text; {k} stands for the part's key.
@@ -57,7 +58,7 @@ CALLED = {
 
 def _files(spark, d, language: str | None = None) -> DataFrame:
     """(path, relative_path, language, content) of the files of a language, or of all."""
-    key = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"))
+    key = spread(_t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k")))
     each = [key.select(F.concat(F.lit("src/p"), "k", F.lit(f".{ext}")).alias("path"), F.lit(name).alias("language"), F.replace(F.lit(text), F.lit("{k}"), F.col("k")).alias("content")) for name, (ext, text) in FILES.items() if language in (None, name)]
     return reduce(DataFrame.unionByName, each).withColumn("relative_path", F.col("path"))
 
@@ -75,14 +76,14 @@ def _rows(language: str, table: list[tuple], names: tuple[str, ...]) -> str:
 
 def _register(language: str) -> None:
     def declarations(spark, d):
-        found = code.elements(code.parse_files(_files(spark, d, language)))
+        found = code.elements(code.parse_files(_files(spark, d, language), ("declarations",)))
         return found.select("relative_path", "element_type", "name", "start_line", "end_line", "signature", "docstring")
 
     def imports(spark, d):
-        return code.imports(code.parse_files(_files(spark, d, language))).select("relative_path", "module", F.array_join("names", ",").alias("names"), "line", "is_from", "level")
+        return code.imports(code.parse_files(_files(spark, d, language), ("imports",))).select("relative_path", "module", F.array_join("names", ",").alias("names"), "line", "is_from", "level")
 
     def calls(spark, d):
-        return code.calls(code.parse_files(_files(spark, d, language))).select("relative_path", "callee_name", "qualifier", "line")
+        return code.calls(code.parse_files(_files(spark, d, language), ("calls",))).select("relative_path", "callee_name", "qualifier", "line")
 
     tables = ((declarations, DECLARED, ("element_type", "name", "start_line", "end_line", "signature", "docstring")), (imports, IMPORTED, ("module", "names", "line", "is_from", "level")), (calls, CALLED, ("callee_name", "qualifier", "line")))
     for f, table, names in tables:
@@ -97,7 +98,7 @@ for _name in FILES:
 @query("""WITH f AS (SELECT unnest(['py', 'ts', 'js', 'rs', 'go', 'java', 'cpp']) AS ext, unnest(['python', 'typescript', 'javascript', 'rust', 'go', 'java', 'cpp']) AS language, unnest([22, 19, 11, 22, 14, 11, 10]) AS n, unnest([1, 1, 1, 2, 1, 1, 1]) AS classes, unnest([1, 2, 1, 1, 1, 0, 1]) AS functions, unnest([3, 2, 1, 1, 2, 1, 2]) AS imports)
 SELECT 'src/p' || p_partkey || '.' || ext AS relative_path, n AS total_lines, classes AS class_count, functions AS function_count, imports AS import_count FROM part, f""")
 def file_metadata(spark, d):
-    return code.file_metadata(code.parse_files(_files(spark, d))).select("relative_path", "total_lines", "class_count", "function_count", "import_count")
+    return code.file_metadata(code.parse_files(_files(spark, d), ("declarations", "imports"))).select("relative_path", "total_lines", "class_count", "function_count", "import_count")
 
 
 _PATHS = "SELECT p_partkey, ['src', 'lib/.cache', 'node_modules/x', 'a/build', 'docs'][p_partkey % 5 + 1] || '/n' || p_partkey || ['.py', '.RS', '.txt', '', '.tar.ts', '.md', '.json'][p_partkey % 7 + 1] AS path FROM part"
