@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekit.functions import text as X
+from lorekit.operators.spread import corpus
 
 SYMBOLS = ("class", "function", "header", "tag")
 
@@ -42,9 +43,9 @@ def target_module(path: Column, module: Column, level: Column) -> Column:
 def resolve_imports(imports: DataFrame, elements: DataFrame) -> DataFrame:
     """Imports with ``file_id`` of the importer and ``target_file_id`` where the module is known; others are left out."""
     files = elements.where("element_type = 'file'").select("relative_path", F.col("id").alias("file_id"))
-    keyed = imports.join(files, "relative_path").withColumn("target", target_module(F.col("relative_path"), F.col("module"), F.col("level")))
+    keyed = imports.join(corpus(files), "relative_path").withColumn("target", target_module(F.col("relative_path"), F.col("module"), F.col("level")))
     known = modules(elements).select(F.col("module").alias("target"), F.col("file_id").alias("target_file_id"))
-    return keyed.join(known, "target")
+    return keyed.join(corpus(known), "target")
 
 
 def edges(df: DataFrame, graph: str, src: str, dst: str, label: str) -> DataFrame:
@@ -60,7 +61,7 @@ def inheritance_edges(elements: DataFrame) -> DataFrame:
     """Class to base by name over the whole corpus; of classes with one name the last wins."""
     classes = elements.where("element_type = 'class'")
     named = last_wins(classes, ["name"], F.col("id"), position()).select(F.col("name").alias("base"), F.col("id").alias("base_id"))
-    based = classes.select("id", F.explode("bases").alias("base")).join(named, "base")
+    based = classes.select("id", F.explode("bases").alias("base")).join(corpus(named), "base")
     return edges(based, "inheritance", "id", "base_id", "extends")
 
 
@@ -84,10 +85,10 @@ def enclosing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, star
     first, last, place = _number(own, start), _number(own, end), _number(asked, at)
     width = own.groupBy(*by).agg(F.greatest(F.ceil(F.avg(last - first)), F.lit(1)).cast("long").alias("_w"))
     bin_ = lambda x: F.floor(x / F.col("_w")).cast("long")
-    spread = own.join(width, by).withColumn("_bin", F.explode(F.sequence(bin_(first), bin_(last)))).drop("_w")
-    met = asked.join(width, by).withColumn("_bin", bin_(place)).drop("_w").join(spread, [*by, "_bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
+    spread = own.join(corpus(width), by).withColumn("_bin", F.explode(F.sequence(bin_(first), bin_(last)))).drop("_w")
+    met = asked.join(corpus(width), by).withColumn("_bin", bin_(place)).drop("_w").join(corpus(spread), [*by, "_bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
     best = met.groupBy(*by, at).agg(F.min_by(F.struct(*keep), F.struct((F.col(end) - F.col(start)).alias("_width"), *order)).alias("_best"))
-    return points.join(best, [*by, at]).select(*points.columns, "_best.*")
+    return points.join(corpus(best), [*by, at]).select(*points.columns, "_best.*")
 
 
 def lookup(ids: DataFrame, elements: DataFrame, id_: str = "id") -> DataFrame:
@@ -106,14 +107,14 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, elements: DataFrame) ->
     local = last_wins(both, ["relative_path", "callee_name"], F.col("id"), position(), "local_id")
     exported = last_wins(symbols.withColumn("callee_name", simple_name(F.col("name"))), ["relative_path", "callee_name"], F.col("id"), position(), "export_id")
     files = elements.where("element_type = 'file'").select(F.col("id").alias("target_file_id"), F.col("relative_path").alias("_target_path"))
-    seen = resolve_imports(imports, elements).join(files, "target_file_id").select("relative_path", "line", "_target_path", F.explode("names").alias("_name"))
+    seen = resolve_imports(imports, elements).join(corpus(files), "target_file_id").select("relative_path", "line", "_target_path", F.explode("names").alias("_name"))
     exports = exported.withColumnRenamed("relative_path", "_target_path")
-    named = seen.where("_name <> '*'").join(exports.withColumnRenamed("callee_name", "_name"), ["_target_path", "_name"]).select("relative_path", "line", F.col("_name").alias("callee_name"), "export_id")
-    starred = seen.where("_name = '*'").join(exports, "_target_path").select("relative_path", "line", "callee_name", "export_id")
+    named = seen.where("_name <> '*'").join(corpus(exports.withColumnRenamed("callee_name", "_name")), ["_target_path", "_name"]).select("relative_path", "line", F.col("_name").alias("callee_name"), "export_id")
+    starred = seen.where("_name = '*'").join(corpus(exports), "_target_path").select("relative_path", "line", "callee_name", "export_id")
     imported = named.unionByName(starred).groupBy("relative_path", "callee_name").agg(F.min_by("export_id", F.struct("line", "export_id")).alias("import_id"))
     functions = elements.where("element_type = 'function'").withColumn("callee_name", simple_name(F.col("name")))
     anywhere = last_wins(functions, ["callee_name"], F.col("id"), position(), "global_id")
-    met = calls.join(local, ["relative_path", "callee_name"], "left").join(imported, ["relative_path", "callee_name"], "left").join(anywhere, "callee_name", "left")
+    met = calls.join(corpus(local), ["relative_path", "callee_name"], "left").join(corpus(imported), ["relative_path", "callee_name"], "left").join(corpus(anywhere), "callee_name", "left")
     return met.withColumn("callee_id", F.coalesce("local_id", "import_id", "global_id")).drop("local_id", "import_id", "global_id")
 
 

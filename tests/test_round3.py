@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
+
 from lorekit import catalog
 from lorekit.functions import code, markdown
-from lorekit.operators.spread import spread
+from lorekit.operators.spread import corpus, spread
 from tests import oracle
 
 FOLDER = "/root/testdata/sf0.001"
@@ -64,3 +66,10 @@ def test_parts_of_a_file(spark):
         for r in code.parse_files(_files(spark), (part,)).collect():
             for n in r["parsed"].asDict():
                 assert r["parsed"][n] == (all_parts[r["relative_path"]][n] if n in names else None if n == "docstring" else [])
+
+
+def test_corpus_sides_are_not_broadcast(spark):
+    """Rows made from a small file of keys seemed small, and went through the driver."""
+    small = spark.range(5)
+    assert "Broadcast" in _plan(small.join(F.broadcast(small), "id")) and "Broadcast" not in _plan(small.join(corpus(small), "id"))
+    assert "BroadcastHashJoin" not in _plan(catalog.QUERIES["code_edges"](spark, FOLDER))
