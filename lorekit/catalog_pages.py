@@ -7,6 +7,7 @@ French pages of parts that 11 divides have no English page.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from lorekit.catalog import _t, query
 from lorekit.functions import diff, markdown, providers
 from lorekit.functions import text as X
 from lorekit.operators import drift, locale, stats
+from lorekit.operators.spread import spread
 from lorekit.plans import corpus
 from lorekit.sources import pages as P
 from lorekit.sources import specs, tree
@@ -38,7 +40,7 @@ _META = "---\ntitle: Part {k}\n{d}method: get\npath: /parts/{k}\noperationId: op
 def _rows(spark, d) -> DataFrame:
     """(k, relative_path, raw) of all pages."""
     k = F.col("p_partkey")
-    part = _t(spark, d, "part").select(k.alias("n"))
+    part = spread(_t(spark, d, "part").select(k.alias("n")))
     n, key = F.col("n"), F.col("n").cast("string")
     name = F.when(n % 3 == 0, F.concat(F.lit("api/parts/P"), key)).otherwise(F.concat(F.lit("build/guides/g"), key))
     own = part.where("n % 11 <> 0").select(n, name.alias("name"), F.lit("").alias("end"), F.lit(True).alias("described"), F.lit(False).alias("headed"), key.alias("link"))
@@ -132,13 +134,20 @@ UNION ALL SELECT 'locale_gap', 'Missing fr sibling for ' || relative_path, relat
 UNION ALL SELECT 'locale_stale', 'EN segments changed since lock for ' || relative_path, relative_path FROM j WHERE n % 4 = 0)
 SELECT category, message, file FROM i""")
 def locale_report(spark, d):
-    """All locale issues, against a lock that has other hashes for the first block of every fourth page."""
-    rows = _pages(spark, d)
-    sources = P.english(rows)
-    segments = markdown.segments(sources)
+    """All locale issues, against a lock that has other hashes for the first block of every fourth page.
+
+    Bodies are split once; the hashes and structures that several joins read are kept on the executors' disks.
+    """
+    rows = P.pages(_rows(spark, d))
+    split = markdown.with_blocks(rows).select("relative_path", "locale", "frontmatter", "blocks").persist(StorageLevel.DISK_ONLY)
+    segments = markdown.segments(P.english(split)).select("relative_path", "seg_key", "hash").persist(StorageLevel.DISK_ONLY)
+    shapes = locale.structure(split).persist(StorageLevel.DISK_ONLY)
+    for x in (split, segments, shapes):
+        x.count()  # here and not by each of the joins that start at once
+    split.unpersist()
     number = F.regexp_extract("relative_path", r"(\d+)\.mdx$", 1).cast("long")
     lock = segments.select("relative_path", "seg_key", F.when((F.col("seg_key") == "body:0") & (number % 4 == 0), F.lit("0")).otherwise(F.col("hash")).alias("hash"))
-    return drift.numbered(locale.sync_issues(rows, segments, lock, True, ["fr"])).drop("seq")
+    return drift.numbered(locale.sync_issues(rows, segments, lock, True, ["fr"], shapes=shapes)).drop("seq")
 
 
 @query(f"WITH {_P}, {_PAIRED}, s AS (SELECT 'Manually align FR structure with EN source' AS step WHERE EXISTS (SELECT 1 FROM j WHERE headed OR NOT described) UNION ALL SELECT 'Remove orphan FR pages or restore EN source' WHERE EXISTS (SELECT 1 FROM a WHERE locale = 'fr' AND n % 11 = 0) UNION ALL SELECT 'lorekit sync-i18n --scaffold-missing' UNION ALL SELECT 'lorekit sync-i18n lock') SELECT step FROM s")

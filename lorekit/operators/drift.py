@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekit.functions import text as X
+from lorekit.operators.spread import corpus
 from lorekit.sources.pages import documented_operations, english
 
 # Categories of issues.
@@ -27,7 +29,7 @@ def issues(df: DataFrame, category: str, message: Column, file: Column | None =
 
 def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of the left side whose key the right side does not have; null keys are missing too."""
-    return left.join(right.select(key), key, "left_anti")
+    return left.join(corpus(right.select(key)), key, "left_anti")
 
 
 def missing_endpoints(public: DataFrame, documented: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def orphan_docs(documented: DataFrame, public: DataFrame) -> DataFrame:
 def locale_gaps(page_rows: DataFrame, target: str = "fr") -> DataFrame:
     """English pages without a sibling in the target locale."""
     have = page_rows.where(F.col("locale") == target).select(F.col("relative_path").alias("_sibling"))
-    lone = english(page_rows).withColumn("_sibling", X.sibling(F.col("relative_path"), F.lit(target))).join(have, "_sibling", "left_anti")
+    lone = english(page_rows).withColumn("_sibling", X.sibling(F.col("relative_path"), F.lit(target))).join(corpus(have), "_sibling", "left_anti")
     name = X.LANGUAGE_NAMES.get(target, target)
     return issues(lone, "locale_gap", F.concat(F.lit(f"Missing {name} sibling for "), F.col("relative_path")), F.col("relative_path"))
 
@@ -55,8 +57,8 @@ def unmentioned(methods: DataFrame, texts: DataFrame, text: str = "raw", prefix:
     needles = methods.select(F.explode(F.array("method", "qualified", F.concat(F.lit(f"{prefix}."), F.col("service")))).alias("needle")).distinct()
     found = found_needles(texts, text, needles)
     each = methods.withColumn("_needle", F.explode(F.array("method", "qualified", F.concat(F.lit(f"{prefix}."), F.col("service")))))
-    mentioned = each.join(found.withColumnRenamed("needle", "_needle"), "_needle", "left_semi").select("qualified").distinct()
-    return methods.join(mentioned, "qualified", "left_anti")
+    mentioned = each.join(corpus(found.withColumnRenamed("needle", "_needle")), "_needle", "left_semi").select("qualified").distinct()
+    return methods.join(corpus(mentioned), "qualified", "left_anti")
 
 
 #: Bytes of needles that one automaton holds; more are dealt over several passes.
@@ -77,15 +79,27 @@ def found_needles(texts: DataFrame, text: str, needles: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, passes) if passes else each.limit(0)
 
 
-def _stream(texts: DataFrame, needles: list[str]) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(needles)
+@lru_cache(maxsize=1)
+def _built(key: str) -> ahocorasick.Automaton:
+    return ahocorasick.Automaton(ahocorasick.STORE_INTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, needle in enumerate(shared.value):
+
+def _automaton(key: str, needles: list[str]) -> ahocorasick.Automaton:
+    """The automaton of a pass, built once by a Python worker for all of its tasks; that of the pass before goes."""
+    automaton = _built(key)
+    if automaton.kind != ahocorasick.AHOCORASICK:
+        for i, needle in enumerate(needles):
             if needle:
                 automaton.add_word(needle, i)
         automaton.make_automaton()
+    return automaton
+
+
+def _stream(texts: DataFrame, needles: list[str]) -> DataFrame:
+    shared, key = texts.sparkSession.sparkContext.broadcast(needles), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(key, shared.value)
         found = np.zeros(len(shared.value), bool)
         nothing = next((i for i, x in enumerate(shared.value) if not x), None)
         for b in batches:
@@ -110,7 +124,7 @@ def links(page_rows: DataFrame, text: str = "raw") -> DataFrame:
 
 
 def dead_links(page_rows: DataFrame, slugs: DataFrame) -> DataFrame:
-    gone = links(english(page_rows)).join(slugs, "slug", "left_anti")
+    gone = links(english(page_rows)).join(corpus(slugs), "slug", "left_anti")
     return issues(gone, "guide_dead_link", F.concat(F.lit("Dead internal link in "), F.col("relative_path"), F.lit(": /"), F.col("slug")), F.col("relative_path"))
 
 

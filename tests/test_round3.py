@@ -68,6 +68,12 @@ def test_parts_of_a_file(spark):
                 assert r["parsed"][n] == (all_parts[r["relative_path"]][n] if n in names else None if n == "docstring" else [])
 
 
+def test_blocks_are_split_where_they_are_read(spark):
+    pages = spark.createDataFrame([("a", "# H\n")], "relative_path string, body string")
+    assert "ArrowEvalPython" not in _plan(markdown.with_blocks(pages).select("relative_path"))
+    assert markdown.with_blocks(pages).first()["blocks"][0]["content"] == "H"
+
+
 def test_corpus_sides_are_not_broadcast(spark):
     """Rows made from a small file of keys seemed small, and went through the driver."""
     small = spark.range(5)
